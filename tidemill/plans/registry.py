@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from functools import partial
+
+from tidemill.operators import daily, ranking
+from tidemill.plans.catalog import DUCK, Catalog
+from tidemill.sources import adapters
+
+CATALOG = Catalog()
+for module in (adapters, daily, ranking):
+    module.register(CATALOG)
+
+
+def _frame(name, spark, sf_dir):
+    return CATALOG.frame(spark, sf_dir, name)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {n: partial(_frame, n) for n, t in CATALOG.tables.items() if not t.internal}
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return {n: CATALOG.statement(n, DUCK) for n, t in CATALOG.tables.items() if not t.internal}
