@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.sources.storage import keep
+
+#: From so many computations an input is written once instead; CHEAP ones are projections of a base table.
+MANY = 4
+CHEAP = ("ev",)
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -35,8 +42,11 @@ class Dialect:
         """The distinct values of a group, sorted and joined."""
         return f"array_join(array_sort(collect_set({x})), '{sep}')" if self.spark else f"array_to_string(list_sort(list_distinct(list({x}))), '{sep}')"
 
-    def unnest(self, x: str) -> str:
-        return f"explode({x})" if self.spark else f"unnest({x})"
+    def unpivot(self, names: list[str]) -> str:
+        """Columns to rows (feature_name, x), in a select list."""
+        if self.spark:
+            return "inline(array(" + ", ".join(f"named_struct('feature_name', '{n}', 'x', CAST({n} AS DOUBLE))" for n in names) + "))"
+        return f"unnest([{', '.join(repr(n) for n in names)}]) AS feature_name, unnest([{', '.join(f'CAST({n} AS DOUBLE)' for n in names)}]) AS x"
 
 
 SPARK, DUCK = Dialect(True), Dialect(False)
@@ -82,12 +92,31 @@ class Catalog:
     def bases(self, name: str) -> set[str]:
         return {r for n in self.order(name) for r in self.tables[n].reads if r in BASE}
 
+    def uses(self, name: str) -> dict[str, int]:
+        """How many times each input would be computed if every reference were written out in place."""
+        order = self.order(name)
+        count = dict.fromkeys(order, 0) | {name: 1}
+        for n in reversed(order):
+            text = self.tables[n].sql(SPARK)
+            for r in self.tables[n].reads:
+                if r in count:
+                    count[r] += count[n] * len(re.findall(rf"(?:FROM|JOIN|CROSS JOIN)\s+{r}\b", text))
+        return count
+
     def frame(self, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-        """The table over the Parquet files of a folder. Views carry the folder's name, so folders don't mix."""
-        text = self.statement(name, SPARK)
+        """The table over the Parquet files of a folder, in a session of its own, so that folders don't mix.
+
+        Spark writes CTEs out in place. Inputs that would be computed MANY times or more are written to the
+        shared folder once and read from there, each from the ones before it.
+        """
         session = spark.newSession()
         for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
             session.conf.set(key, spark.conf.get(key))
         for base in self.bases(name):
             session.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
-        return session.sql(text)
+        known: list[str] = []
+        for n in self.order(name)[:-1]:
+            if n not in CHEAP and self.uses(name)[n] >= MANY:
+                keep(session.sql(self.statement(n, SPARK, tuple(known)))).createOrReplaceTempView(n)
+                known.append(n)
+        return session.sql(self.statement(name, SPARK, tuple(known)))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import partial
 
-from tidemill.operators import daily, ranking
+from tidemill.operators import daily, ecosystem, features, graphs, people, ranking
 from tidemill.plans.catalog import DUCK, Catalog
 from tidemill.sources import adapters
 
 CATALOG = Catalog()
-for module in (adapters, daily, ranking):
+for module in (adapters, daily, ranking, ecosystem, features, people, graphs):
     module.register(CATALOG)
 
 
