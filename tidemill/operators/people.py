@@ -24,8 +24,8 @@ z AS (SELECT cohort_week, count(DISTINCT actor_login) AS cohort_size FROM w GROU
 SELECT {LATEST} AS metric_date, z.cohort_week, CAST(k.days_since_first AS BIGINT) AS days_since_first, coalesce(h.retained, 0) AS retained_count, cohort_size, {r(f"{dbl('coalesce(h.retained, 0)')} / cohort_size")} AS retention_rate FROM z CROSS JOIN k LEFT JOIN h ON h.cohort_week = z.cohort_week AND h.day = k.days_since_first""")
     c.add("p03_actor_hotness", "ev b14_repo_rank_daily persona", f"""
 WITH a AS (SELECT actor_login, count(*) AS event_count, count(DISTINCT repo_name) AS unique_repos FROM ev GROUP BY actor_login),
-s AS (SELECT e.actor_login, avg(k.rank_score) AS score FROM (SELECT DISTINCT actor_login, repo_name FROM ev) e JOIN b14_repo_rank_daily k ON e.repo_name = k.repo_name GROUP BY e.actor_login),
-h AS (SELECT a.*, {r('s.score', 8)} AS avg_repo_rank_score, {r(f"ln({dbl('1')} + event_count) * ln({dbl('1')} + unique_repos) * (s.score + 0.001)")} AS hotness_score FROM a LEFT JOIN s ON a.actor_login = s.actor_login),
+s AS (SELECT e.actor_login, CAST(sum(CAST(k.rank_score AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS score FROM (SELECT DISTINCT actor_login, repo_name FROM ev) e JOIN b14_repo_rank_daily k ON e.repo_name = k.repo_name GROUP BY e.actor_login),
+h AS (SELECT a.*, s.score AS avg_repo_rank_score, {r(f"ln({dbl('1')} + event_count) * ln({dbl('1')} + unique_repos) * (s.score + 0.001)")} AS hotness_score FROM a LEFT JOIN s ON a.actor_login = s.actor_login),
 n AS (SELECT h.*, {row_no('', 'hotness_score DESC NULLS LAST, actor_login')} AS rank_no FROM (SELECT * FROM h ORDER BY hotness_score DESC NULLS LAST, actor_login LIMIT 500) h)
 SELECT {LATEST} AS metric_date, n.actor_login, n.event_count, n.unique_repos, avg_repo_rank_score, hotness_score, rank_no, coalesce(p.persona_label, '') AS persona_label FROM n LEFT JOIN persona p ON n.actor_login = p.actor_login""")
     c.add("p04_repo_bus_factor", "ev b14_repo_rank_daily", f"""
