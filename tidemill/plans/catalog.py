@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemill.sources.storage import keep
 
 #: From so many computations an input is written once instead; CHEAP ones are projections of a base table.
-MANY = 4
+MANY = 3
 CHEAP = ("ev",)
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

@@ -4,21 +4,104 @@ from __future__ import annotations
 
 from functools import partial
 
-from tidemill.operators import daily, ecosystem, features, graphs, people, ranking
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.operators import daily, ecosystem, features, graphs, iterative, people, ranking
+from tidemill.plans import serving
 from tidemill.plans.catalog import DUCK, Catalog
 from tidemill.sources import adapters
+from tidemill.streaming import realtime
 
 CATALOG = Catalog()
-for module in (adapters, daily, ranking, ecosystem, features, people, graphs):
+for module in (adapters, daily, ranking, ecosystem, features, people, graphs, serving):
     module.register(CATALOG)
 
 
-def _frame(name, spark, sf_dir):
+def _frame(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return CATALOG.frame(spark, sf_dir, name)
 
 
+def _similar(spark, sf_dir):
+    return iterative.both_ways(_frame("g03_repo_similarity_edges", spark, sf_dir), "src_repo", "dst_repo", "jaccard")
+
+
+def _collab(spark, sf_dir):
+    return iterative.both_ways(_frame("g06_actor_collab_edge", spark, sf_dir), "actor_a", "actor_b", "weight")
+
+
+def g04_repo_community(spark, sf_dir):
+    return iterative.label_propagation(_similar(spark, sf_dir)).withColumnRenamed("node", "repo_name")
+
+
+def g07_actor_pagerank(spark, sf_dir):
+    return iterative.pagerank(_collab(spark, sf_dir)).withColumnRenamed("node", "actor_login")
+
+
+def g08_actor_coreness(spark, sf_dir):
+    return iterative.coreness(_collab(spark, sf_dir)).withColumnRenamed("node", "actor_login")
+
+
+def g08_repo_coreness(spark, sf_dir):
+    return iterative.coreness(_similar(spark, sf_dir)).withColumnRenamed("node", "repo_name")
+
+
+def m01_repo_clusters(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.repo_clusters(_frame("b23_repo_health_latest", spark, sf_dir))
+
+
+def m08_actor_persona(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.actor_persona(_frame("m07_actor_features", spark, sf_dir))
+
+
+def m15_repo_association_rules(spark, sf_dir):
+    from tidemill.operators import ml
+
+    pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.expr("l_orderkey = o_orderkey"))
+    scope = _frame("g02_scope_network", spark, sf_dir).select("repo_name")
+    return ml.association_rules(pairs.select(F.concat(F.lit("cust"), "o_custkey").alias("actor_login"), F.concat(F.lit("part"), "l_partkey").alias("repo_name")).join(F.broadcast(scope), "repo_name"))
+
+
+def m17_actor_churn_risk(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.churn_risk(_frame("m17_churn_features", spark, sf_dir))
+
+
+def m18_repo_als_neighbor(spark, sf_dir):
+    from tidemill.operators import ml
+
+    counts = _frame("g02_scope_network", spark, sf_dir).select("repo_name").join(spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.expr("l_orderkey = o_orderkey")).select(F.concat(F.lit("cust"), "o_custkey").alias("actor_login"), F.concat(F.lit("part"), "l_partkey").alias("repo_name")), "repo_name")
+    return ml.als_neighbours(counts.groupBy("actor_login", "repo_name").agg(F.count("*").alias("n")))[1]
+
+
+WINDOW, LATE = "1 hour", "5 seconds"
+
+
+def s01_realtime_event_metrics(spark, sf_dir):
+    stream = realtime.event_metrics(realtime.read_events(spark, f"{sf_dir}/events.parquet"), WINDOW, LATE)
+    return realtime.drain(stream, ["window_start", "event_type", "repo_name", "actor_category"])
+
+
+def s02_realtime_repo_scores(spark, sf_dir):
+    stream = realtime.repo_scores(realtime.read_events(spark, f"{sf_dir}/events.parquet"), WINDOW, LATE)
+    return realtime.drain(stream, ["window_start", "repo_name"]).drop("events")
+
+
+def s03_realtime_anomaly_alerts(spark, sf_dir):
+    stream = realtime.repo_scores(realtime.read_events(spark, f"{sf_dir}/events.parquet"), WINDOW, LATE)
+    return realtime.anomaly_alerts(realtime.drain(stream, ["window_start", "repo_name"]))
+
+
+PLANS = {f.__name__: f for f in (g04_repo_community, g07_actor_pagerank, g08_actor_coreness, g08_repo_coreness, m01_repo_clusters, m08_actor_persona, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts)}
+
+
 def queries() -> dict:
-    return {n: partial(_frame, n) for n, t in CATALOG.tables.items() if not t.internal}
+    return {n: partial(_frame, n) for n, t in CATALOG.tables.items() if not t.internal} | PLANS
 
 
 def oracle_sql() -> dict:
