@@ -6,9 +6,10 @@ differ in at most H shingles; the shingle universe is hashed into segments so th
 a qualifying pair agrees: ``exact`` segments stand for one difference each, ``deletion`` segments, which
 also index every one-deletion neighbour, for two (exact + 2 * deletion = H + 1). How many of each a band
 gets is chosen by the cost of index rows against expected chance collisions at the band's row count.
-Segment signatures meet in one shuffle. Small buckets give all their pairs; larger ones a star to their
-smallest member, and then, for members that the first links left in different components, block by block
-every pair that a 64-bin histogram bound can't rule out. Candidates are verified on the whole sets.
+Segment signatures meet in one shuffle. Every bucket first gives a star to its smallest member; then, where
+these links left members in different components, small buckets give their other pairs and larger ones,
+block by block, every pair that a 64-bin histogram bound can't rule out. Candidates are verified on the
+whole sets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import components, stash
+from tidemill.llm.common import components, maybe_broadcast, stash
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -234,7 +235,8 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, node) in order: kind 0 pairs of nodes, kind 1 (sig, node) of buckets over SMALL_BUCKET."""
+    """Rows (sig, node) in order: kind 0 pairs of a bucket's smallest node and another, kind 2 the other pairs
+    of buckets up to SMALL_BUCKET, kind 1 (sig, node) of larger buckets."""
     sig0, node0 = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the last bucket, which may go on
     hot: tuple[int, int] | None = None  # the last bucket and its smallest node, if it is large already
 
@@ -249,20 +251,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, low = np.repeat(sizes, sizes), np.repeat(node[starts], sizes)
         live = size > 1
         sig, node, size, low = sig[live], node[live], size[live], low[live]
-        pa_, pb = [], []
         few = size <= SMALL_BUCKET
-        s, n = sig[few], node[few]
+        star = node != low
+        yield _pair_batch(0, *_unique_pairs(low[star], node[star]))
+        s, n, z = sig[few], node[few], low[few]
         for d in range(1, SMALL_BUCKET):
-            same = s[d:] == s[:-d]
-            if not same.any():
-                break
-            pa_.append(n[:-d][same])
-            pb.append(n[d:][same])
+            same = (s[d:] == s[:-d]) & (n[:-d] != z[:-d])
+            if same.any():
+                yield _pair_batch(2, *_unique_pairs(n[:-d][same], n[d:][same]))
         many = ~few
-        star = many & (node != low)
-        pa_.append(low[star])
-        pb.append(node[star])
-        yield _pair_batch(0, *_unique_pairs(np.concatenate(pa_), np.concatenate(pb)))
         if many.any():
             yield _pair_batch(1, sig[many], node[many])
 
@@ -385,7 +382,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     (words cut at ASCII white space, A-Z lower-cased). A text of fewer words is one shingle; null, empty and
     blank texts have empty sets and link with nothing, so their component is their own id. component_id is
     the smallest doc_id reachable by links. n_links counts the verified links of the row's set to other
-    sets; links inside large groups whose members are connected already are not all enumerated. Rows of
+    sets; pairs that other links connect already are not verified again, so it is a lower bound. Rows of
     equal sets, repeated rows and null ids included, share a component; a null id is never a component's
     smallest unless it is alone. Other columns are ignored. An empty table gives no rows.
     """
@@ -410,27 +407,35 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select(F.col("node").alias("want"), "rep")
-        sets = rows.join(ends, F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text").mapInArrow(_fetch(k, seed), "node long, items binary")
+        ends = stash(ends)
+        sets = rows.join(maybe_broadcast(ends, ends.count(), 200_000), F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text").mapInArrow(_fetch(k, seed), "node long, items binary")
         sets = stash(sets.dropDuplicates(["node"]))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
         return stash(both.select("a", "b", "items_a", "items_b").mapInArrow(_verify(num, den), "a long, b long"))
 
-    pairs = met.where("kind = 0").select("a", "b").distinct()
-    sieved = pairs.join(brief.toDF("a", "na", "ha"), "a").join(brief.toDF("b", "nb", "hb"), "b").mapInArrow(_sieve(num, den), "a long, b long")
-    links = verified(stash(sieved))
+    def sieved(pairs: DataFrame) -> DataFrame:
+        return stash(pairs.join(brief.toDF("a", "na", "ha"), "a").join(brief.toDF("b", "nb", "hb"), "b").mapInArrow(_sieve(num, den), "a long, b long"))
+
+    # Sets travel with the pairs they verify, so each node first has one pair only, with its smallest partner.
+    star = sieved(met.where("kind = 0").select("a", "b").distinct())
+    links = verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     labels = stash(components(links))
+    label = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
 
+    # What these left in different components: the other pairs of stars and small buckets, and large buckets by blocks.
+    rest = met.where("kind = 2").select("a", "b").unionByName(star).distinct().join(label("a"), "a", "left").join(label("b"), "b", "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     hot = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct()
     hot = hot.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
     mixed = hot.groupBy("sig").agg(F.count("*").alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    left = stash(hot.join(mixed.select("sig", "g"), "sig").join(brief, "node"))
-    if not left.isEmpty():
-        blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-        own = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        other = own.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = other.select("sig", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.when(F.col("own") == F.col("x"), 2).when(F.col("own") < F.col("x"), 0).otherwise(1).alias("side"), "comp", "node", "n", "hist")
-        more = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_cross(num, den), "a long, b long").distinct()
-        links = links.unionByName(verified(stash(more)))
+    left = hot.join(mixed.select("sig", "g"), "sig").join(brief, "node")
+    own = left.withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = own.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = other.select("sig", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.when(F.col("own") == F.col("x"), 2).when(F.col("own") < F.col("x"), 0).otherwise(1).alias("side"), "comp", "node", "n", "hist")
+    crossed = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_cross(num, den), "a long, b long")
+    rest = sieved(rest.unionByName(crossed).distinct())
+    if not rest.isEmpty():
+        links = links.unionByName(verified(rest))
         labels = stash(components(links))
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
