@@ -27,9 +27,9 @@ def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
 
-    A window's shingles (single words) are ordered by their count in the whole corpus, rarest first, then by
-    the word. Containment of the whole window needs its first token, so its prefix is that one token;
-    documents' words meet the prefixes, places that leave no room for the window go (length and positional
+    A window's shingles (pairs of adjacent words, or its single word) are ordered by the count of their rarer
+    word in the whole corpus, rarest first. Containment of the whole window needs every token, so its prefix
+    is the first one; documents' shingles meet the prefixes, places that leave no room for the window go (length and positional
     bounds), and what is left is compared word by word with the text at that place. A document word inside
     any occurrence is hit. Null and wordless texts have no hits; wordless items and items without an id have
     no windows; rows with the same id and text share their result and each gives a row; ids may be null;
@@ -43,11 +43,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     tokens = windows.select("window", "size", F.posexplode("words").alias("offset", "word")).distinct().join(counts, "word")
     # A window of which a word is in no document occurs nowhere.
     first = tokens.groupBy("window", "size").agg(F.min(F.struct("df", "word", "offset")).alias("first"), F.countDistinct("offset").alias("found"))
-    prefix = stash(first.where("found = size").select("window", "size", F.col("first.word").alias("word"), F.col("first.offset").alias("offset")))
+    first = first.where("found = size").withColumn("offset", F.greatest(F.lit(0), F.least(F.col("first.offset"), F.col("size") - 2)))
+    first = first.withColumn("token", F.array_join(F.slice(F.split("window", " "), F.col("offset") + 1, 2), " "))
+    prefix = stash(first.select("window", "size", "token", "offset"))
     n_prefix = prefix.count()
 
-    placed = rows.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-    near = placed.join(maybe_broadcast(prefix, n_prefix), "word").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0 and start + size <= n")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))
+    pairs = F.when(F.size("w") >= 2, pairs).otherwise(F.array().cast("array<string>"))
+    placed = rows.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode(pairs).alias("pos", "token"))
+    if not prefix.where("size = 1").isEmpty():
+        placed = placed.unionByName(rows.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token")))
+    near = placed.join(maybe_broadcast(prefix, n_prefix), "token").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0 and start + size <= n")
     near = near.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size", "window")).alias("near"))
     near = stash(near)
     n_near = near.count()
