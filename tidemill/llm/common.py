@@ -33,7 +33,11 @@ def maybe_broadcast(small: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z and leave every other letter as it is."""
+    """Lower-case A-Z and leave every other letter as it is; texts of ASCII alone go the shorter way."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(_translated(c))
+
+
+def _translated(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
