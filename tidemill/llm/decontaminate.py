@@ -12,7 +12,7 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK), lambda x: x != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
 def benchmark_windows(benchmark: DataFrame, width: int) -> DataFrame:
@@ -38,21 +38,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
     windows = stash(benchmark_windows(benchmark, width))
     n = windows.count()
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    counts = rows.select(F.explode("w").alias("word")).join(maybe_broadcast(vocabulary, n * width), "word").groupBy("word").agg(F.count("*").alias("df"))
-    tokens = windows.select("window", "size", F.posexplode("words").alias("offset", "word")).distinct().join(counts, "word")
+    # Words and shingles meet as 64-bit hashes: two that share one only add candidates, which are verified.
+    vocabulary = windows.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("key")).distinct()
+    counts = rows.select(F.explode("w").alias("word")).select(F.xxhash64("word").alias("key")).join(maybe_broadcast(vocabulary, n * width), "key").groupBy("key").agg(F.count("*").alias("df"))
+    tokens = windows.select("window", "size", F.posexplode("words").alias("offset", "word")).distinct().withColumn("key", F.xxhash64("word")).join(counts, "key")
     # A window of which a word is in no document occurs nowhere.
     first = tokens.groupBy("window", "size").agg(F.min(F.struct("df", "word", "offset")).alias("first"), F.countDistinct("offset").alias("found"))
     first = first.where("found = size").withColumn("offset", F.greatest(F.lit(0), F.least(F.col("first.offset"), F.col("size") - 2)))
-    first = first.withColumn("token", F.array_join(F.slice(F.split("window", " "), F.col("offset") + 1, 2), " "))
+    first = first.withColumn("next", F.slice(F.split("window", " "), F.col("offset") + 1, 2))
+    first = first.withColumn("token", F.when(F.size("next") == 2, F.xxhash64(F.get("next", 0), F.get("next", 1))).otherwise(F.xxhash64(F.get("next", 0))))
     prefix = stash(first.select("window", "size", "token", "offset"))
     n_prefix = prefix.count()
 
-    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)))
-    pairs = F.when(F.size("w") >= 2, pairs).otherwise(F.array().cast("array<string>"))
-    placed = rows.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode(pairs).alias("pos", "token"))
+    pairs = F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, F.size("w")).alias("y"))  # the last word has no next one
+    placed = rows.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode(pairs).alias("pos", "pair")).select("doc_id", "text_hash", "n", "pos", F.xxhash64("pair.x", "pair.y").alias("token"))
     if not prefix.where("size = 1").isEmpty():
-        placed = placed.unionByName(rows.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token")))
+        placed = placed.unionByName(rows.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token")).withColumn("token", F.xxhash64("token")))
     near = placed.join(maybe_broadcast(prefix, n_prefix), "token").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0 and start + size <= n")
     near = near.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size", "window")).alias("near"))
     near = stash(near)
