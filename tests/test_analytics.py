@@ -33,6 +33,11 @@ def test_equals_sql(spark, duck, name):
     same(registry.queries()[name](spark, SF), duck.sql(registry.CATALOG.statement(name, DUCK)))
 
 
+@pytest.mark.parametrize("name", sorted(n for n, t in registry.CATALOG.tables.items() if n.startswith(("v", "m19")) and not t.internal))
+def test_views_equal_sql(spark, duck, name):
+    same(registry.queries()[name](spark, SF), duck.sql(registry.CATALOG.statement(name, DUCK)))
+
+
 def test_streams_equal_batch(spark, duck):
     got = registry.s01_realtime_event_metrics(spark, SF)
     assert got.agg(F.sum("event_count")).first()[0] == duck.sql("select count(*) from events").fetchall()[0][0]
@@ -52,6 +57,21 @@ def test_label_propagation_two_triangles(spark):
     assert got["a"] == got["b"] == got["c"] != got["d"] == got["e"] == got["f"]
 
 
+def test_modularity_and_bridges(spark):
+    e = edges(spark, [("a", "b", 1), ("c", "d", 1), ("b", "x", 1), ("c", "x", 1), ("x", "y", 2)])
+    labels = spark.createDataFrame([(n, k) for n, k in zip("abcdxy", "112233", strict=True)], "node string, community_id string")
+    q = iterative.modularity(e, labels).first()
+    assert q.communities == 3 and abs(q.modularity - (8 / 12 - (3 / 12) ** 2 * 2 - (6 / 12) ** 2)) < 1e-6
+    assert [(r.node, r.foreign_communities, r.bridge_score) for r in iterative.bridges(e, labels).collect()] == [("x", 2, 0.5)]
+
+
+def test_community_profile(spark):
+    labels = spark.createDataFrame([("r", "1"), ("s", "1"), ("t", "2")], "repo_name string, community_id string")
+    events = spark.createDataFrame([("r", "AF"), ("s", "RO"), ("s", "NO"), ("t", "AF")], "repo_name string, kind string")
+    (got,) = iterative.community_profile(labels, events).collect()
+    assert (got["size"], got.total_events, got.watch_share, got.pr_push_ratio, got.top_members) == (2, 3, 0.333333, 0.666667, "s;r")
+
+
 def test_coreness_clique_and_pendant(spark):
     e = edges(spark, [(x, y, 1) for x in "abcd" for y in "abcd" if x < y] + [("d", "p", 1)])
     assert {r.node: r.coreness for r in iterative.coreness(e).collect()} == {"a": 3, "b": 3, "c": 3, "d": 3, "p": 1}

@@ -66,3 +66,43 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max
         if moved < n * tolerance:
             break
     return rank.join(nodes, "node").select("node", F.round("rank", 8).alias("pagerank"), "degree")
+
+
+def community_profile(labels: DataFrame, events: DataFrame, members: int = 3) -> DataFrame:
+    """Communities of two members or more: size, events, their shares, and the names of the busiest members.
+
+    labels: (repo_name, community_id); events: (repo_name, kind), one row an event. Repositories without events
+    count as members with none.
+    """
+    kinds = {"watch": "AF", "fork": "AO", "issues": "RF", "pr": "RO"}
+    per = events.groupBy("repo_name").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == v).alias(k) for k, v in kinds.items()])
+    at = labels.join(per, "repo_name", "left").na.fill(0, ["n", *kinds])
+    order = Window.partitionBy("community_id").orderBy(F.desc("n"), "repo_name")
+    at = at.withColumn("place", F.row_number().over(order))
+    top = F.sort_array(F.collect_list(F.when(F.col("place") <= members, F.struct("place", "repo_name"))))
+    total = F.greatest(F.sum("n"), F.lit(1))
+    other = F.sum(F.col("n") - sum(F.col(k) for k in kinds))
+    out = at.groupBy("community_id").agg(F.count("*").alias("size"), F.sum("n").alias("total_events"), *[F.round(F.sum(k) / total, 6).alias(f"{k}_share") for k in kinds], F.round(other / total, 6).alias("push_share"), F.round((F.sum("pr") + other) / total, 6).alias("pr_push_ratio"), F.array_join(F.transform(top, lambda x: x["repo_name"]), ";").alias("top_members"))
+    return out.where("size >= 2")
+
+
+def _labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    named = lambda end: labels.select(F.col("node").alias(end), F.col("community_id").alias(f"c_{end}"))
+    return edges.join(named("src"), "src").join(named("dst"), "dst")
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: modularity of the labels over the listed edges (0 without edges), and the number of communities."""
+    at = _labelled(edges, labels)
+    per = at.groupBy(F.col("c_src").alias("community_id")).agg(F.sum("w").alias("degree"), F.sum(F.when(F.col("c_src") == F.col("c_dst"), F.col("w")).otherwise(0.0)).alias("inside"))
+    total = per.agg(F.sum("degree").alias("total"))
+    q = F.sum(F.col("inside") / F.col("total") - F.pow(F.col("degree") / F.col("total"), 2))
+    return per.join(F.broadcast(total)).agg(F.round(F.coalesce(q, F.lit(0.0)), 6).alias("modularity"), F.count("*").alias("communities"))
+
+
+def bridges(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, foreign_communities, bridge_score): the share of a node's weight that leaves its community, for
+    nodes with neighbours in two foreign communities or more."""
+    cross = F.col("c_src") != F.col("c_dst")
+    out = _labelled(edges, labels).groupBy(F.col("src").alias("node")).agg(F.countDistinct(F.when(cross, F.col("c_dst"))).alias("foreign_communities"), F.round(F.sum(F.when(cross, F.col("w")).otherwise(0.0)) / F.sum("w"), 6).alias("bridge_score"))
+    return out.where("foreign_communities >= 2")

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import daily, ecosystem, features, graphs, iterative, people, ranking
-from tidemill.plans import serving
+from tidemill.plans import serving, views
 from tidemill.plans.catalog import DUCK, Catalog
 from tidemill.sources import adapters
 from tidemill.streaming import realtime
 
 CATALOG = Catalog()
-for module in (adapters, daily, ranking, ecosystem, features, people, graphs, serving):
+for module in (adapters, daily, ranking, ecosystem, features, people, graphs, serving, views):
     module.register(CATALOG)
 
 
@@ -34,6 +34,31 @@ def g04_repo_community(spark, sf_dir):
     return iterative.label_propagation(_similar(spark, sf_dir)).withColumnRenamed("node", "repo_name")
 
 
+def g05_repo_community_profile(spark, sf_dir):
+    labels = g04_repo_community(spark, sf_dir)
+    pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("part"), "l_partkey").alias("repo_name"), F.concat("l_returnflag", "l_linestatus").alias("kind"))
+    return iterative.community_profile(labels, pairs)
+
+
+def g09_repo_layer_community(spark, sf_dir):
+    """Label propagation of all layers in one run: a node is a repository within a layer."""
+    at = _frame("g09_repo_layer_edge", spark, sf_dir)
+    edges = at.select(*[F.concat_ws("|", "layer", x).alias(x) for x in ("src_repo", "dst_repo")], "jaccard")
+    labels = iterative.label_propagation(iterative.both_ways(edges, "src_repo", "dst_repo", "jaccard"))
+    part = lambda c, i: F.split_part(F.col(c), F.lit("|"), F.lit(i))
+    return labels.select(part("node", 1).alias("layer"), part("node", 2).alias("repo_name"), part("community_id", 2).alias("community_id"))
+
+
+def g15_modularity(spark, sf_dir):
+    edges = _similar(spark, sf_dir)
+    return iterative.modularity(edges, g04_repo_community(spark, sf_dir).withColumnRenamed("repo_name", "node"))
+
+
+def g15_bridge_score(spark, sf_dir):
+    edges = _similar(spark, sf_dir)
+    return iterative.bridges(edges, g04_repo_community(spark, sf_dir).withColumnRenamed("repo_name", "node")).withColumnRenamed("node", "repo_name")
+
+
 def g07_actor_pagerank(spark, sf_dir):
     return iterative.pagerank(_collab(spark, sf_dir)).withColumnRenamed("node", "actor_login")
 
@@ -97,7 +122,7 @@ def s03_realtime_anomaly_alerts(spark, sf_dir):
     return realtime.anomaly_alerts(realtime.drain(stream, ["window_start", "repo_name"]))
 
 
-PLANS = {f.__name__: f for f in (g04_repo_community, g07_actor_pagerank, g08_actor_coreness, g08_repo_coreness, m01_repo_clusters, m08_actor_persona, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts)}
+PLANS = {f.__name__: f for f in (g04_repo_community, g05_repo_community_profile, g09_repo_layer_community, g15_bridge_score, g15_modularity, g07_actor_pagerank, g08_actor_coreness, g08_repo_coreness, m01_repo_clusters, m08_actor_persona, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts)}
 
 
 def queries() -> dict:
