@@ -18,18 +18,23 @@ from tidemill.llm.common import components, maybe_broadcast, stash
 
 SMALL_BUCKET = 32
 BLOCK = 16
+#: Characters of two lines compared before the whole lines are.
+LOOK = 64
 SAME = ["doc_id", "text_hash"]
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _split(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, text_hash, pos, line, h1, h2) of lines long enough; spaces around a line don't count."""
-    at = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    at = at.withColumn("line", F.trim(F.regexp_replace("line", r"[\x09-\x0D]+", " "))).where(F.length("line") >= min_chars)
+    text = F.col("text")
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+    plain = F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D]+", " ")).otherwise(text)
+    at = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
+    at = at.withColumn("line", F.trim("line")).where(F.length("line") >= min_chars)
     return at.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def segment_keys(line: Column, threshold: int) -> Column:
-    """Array of (key, role): role 0 the line's own segments, role 1 substrings probing shorter lines' segments."""
+def segment_keys(line: Column, threshold: int) -> list[tuple[Column, int]]:
+    """(key, role): role 0 the line's own segments, role 1 substrings probing shorter lines' segments (null: none)."""
     k, size = threshold + 1, F.length(line)
     out = []
     for shorter in range(threshold + 1):
@@ -43,8 +48,8 @@ def segment_keys(line: Column, threshold: int) -> Column:
                 key = F.xxhash64(F.lit(i), target, F.substring(line, start + move, length))
                 own = shorter == 0 and move == 0
                 inside = (start + move >= 1) & (start + move + length - 1 <= size)
-                out.append(F.struct(F.when(inside, key).alias("key"), F.lit(0 if own else 1).cast("byte").alias("role")))
-    return F.filter(F.array(*out), lambda x: x["key"].isNotNull())
+                out.append((F.when(inside, key), 0 if own else 1))
+    return out
 
 
 def around_keys(line: Column, block: int) -> Column:
@@ -57,16 +62,34 @@ def around_keys(line: Column, block: int) -> Column:
     return F.concat(grid(0), grid(1))
 
 
-def within(a: Column, b: Column, threshold: int) -> Column:
-    """Whether the edit distance of two strings is at most the threshold: bit-parallel over a band of diagonals.
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _common(a: Column, b: Column, part) -> Column:
+    """Characters that part (F.left or F.right) of both strings shares, by bisection."""
+    most = F.least(F.length(a), F.length(b))
+    start = F.struct(F.lit(0).alias("low"), most.alias("high"))
+
+    def halve(held: Column, _: Column) -> Column:
+        mid = F.shiftright(held["low"] + held["high"] + 1, 1)
+        same = part(a, mid) == part(b, mid)
+        return F.struct(F.when(same, mid).otherwise(held["low"]).alias("low"), F.when(same, held["high"]).otherwise(mid - 1).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(most + 1)).cast("int"))
+    return F.aggregate(steps, start, halve, lambda held: held["low"])
+
+
+def _band(a: Column, b: Column, threshold: int, finish) -> Column:
+    """finish(bits of the last level, row of the table) after all characters of b, which is not empty.
 
     Bit d of level e says that prefixes whose lengths differ by d - threshold are within e edits; one step
     over a character of b moves all diagonals of the band at once.
     """
-    x, y = F.split(a, ""), F.split(b, "")
     t, band = threshold, (1 << (2 * threshold + 1)) - 1
     zero = F.lit(0).cast("int")
-    start = F.struct(*[F.lit(sum(1 << d for d in range(t, min(t + e, 2 * t) + 1))).cast("int").alias(f"r{e}") for e in range(t + 1)])
+    start = [F.lit(sum(1 << d for d in range(t, min(t + e, 2 * t) + 1))).cast("int") for e in range(t + 1)]
 
     def step(held: Column, j: Column) -> Column:
         match = zero
@@ -81,10 +104,28 @@ def within(a: Column, b: Column, threshold: int) -> Column:
             new.append(r)
         return F.struct(held["x"].alias("x"), held["y"].alias("y"), *[r.alias(f"r{e}") for e, r in enumerate(new)])
 
-    first = F.struct(x.alias("x"), y.alias("y"), *[start[f"r{e}"].alias(f"r{e}") for e in range(t + 1)])
-    steps = F.sequence(F.lit(0), F.size(y) - 1)
-    reached = F.aggregate(steps, first, step, lambda held: F.call_function("shiftright", held[f"r{t}"], F.size(held["x"]) - F.size(held["y"]) + t).bitwiseAND(F.lit(1)))
-    return F.when(F.abs(F.length(a) - F.length(b)) > t, F.lit(False)).otherwise(reached == 1)
+    first = F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), *[r.alias(f"r{e}") for e, r in enumerate(start)])
+    return F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), first, step, lambda held: finish(held[f"r{t}"], held))
+
+
+def within(a: Column, b: Column, threshold: int) -> Column:
+    """Whether the edit distance of two strings is at most the threshold: bit-parallel over a band of diagonals.
+
+    What both strings begin and end with is cut off first, which leaves the distance as it is. The band runs
+    over LOOK characters of the rest and, if a diagonal is still alive, over all of it.
+    """
+    t = threshold
+
+    def core(s: Column) -> Column:
+        n, m = F.length(s["x"]), F.length(s["y"])
+        near = _band(F.left(s["x"], F.lit(LOOK + t)), F.left(s["y"], F.lit(LOOK)), t, lambda bits, _: bits != 0)
+        whole = _band(s["x"], s["y"], t, lambda bits, held: F.call_function("shiftright", bits, F.size(held["x"]) - F.size(held["y"]) + t).bitwiseAND(F.lit(1)) == 1)
+        return F.when(F.abs(n - m) > t, F.lit(False)).when(m == 0, F.lit(True)).when(n == 0, m <= t).when(~near, F.lit(False)).otherwise(whole)
+
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ends = lambda s: _let(_common(s["x"], s["y"], F.right), lambda q: pair(F.left(s["x"], F.length(s["x"]) - q), F.left(s["y"], F.length(s["y"]) - q)))
+    starts = _let(_common(a, b, F.left), lambda p: pair(F.right(a, F.length(a) - p), F.right(b, F.length(b) - p)))
+    return F.when(F.abs(F.length(a) - F.length(b)) > t, F.lit(False)).otherwise(_let(_let(starts, ends), core))
 
 
 def _may_be_one_edit(a: Column, b: Column) -> Column:
@@ -103,9 +144,11 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return x.join(y, "key").where("a < b and (ra = 0 or rb = 0)").select("a", "b").distinct()
 
 
-def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, uniq: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """(id, label) of lines within the threshold of another line, by connected components; id is hex of (h1, h2)."""
-    keyed = lines.select("h1", "h2", F.explode(segment_keys(F.col("line"), threshold)).alias("s")).select("h1", "h2", "s.key", "s.role")
+    roles = [role for _, role in segment_keys(F.lit(""), threshold)]
+    keys = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(role).cast("byte").alias("role")) for i, role in enumerate(roles)])
+    keyed = uniq.select("h1", "h2", F.explode(keys).alias("s")).select("h1", "h2", "s.key", "s.role").where("key is not null")
     live = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("role").alias("role")).where("low <> high and role = 0").select("key")
     live = stash(live)
     ident = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
@@ -117,7 +160,11 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     hot = rows.join(large_keys, "key").select("h1", "h2").distinct()
     ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().unionByName(hot.select(ident.alias("id"))).distinct())
     ids = ids.select(F.conv(F.split_part("id", F.lit("-"), F.lit(1)), 16, -10).cast("long").alias("h1"), F.conv(F.split_part("id", F.lit("-"), F.lit(2)), 16, -10).cast("long").alias("h2"))
-    texts = lines.join(maybe_broadcast(ids, ids.count()), ["h1", "h2"]).groupBy("h1", "h2", "line").agg(F.count("*").alias("n"))
+    ids_here = maybe_broadcast(ids, ids.count())
+    homes = lines.join(ids_here, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct(*SAME)).alias("home"))
+    homes = stash(homes.select(F.col("home.doc_id").alias("k_id"), F.col("home.text_hash").alias("k_hash")).distinct())
+    there = docs.join(maybe_broadcast(homes, homes.count()), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash")), "left_semi")
+    texts = _split(there, min_chars).join(ids_here, ["h1", "h2"]).select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
     texts = stash(texts.select("h1", "h2", ident.alias("id"), "line"))
 
     if threshold == 1:
@@ -158,24 +205,28 @@ def line_dedup(docs: DataFrame, threshold: int = 1, min_chars: int = 20, doc_id:
     are replaced. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    lines = _lines(rows, min_chars)
-    labels = stash(near_lines(lines, threshold))
+    keys = [key.alias(f"k{i}") for i, (key, _) in enumerate(segment_keys(F.col("line"), threshold))]
+    lines = stash(_split(rows, min_chars).select(*SAME, "pos", "h1", "h2", *keys))
+    uniq = stash(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))]))
+    labels = stash(near_lines(rows, lines, uniq, threshold, min_chars))
     ident = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    seen = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     near_ids = labels.select(F.conv(F.split_part("id", F.lit("-"), F.lit(1)), 16, -10).cast("long").alias("h1"), F.conv(F.split_part("id", F.lit("-"), F.lit(2)), 16, -10).cast("long").alias("h2"), "label")
-    again = stash(seen.join(maybe_broadcast(near_ids, near_ids.count()), ["h1", "h2"], "left").where("n > 1 or label is not null").select("h1", "h2", F.coalesce("label", ident).alias("class")))
+    again = stash(uniq.select("h1", "h2", "n").join(maybe_broadcast(near_ids, near_ids.count()), ["h1", "h2"], "left").where("n > 1 or label is not null").select("h1", "h2", F.coalesce("label", ident).alias("class")))
     repeats = lines.select(*SAME, "pos", "h1", "h2").join(maybe_broadcast(again, again.count()), ["h1", "h2"])
     firsts = repeats.groupBy("class", *SAME).agg(F.min("pos").alias("pos"))
     owner = firsts.groupBy("class").agg(F.min(F.struct(*[order[c].alias(c) for c in ("none", "doc_id", "text_hash")], "pos")).alias("own"))
     gone = repeats.join(owner, "class").where(~(F.col("doc_id").eqNullSafe(F.col("own.doc_id")) & (F.col("text_hash") == F.col("own.text_hash")) & (F.col("pos") == F.col("own.pos"))))
-    gone = stash(gone.groupBy(*SAME).agg(F.collect_set("pos").alias("gone")))
-    keyed = gone.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "gone")
+    gone = stash(gone.groupBy(*SAME).agg(F.sort_array(F.collect_set("pos")).alias("gone")))
+    # One character a line, 1 for lines that go, so that no line has to be looked up in a list.
+    runs = F.transform("gone", lambda pos, i: F.concat(F.repeat(F.lit("0"), pos - F.when(i > 0, F.get("gone", i - 1)).otherwise(-1) - 1), F.lit("1")))
+    k_id, k_hash, n_gone, mask = ("_" * max(map(len, docs.columns)) + name for name in ("id", "hash", "n_gone", "mask"))  # no column of docs
+    keyed = gone.select(F.col("doc_id").alias(k_id), F.col("text_hash").alias(k_hash), F.size("gone").alias(n_gone), F.encode(F.array_join(runs, ""), "utf-8").alias(mask))
     out = docs.drop("n_lines", "n_removed")
-    joined = out.join(maybe_broadcast(keyed, gone.count(), 200_000), F.col(doc_id).eqNullSafe(F.col("k_id")) & (F.xxhash64(F.col(text)) == F.col("k_hash")), "left")
+    joined = out.join(maybe_broadcast(keyed, gone.count(), 200_000), F.col(doc_id).eqNullSafe(F.col(k_id)) & (F.xxhash64(F.col(text)) == F.col(k_hash)), "left")
     parts = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    joined = joined.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long") if docs.sparkSession.conf.get("spark.sql.legacy.sizeOfNull", "false") == "false" else F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    joined = joined.withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"))
-    clean = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    joined = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"))
+    joined = joined.withColumn("n_removed", F.coalesce(n_gone, F.lit(0)).cast("long"))
+    kept = F.filter(parts, lambda _, i: F.substring(F.col(mask), i + 1, F.lit(1)) != F.lit(b"1"))
+    clean = F.when(F.col(mask).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[clean.alias(text) if c == text else F.col(c) for c in out.columns], "n_lines", "n_removed")
