@@ -140,6 +140,22 @@ def _histogram(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> _U(58)).astype(np.int64), minlength=_BINS), 65535).astype("<u2").tobytes()
 
 
+def _fine(s: np.ndarray) -> bytes | None:
+    """A histogram of about 8 to 16 items a bin; None where the plain one is as fine."""
+    bits = min(20, (len(s) // 16).bit_length())
+    if bits <= 6:
+        return None
+    return np.minimum(np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 65535).astype("<u2").tobytes()
+
+
+def _overlap(p: bytes, q: bytes) -> int | None:
+    """The most that two fine histograms' sets can share, by the coarser one's bins; None if a bin is full."""
+    x, y = sorted((np.frombuffer(h, "<u2") for h in (p, q)), key=len)
+    if (x == 65535).any() or (y == 65535).any():
+        return None
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(1, dtype=np.int64)).sum(dtype=np.int64))
+
+
 def bands(longest: int, num: int, den: int) -> list[tuple[int, int]]:
     """Size bands (low, high): partners of a set lie in its own band or in a neighbouring one."""
     out, low = [], 1
@@ -186,9 +202,9 @@ def _signatures(s: np.ndarray, band: int, exact: int, deletion: int) -> np.ndarr
 def _describe(k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            rows = [(len(s), *_node(s), _histogram(s)) if len(s) else (0, 0, 0, None) for s in text_sets(x.column("text").to_pylist(), k, seed)]
-            n, d1, d2, hist = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(hist, pa.binary())], names=["doc_id", "n", "node", "check", "hist"])
+            rows = [(len(s), *_node(s), _histogram(s), _fine(s)) if len(s) else (0, 0, 0, None, None) for s in text_sets(x.column("text").to_pylist(), k, seed)]
+            n, d1, d2, hist, fine = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(hist, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "node", "check", "hist", "fine"])
 
     return run
 
@@ -314,6 +330,18 @@ def _sieve(num: int, den: int):
     return run
 
 
+def _fine_sieve(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keep = []
+            for na, nb, p, q in zip(*(x.column(c).to_pylist() for c in ("na", "nb", "fa", "fb")), strict=True):
+                top = _overlap(p, q) if p and q else None
+                keep.append(top is None or den * top >= num * (na + nb - top))
+            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _cross(num: int, den: int):
     """Rows (sig, i, j, side, comp, node, n, hist) in order of (sig, i, j): pairs across components that may link."""
 
@@ -409,8 +437,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     for seed in range(4):
-        known = stash(rows.mapInArrow(_describe(k, seed), "doc_id long, n long, node long, check long, hist binary"))
-        nodes = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("hist").alias("hist"))
+        known = stash(rows.mapInArrow(_describe(k, seed), "doc_id long, n long, node long, check long, hist binary, fine binary"))
+        nodes = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("hist").alias("hist"), F.min("fine").alias("fine"))
         nodes = stash(nodes)
         if nodes.where("c0 <> c1").isEmpty():
             break
@@ -441,7 +469,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         return checked(checked(pairs, "short", _narrow), "items", _verify)
 
     def sieved(pairs: DataFrame) -> DataFrame:
-        return stash(pairs.join(brief.toDF("a", "na", "ha"), "a").join(brief.toDF("b", "nb", "hb"), "b").mapInArrow(_sieve(num, den), "a long, b long"))
+        coarse = stash(pairs.join(brief.toDF("a", "na", "ha"), "a").join(brief.toDF("b", "nb", "hb"), "b").mapInArrow(_sieve(num, den), "a long, b long"))
+        fine = nodes.select("node", "n", "fine")  # chance pairs of large sets pass 64 bins
+        return stash(coarse.join(fine.toDF("a", "na", "fa"), "a").join(fine.toDF("b", "nb", "fb"), "b").mapInArrow(_fine_sieve(num, den), "a long, b long"))
 
     # Sets travel with the pairs they verify, so each node first has one pair only, with its smallest partner.
     star = sieved(met.where("kind = 0").select("a", "b").distinct())
