@@ -70,3 +70,17 @@ def test_allocation_meets_the_pigeonhole_bound(rows):
         exact, deletion = nj.allocate(low, high, rows, 85, 100)
         budget = 2 * high * 15 // 185
         assert exact + 2 * deletion == (budget + 1 if budget else 0)
+
+
+def test_fine_histograms_bound_the_overlap():
+    r = np.random.default_rng(5)
+    draw = lambda n: np.unique(r.integers(0, 1 << 64, n, np.uint64, endpoint=False) if n else np.zeros(0, np.uint64))
+    assert nj._fine(draw(1000)) is None
+    for n, m, both in [(3000, 3000, 2800), (4000, 4200, 3700), (5000, 5000, 0), (8191, 8193, 7000)]:
+        shared = draw(both)
+        a, b = (np.unique(np.concatenate((shared, draw(x - both)))) for x in (n, m))
+        top = nj._overlap(nj._fine(a), nj._fine(b))
+        assert top >= len(np.intersect1d(a, b))
+        assert top == nj._overlap(nj._fine(b), nj._fine(a))
+        if not both:
+            assert 100 * top < 85 * (len(a) + len(b) - top)
