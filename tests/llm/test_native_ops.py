@@ -86,6 +86,51 @@ def test_line_dedup_edges(spark):
     assert got == [("1", line, 0), ("1", line, 0), ("2", "", 1), ("None", "", 1)]
 
 
+def one_word(a, b):
+    """Whether two lines differ in one word, replaced or left out, of at most a tenth of its line."""
+    x, y = a.split(" "), b.split(" ")
+    fits = lambda w, line: 10 * len(w) <= len(line)
+    if len(x) == len(y):
+        at = [i for i in range(len(x)) if x[i] != y[i]]
+        return len(at) == 1 and fits(x[at[0]], a) and fits(y[at[0]], b)
+    if len(x) < len(y):
+        x, y, b = y, x, a
+        a = " ".join(x)
+    return len(x) == len(y) + 1 and any(x[:i] + x[i + 1 :] == y and fits(x[i], a) for i in range(len(x)))
+
+
+def test_lines_but_for_one_word(spark):
+    r, vocab = random.Random(8), ["alpha", "an", "of", "river", "longerword", "über", "😀"]
+    base = [[r.choice(vocab) for _ in range(r.choice([1, 3, 9, 14, 20]))] for _ in range(12)]
+    lines = []
+    for _ in range(110):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, 2)):
+            i = r.randrange(len(w) + 1)
+            w[i : i + r.randint(0, 1)] = r.choice([[], ["sand"], ["stone"], ["incomparably"]])
+        lines.append(" ".join(w))
+    lines += ["b c " + "word " * 9 + "end", "c b " + "word " * 9 + "end", "b " + "word " * 9 + "end", "tiny", "tiny", "x" * 30, "y", "x" * 30 + " y"]
+    texts = sorted(set(lines))
+    up = {s: s for s in texts}
+
+    def root(s):
+        while up[s] != s:
+            s = up[s]
+        return s
+
+    for i, a in enumerate(texts):
+        for b in texts[i + 1 :]:
+            if len(a) >= 20 and len(b) >= 20 and (one_word(a, b) or (abs(len(a) - len(b)) <= 1 and edits(a, b) <= 1)):
+                up[root(a)] = root(b)
+    own = {}
+    for d, s in enumerate(lines):
+        own.setdefault(root(s), d)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.n_removed for x in ld.line_dedup(docs, one_word=True, exact_chars=1).collect()}
+    assert got == {d: int(own[root(s)] != d and s != "") for d, s in enumerate(lines)}
+    assert len(set(map(root, texts))) < len(texts) - 10
+
+
 def words5(t):
     t = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)

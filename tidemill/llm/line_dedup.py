@@ -7,6 +7,10 @@ one line only are dropped by an aggregate that combines on the map side. Small b
 Buckets over SMALL_BUCKET lines are dealt anew by what surrounds each block of 16 characters, then, if still
 large, by what surrounds each single character: lines agreeing there are one edit apart, and a star links
 them. Candidates are verified by a banded bit-parallel edit distance.
+
+With one_word, lines also link that differ in one whole word, replaced or left out, of at most a tenth of its
+line: they meet on hashes of all other words, which XOR gives in one step for each word, and are then grouped
+by those words themselves.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ SMALL_BUCKET = 32
 BLOCK = 16
 #: Characters of two lines compared before the whole lines are.
 LOOK = 64
+#: A word that lines may differ in is at most such a part of its line.
+WORD_SHARE = 10
 SAME = ["doc_id", "text_hash"]
 
 
@@ -144,8 +150,51 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return x.join(y, "key").where("a < b and (ra = 0 or rb = 0)").select("a", "b").distinct()
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, uniq: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """(id, label) of lines within the threshold of another line, by connected components; id is hex of (h1, h2)."""
+def _texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, line) of the lines named by ids, read from the first document of each."""
+    ids_here = maybe_broadcast(ids, ids.count())
+    homes = lines.join(ids_here, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct(*SAME)).alias("home"))
+    homes = stash(homes.select(F.col("home.doc_id").alias("k_id"), F.col("home.text_hash").alias("k_hash")).distinct())
+    there = docs.join(maybe_broadcast(homes, homes.count()), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash")), "left_semi")
+    return _split(there, min_chars).join(ids_here, ["h1", "h2"]).select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
+
+
+def word_keys(line: Column) -> Column:
+    """Structs (key, role, i): role 0 the line but for word i, role 1 its words but word i in any order, role 2 all its words so."""
+    xor = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
+    row = lambda key, role, i: F.struct(key.alias("key"), F.lit(role).cast("byte").alias("role"), i.cast("int").alias("i"))
+
+    def keys(s: Column) -> Column:
+        words, n = s["words"], F.size(s["words"])
+        may_go = lambda w: F.length(w) * WORD_SHARE <= s["size"]
+        other = F.transform(words, lambda w, i: row(F.when(may_go(w), F.xxhash64(F.lit(0), n, i, s["placed"].bitwiseXOR(F.xxhash64(i, w)))), 0, i))
+        fewer = F.transform(words, lambda w, i: row(F.when(may_go(w), F.xxhash64(F.lit(1), n - 1, s["loose"].bitwiseXOR(F.xxhash64(w)))), 1, i))
+        return F.concat(other, fewer, F.array(row(F.xxhash64(F.lit(1), n, s["loose"]), 2, F.lit(-1))))
+
+    hashed = lambda s: F.struct(s["words"].alias("words"), s["size"].alias("size"), xor(F.transform(s["words"], lambda w, i: F.xxhash64(i, w))).alias("placed"), xor(F.transform(s["words"], lambda w: F.xxhash64(w))).alias("loose"))
+    return _let(_let(F.struct(F.split(line, " ").alias("words"), F.length(line).alias("size")), hashed), keys)
+
+
+def word_links(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
+    """(a, b): links of lines that differ in one word of at most a WORD_SHARE-th of its line; a star each where many agree but for one word."""
+    keyed = _split(docs, min_chars).select("h1", "h2", F.explode(word_keys(F.col("line"))).alias("s")).select("h1", "h2", "s.*").where("key is not null")
+    live = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("role").alias("r0"), F.max("role").alias("r1"))
+    live = stash(live.where("low <> high and (r1 = 0 or (r0 = 1 and r1 = 2))").select("key"))
+    rows = stash(keyed.join(maybe_broadcast(live, live.count()), "key").select("h1", "h2", "role", "i").distinct())
+    texts = stash(_texts(docs, lines, rows.select("h1", "h2").distinct(), min_chars))
+    words, i = F.split("line", " "), F.col("i")
+    before, after = F.slice(words, F.lit(1), F.greatest(i, F.lit(0))), F.slice(words, i + 2, F.size(words))
+    place = F.when(F.col("role") == 0, i).otherwise(-1)  # lines that lack a word agree wherever it stood
+    held = rows.join(texts, ["h1", "h2"]).withColumn("rest", F.when(F.col("role") == 2, F.col("line")).otherwise(F.array_join(F.concat(before, after), " ")))
+    held = held.select(F.concat(F.hex("h1"), F.lit("-"), F.hex("h2")).alias("id"), "role", place.alias("place"), F.size(words).alias("n"), F.xxhash64("rest").alias("g1"), F.xxhash64(F.lit(1), "rest").alias("g2"))
+    held = stash(held.withColumn("n", F.when(F.col("role") == 2, F.col("n") + 1).otherwise(F.col("n"))))
+    group = ["g1", "g2", "place", "n"]
+    hub = held.groupBy(*group).agg(F.min(F.when(F.col("role") != 1, F.col("id"))).alias("hub"))
+    return held.join(hub, group).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, uniq: DataFrame, threshold: int, min_chars: int, one_word: bool = False) -> DataFrame:
+    """(id, label) of lines linked to another line, by connected components; id is hex of (h1, h2)."""
     roles = [role for _, role in segment_keys(F.lit(""), threshold)]
     keys = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(role).cast("byte").alias("role")) for i, role in enumerate(roles)])
     keyed = uniq.select("h1", "h2", F.explode(keys).alias("s")).select("h1", "h2", "s.key", "s.role").where("key is not null")
@@ -160,11 +209,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, uniq: DataFrame, threshold: in
     hot = rows.join(large_keys, "key").select("h1", "h2").distinct()
     ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().unionByName(hot.select(ident.alias("id"))).distinct())
     ids = ids.select(F.conv(F.split_part("id", F.lit("-"), F.lit(1)), 16, -10).cast("long").alias("h1"), F.conv(F.split_part("id", F.lit("-"), F.lit(2)), 16, -10).cast("long").alias("h2"))
-    ids_here = maybe_broadcast(ids, ids.count())
-    homes = lines.join(ids_here, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct(*SAME)).alias("home"))
-    homes = stash(homes.select(F.col("home.doc_id").alias("k_id"), F.col("home.text_hash").alias("k_hash")).distinct())
-    there = docs.join(maybe_broadcast(homes, homes.count()), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash")), "left_semi")
-    texts = _split(there, min_chars).join(ids_here, ["h1", "h2"]).select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
+    texts = _texts(docs, lines, ids, min_chars)
     texts = stash(texts.select("h1", "h2", ident.alias("id"), "line"))
 
     if threshold == 1:
@@ -191,24 +236,28 @@ def near_lines(docs: DataFrame, lines: DataFrame, uniq: DataFrame, threshold: in
     if threshold == 1:
         both = stash(both.where(_may_be_one_edit(F.col("la"), F.col("lb"))))
     links = stash(both.where(within(F.col("la"), F.col("lb"), threshold)).select("a", "b"))
+    if one_word:
+        links = stash(links.unionByName(word_links(docs, lines, min_chars)))
     return components(links).select(F.col("node").alias("id"), F.col("component").alias("label"))
 
 
-def line_dedup(docs: DataFrame, threshold: int = 1, min_chars: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: int = 1, min_chars: int = 20, doc_id: str = "doc_id", text: str = "text", one_word: bool = False, exact_chars: int | None = None) -> DataFrame:
     """All columns of docs, text without its duplicate lines, and n_lines, n_removed (long).
 
     A line is what lies between line feeds; spaces around it don't count in comparisons. Lines shorter than
-    min_chars are left alone. Lines equal or linked by chains of edit distances up to the threshold form a
-    class; its first line in the document of the smallest id stays, all others go. Null and empty texts are
+    min_chars are left alone, but of exact_chars and more, where given, repeats of them go. Lines equal or linked
+    by chains of edit distances up to the threshold (with one_word also of one other, missing or added word of at
+    most a tenth of its line) form a class; its first line in the document of the smallest id stays, all others go. Null and empty texts are
     returned as they are, with no line or one. Rows with the same id and text are one document seen twice:
     each keeps the same lines. Rows with a null id come after all others. Columns named like the two counts
     are replaced. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    keys = [key.alias(f"k{i}") for i, (key, _) in enumerate(segment_keys(F.col("line"), threshold))]
-    lines = stash(_split(rows, min_chars).select(*SAME, "pos", "h1", "h2", *keys))
+    least = min_chars if exact_chars is None else min(min_chars, exact_chars)
+    keys = [F.when(F.length("line") >= min_chars, key).alias(f"k{i}") for i, (key, _) in enumerate(segment_keys(F.col("line"), threshold))]
+    lines = stash(_split(rows, least).select(*SAME, "pos", "h1", "h2", *keys))
     uniq = stash(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))]))
-    labels = stash(near_lines(rows, lines, uniq, threshold, min_chars))
+    labels = stash(near_lines(rows, lines, uniq, threshold, min_chars, one_word))
     ident = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     near_ids = labels.select(F.conv(F.split_part("id", F.lit("-"), F.lit(1)), 16, -10).cast("long").alias("h1"), F.conv(F.split_part("id", F.lit("-"), F.lit(2)), 16, -10).cast("long").alias("h2"), "label")
