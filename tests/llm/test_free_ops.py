@@ -73,6 +73,26 @@ def test_plan_places_every_piece_and_beats_greedy(seed):
     assert -(-sum(k * n for k, n in h.items()) // 100) <= sum(n for _, n in plan) <= greedy
 
 
+@pytest.mark.parametrize("kind", ["many long lengths", "best fit is not optimal"])
+def test_program_covers_every_length_within_its_bound(kind):
+    if kind == "many long lengths":  # more than rounds, of which a configuration holds one
+        r = random.Random(6)
+        h, capacity = {**{k: 1 + k % 3 for k in range(513, 900)}, **{k: r.randint(1, 9) for k in range(1, 200)}}, 1024
+    else:  # 50 + 30 + 20 fill a sequence; best fit puts the 30s and 20s elsewhere
+        h, capacity = {44: 60, 30: 180, 26: 120, 20: 60}, 100
+    lengths, counts = np.array(sorted(h)), np.array([h[k] for k in sorted(h)], float)
+    configs, value, bound = pk.solve(lengths, counts, capacity, 160)
+    cover = np.zeros(len(lengths))
+    for config, x in configs:
+        assert sum(int(lengths[i]) * n for i, n in config.items()) <= capacity
+        for i, n in config.items():
+            cover[i] += n * x
+    assert (cover >= counts - 1e-6).all()
+    assert sum(x for _, x in configs) == pytest.approx(value)
+    assert bound <= value <= 1.06 * bound
+    assert sum(n for _, n in pk.plan(h, capacity)) <= sum(n for _, n in pk.best_fit(h, capacity))
+
+
 def test_pricing_equals_brute_force():
     lengths, values = np.array([3, 5, 7]), np.array([2.0, 3.9, 5.0])
     best = max(a * 2.0 + b * 3.9 + c * 5.0 for a in range(8) for b in range(5) for c in range(4) if 3 * a + 5 * b + 7 * c <= 22)

@@ -2,8 +2,9 @@
 
 Documents become token pieces of at most `capacity`. Their length histogram (at most `capacity` rows, so its
 size is bounded whatever the input) goes to the driver, where multiplicative weights solve the configuration
-LP: lengths that are covered too little gain weight, a knapsack dynamic program over the capacity prices the
-best configuration, which is added at a step. The fractional solution is rounded down to whole
+LP: from the configurations of best fit on, lengths that are covered too little gain weight, and a knapsack
+dynamic program over the capacity prices the best configurations with them, until the duality gap is under
+one sequence. The fractional solution is rounded down to whole
 configurations; the few pieces left are packed best fit, longest first, on the histogram. The plan (the
 number of sequences of each configuration) is applied to the pieces by their rank within their length.
 """
@@ -26,7 +27,9 @@ from tidemill.llm.common import stash
 
 SALTS = 64
 ROUNDS = 160
-STEP = 0.25
+STEP = 0.5
+#: Configurations of at least such a share of the best one's value are taken in a round.
+WORTH = 0.9
 _CACHE_WORDS = 600_000
 _LONG = 1 << 20
 #: The splitting rule that _PART follows, as it stands in the tokenizer's file.
@@ -126,8 +129,8 @@ def pieces_of(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_
     return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
-    """Unbounded knapsack by dynamic programming: the configuration of the highest value."""
+def _table(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: the highest value of each room, and the last length taken (or -1)."""
     best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     ends = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
@@ -137,8 +140,11 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
             k = int(gains.argmax())
             if gains[k] > best[c]:
                 best[c], taken[c] = gains[k], k
+    return best, taken
+
+
+def _trace(lengths: np.ndarray, taken: np.ndarray, c: int) -> Counter:
     out: Counter = Counter()
-    c = capacity
     while c > 0:
         if taken[c] < 0:
             c -= 1
@@ -148,22 +154,60 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[Counter, float]]:
-    """Configurations (of indexes of lengths) and their fractional numbers, by multiplicative weights."""
-    cover = np.zeros(len(lengths))
+def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
+    """The configuration of the highest value."""
+    return _trace(lengths, _table(lengths, values, capacity)[1], capacity)
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[Counter, float]], float, float]:
+    """Configurations (of indexes of lengths) with their fractional numbers, the sum of these, and a lower bound.
+
+    Multiplicative weights start from the configurations of best fit, so every length is covered at any time.
+    A round prices once; from its table come the best configurations that hold each of the least covered
+    lengths, none of which may raise a length's cover by more than a share of the least cover, which falls
+    from STEP. The weights of each round, and their mean, bound the program from below. Rounds end when sum
+    and bound are less than one sequence apart; else the gap is what the rounds leave.
+    """
+    index = {int(k): i for i, k in enumerate(lengths)}
     used: dict[tuple, float] = {}
-    for _ in range(rounds):
-        low = cover.min()
-        values = np.exp(-(cover - low) / STEP) / counts
+    for pattern, n in best_fit({int(k): int(n) for k, n in zip(lengths, counts, strict=True)}, capacity):
+        key = tuple(sorted(Counter(index[k] for k in pattern).items()))
+        used[key] = used.get(key, 0) + n
+    cover, bound = np.ones(len(lengths)), float(lengths @ counts) / capacity
+    best, value = dict(used), sum(used.values())
+    for small in range(1, capacity // 2 + 1):  # weights that no configuration can sum to more than 1 of
+        bound = max(bound, float(np.where(lengths > capacity - small, 1, np.where(lengths < small, 0, lengths / capacity)) @ counts))
+    mean = np.zeros(len(lengths))
+    for t in range(rounds):
+        if value - bound < 1:
+            break
+        pace = STEP / (1 + t / 8)  # of the least cover, so that early configurations fade
+        step_up = pace * cover.min()
+        values = np.exp(-(cover - cover.min()) / step_up) / counts
         values = values / values.max() + 1e-9 * lengths / capacity  # ties go to fuller configurations
-        config = price(lengths, values, capacity)
-        step = STEP * min(counts[i] / n for i, n in config.items())
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0) + step
-        for i, n in config.items():
-            cover[i] += n * step / counts[i]
-    scale = max(cover.min(), 1e-9)
-    return [(Counter(dict(k)), x / scale) for k, x in used.items()]
+        table, taken = _table(lengths, values, capacity)
+        mean = mean * t / (t + 2) + values / table[capacity] * 2 / (t + 2)  # later weights count for more
+        bound = max(bound, float(values @ counts) / table[capacity])
+        if t % 8 == 7:
+            bound = max(bound, float(mean @ counts) / _table(lengths, mean, capacity)[0][capacity])
+        grown = np.zeros(len(lengths))
+        worth = values + table[capacity - lengths]  # of the best configuration with each length
+        for first in np.lexsort((-worth, cover)):
+            if cover[first] > cover.min() + step_up or worth[first] < WORTH * table[capacity]:
+                continue
+            config = _trace(lengths, taken, capacity - int(lengths[first])) + Counter([int(first)])
+            step = min((step_up - grown[i]) * counts[i] / n for i, n in config.items())
+            if step <= 1e-9:
+                continue
+            key = tuple(sorted(config.items()))
+            used[key] = used.get(key, 0) + step
+            for i, n in config.items():
+                cover[i] += n * step / counts[i]
+                grown[i] += n * step / counts[i]
+        low = cover.min()
+        if sum(used.values()) / low < value:
+            best, value = {k: x / low for k, x in used.items()}, sum(used.values()) / low
+    return [(Counter(dict(k)), x) for k, x in best.items()], value, bound
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -204,15 +248,12 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list
     if not histogram:
         return whole
     greedy = best_fit(histogram, capacity)
-    total = sum(k * n for k, n in histogram.items())
-    if sum(n for _, n in greedy) == -(-total // capacity):
-        rounds = min(rounds, 40)  # as few as any packing can have; the program still gives its own
     lengths = np.array(sorted(histogram))
     counts = np.array([histogram[k] for k in lengths], float)
     left, rounded = dict(histogram), []
     fullness = lambda x: -sum(int(lengths[i]) * n for i, n in x[0].items())
-    for config, x in sorted(solve(lengths, counts, capacity, rounds), key=fullness):
-        times = min([int(x), *(left[int(lengths[i])] // n for i, n in config.items())])
+    for config, x in sorted(solve(lengths, counts, capacity, rounds)[0], key=fullness):
+        times = min([int(x + 1e-6), *(left[int(lengths[i])] // n for i, n in config.items())])
         if times:
             rounded.append(([int(lengths[i]) for i, n in sorted(config.items(), reverse=True) for _ in range(n)], times))
             for i, n in config.items():
