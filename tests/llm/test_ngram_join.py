@@ -53,6 +53,19 @@ def test_equals_brute_force(spark, k, num, den, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, k, num, den)
 
 
+def test_counts_every_link(spark, monkeypatch):
+    r, vocab = random.Random(9), [f"w{i}" for i in range(300)]
+    base = [r.choice(vocab) for _ in range(120)]
+    rows = [(i, " ".join(w for j, w in enumerate(base) if not (i and j in (i, i // 3)))) for i in range(60)] + corpus(4, 5, 8) + [(9001, None), (9002, " ".join(base))]
+    monkeypatch.setattr(nj, "BLOCK", 7)
+    got = nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85, 100).collect()
+    cut = lambda t: (t or "").lower().split()
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset() for w in (cut(t) for _, t in rows)]
+    links = [sum(1 for b in set(sets) if a and b and a != b and 100 * len(a & b) >= 85 * len(a | b)) for a in sets]
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted((d, n) for (d, _), n in zip(rows, links, strict=True))
+    assert max(links) > 30
+
+
 def test_empty_table(spark):
     assert nj.ngram_jaccard_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -424,14 +424,15 @@ def _verify(num: int, den: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, n_links.
 
     Two documents link when den * |A and B| >= num * |A or B| over sets of distinct k-word shingles
     (words cut at ASCII white space, A-Z lower-cased). A text of fewer words is one shingle; null, empty and
     blank texts have empty sets and link with nothing, so their component is their own id. component_id is
-    the smallest doc_id reachable by links. n_links counts the verified links of the row's set to other
-    sets; pairs that other links connect already are not verified again, so it is a lower bound. Rows of
+    the smallest doc_id reachable by links. n_links counts the links of the row's set to other sets,
+    for which every candidate pair is verified, so its cost grows with the number of links; with count_links
+    False the column is left out, and pairs that other links connect already are not verified. Rows of
     equal sets, repeated rows and null ids included, share a component; a null id is never a component's
     smallest unless it is alone. Other columns are ignored. An empty table gives no rows.
     """
@@ -484,24 +485,33 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     hot = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct()
     hot = hot.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = hot.groupBy("sig").agg(F.count("*").alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    left = hot.join(mixed.select("sig", "g"), "sig").join(brief, "node")
-    own = left.withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = own.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("sig", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.when(F.col("own") == F.col("x"), 2).when(F.col("own") < F.col("x"), 0).otherwise(1).alias("side"), "comp", "node", "n", "hist")
-    crossed = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_cross(num, den), "a long, b long")
-    rest = sieved(rest.unionByName(crossed).distinct())
+
+    def across(hot: DataFrame) -> DataFrame:
+        """Pairs of different comp within buckets, dealt out by blocks."""
+        mixed = hot.groupBy("sig").agg(F.count("*").alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        left = hot.join(mixed.select("sig", "g"), "sig").join(brief, "node")
+        own = left.withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        other = own.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = other.select("sig", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.when(F.col("own") == F.col("x"), 2).when(F.col("own") < F.col("x"), 0).otherwise(1).alias("side"), "comp", "node", "n", "hist")
+        return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_cross(num, den), "a long, b long")
+
+    rest = sieved(rest.unionByName(across(hot)).distinct())
     if not rest.isEmpty():
         links = links.unionByName(verified(rest))
         labels = stash(components(links))
 
+    if count_links:  # each set as a component of its own, so that no pair is left out
+        inside = across(hot.select("sig", "node", F.col("node").alias("comp")))
+        every = met.where("kind <> 1").select("a", "b").unionByName(inside).distinct()
+        links = verified(sieved(every))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     reach = nodes.select("node", "rep").join(labels, "node")
     low = reach.groupBy("component").agg(F.min("rep").alias("low"))
     final = reach.join(low, "component").select("node", "low")
     final = nodes.select("node", "rep").join(final, "node", "left").join(degree, "node", "left").select("node", F.coalesce("low", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = known.join(final, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+    return out if count_links else out.drop("n_links")
 
 
 def _band_sql(size_bands: list[tuple[int, int]]) -> str:

@@ -25,7 +25,7 @@ def op1_line_dedup(spark, sf_dir):
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100, count_links=False).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_token_counts(spark, sf_dir):
