@@ -140,6 +140,13 @@ def test_main_text():
     assert ht.main_text("<p>cut off in <b>a t").startswith("cut off in")
 
 
+def test_ratios_select_across_containers():
+    long = ["Paragraph %d of the story goes on for a good while and holds no markup at all." % i for i in range(4)]
+    nav = "<nav>" + "<a href='/x'>Home</a><br>" * 6 + "</nav>"
+    page = nav + "<article><p>A teaser of the story that follows.</p></article><div>" + "".join(f"<p>{p}</p>" for p in long) + "</div>"
+    assert ht.main_text(page) == " ".join(["A teaser of the story that follows.", *long])
+
+
 def test_html_query_shape(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (None, None, None, 5), (1, "u", PAGE, 5)], "page_id long, url string, html string, n_chars int")
     got = ht.html_text(pages).collect()

@@ -30,6 +30,8 @@ SCOPES = {"ul", "ol", "dl", "table", "body", "html", "article", "main", "section
 MAIN = {"article", "main"}
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
+#: What the logarithm of a ratio gains in a main container.
+PRIOR = 3.0
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
@@ -94,19 +96,19 @@ def content_lines(lines: list[tuple[str, int, bool, bool]]) -> list[str]:
     Ratios of characters to tags are smoothed along the page; the threshold is the best split of their
     logarithms into two clusters. A region runs from the first to the last line over it, so that short
     paragraphs between long ones stay. Lines that markup names as boilerplate are never content. Where
-    markup names the main container, every line in it belongs to the region, and no other line does.
+    markup names a main container, its lines gain PRIOR and boilerplate, clustered with them, loses it.
     """
-    usable = [not aside for *_, aside in lines]
-    if any(main and ok for (_, _, main, _), ok in zip(lines, usable, strict=True)):
-        return [x[0] for x, ok in zip(lines, usable, strict=True) if ok and x[2]]
-    if not any(usable):
+    usable = np.array([not aside for *_, aside in lines], bool)
+    if not usable.any():
         return []
-    ratio = np.array([len(t) / n if ok else 0.0 for (t, n, _, _), ok in zip(lines, usable, strict=True)])
+    main = np.array([m for _, _, m, _ in lines], bool) & usable
+    led = bool(main.any())
+    ratio = np.array([len(t) / n if led or not aside else 0.0 for t, n, _, aside in lines])
     reach = np.arange(-3, 4)
     kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
     smooth = np.convolve(np.pad(ratio, 3), kernel / kernel.sum(), "valid")
-    value = np.log1p(smooth)
-    high = np.array(usable)
+    value = np.log1p(smooth) + (PRIOR * main - PRIOR * ~usable if led else 0.0)
+    high = usable | led
     low, top = value[high].min(), value[high].max()
     if top - low > 0.5:
         for _ in range(20):
@@ -116,9 +118,8 @@ def content_lines(lines: list[tuple[str, int, bool, bool]]) -> list[str]:
             if new == (low, top):
                 break
             low, top = new
-        cut = (low + top) / 2
-        at = np.flatnonzero(high & (value > cut))
-        return [lines[i][0] for i in range(at[0], at[-1] + 1) if usable[i]]
+        at = np.flatnonzero(usable & (value > (low + top) / 2))
+        return [lines[i][0] for i in range(at[0], at[-1] + 1) if usable[i]] if len(at) else []
     return [x[0] for x, ok in zip(lines, usable, strict=True) if ok]
 
 
