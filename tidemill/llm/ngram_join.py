@@ -2,14 +2,20 @@
 
 Every document is the set of its distinct k-word shingles, held as 64-bit hashes. Sizes fall into bands
 whose ends differ by the similarity at most, so partners lie in the same or the next band. A band's pairs
-differ in at most H shingles; the shingle universe is hashed into segments so that at least one segment of
-a qualifying pair agrees: ``exact`` segments stand for one difference each, ``deletion`` segments, which
-also index every one-deletion neighbour, for two (exact + 2 * deletion = H + 1). How many of each a band
-gets is chosen by the cost of index rows against expected chance collisions at the band's row count.
-Segment signatures meet in one shuffle. Every bucket first gives a star to its smallest member; then, where
-these links left members in different components, small buckets give their other pairs and larger ones,
-block by block, every pair that a 64-bin histogram bound can't rule out. Candidates are verified on the
-whole sets.
+differ in at most H shingles. The shingle universe is hashed into segments worth more than H units: an
+``exact`` segment is one unit, which a difference can spoil; a ``deletion`` segment, of which every
+one-deletion neighbour is indexed too, is two. A band's exact and deletion segments are chosen by the cost of index
+rows against chance collisions, and half as many exact ones again are laid out to spare.
+
+Which units a set probes is allocated by counted posting lists: signatures that no other set holds cost
+nothing, and of the others a set takes its rarest until H + 1 units are filled, those of deletion segments
+first. All sets take them in one order, so a qualifying pair, which shares all units but H, shares one that
+both took. A set with H + 1 units of its own has no partner. Empty and frequent segments are skipped so.
+
+Every bucket of what was taken first gives a star to its most central member; then, where these links left
+members in different components, small buckets give their other pairs, and in larger ones the sets outside the
+bucket's main component meet the rest, block by block, and pairs go on that a parity sketch of the difference
+can't rule out. Candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import components, maybe_broadcast, stash
@@ -27,10 +33,13 @@ from tidemill.llm.common import components, maybe_broadcast, stash
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _PIECE = 1 << 20
-_BINS = 64
+#: Bits of a set's parity sketch.
+BITS = 1024
+#: Posting lists are counted up to so many sets; longer ones rank alike.
+MANY = 1 << 16
 #: Buckets of up to so many documents give all their pairs at once.
 SMALL_BUCKET = 8
-#: Rows of one side of a block when a large bucket is compared block by block.
+#: Sets outside a large bucket's main component that meet all others in one block.
 BLOCK = 2048
 
 
@@ -136,8 +145,10 @@ def _node(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
-def _histogram(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> _U(58)).astype(np.int64), minlength=_BINS), 65535).astype("<u2").tobytes()
+def _sketch(s: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of items fall into bin i; two sketches differ in no more bits than sets in items."""
+    odd = np.bincount((s >> _U(54)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _fine(s: np.ndarray) -> bytes | None:
@@ -183,64 +194,124 @@ def allocate(low: int, high: int, rows: int, num: int, den: int) -> tuple[int, i
     return budget + 1 - 2 * best, best
 
 
-def _signatures(s: np.ndarray, band: int, exact: int, deletion: int) -> np.ndarray:
-    """Signatures of all segments under a band's scheme, and of the one-deletion neighbours of deletion segments."""
-    shares = exact + 2 * deletion
+def spare(units: int) -> int:
+    """Exact segments laid out beyond the units that a set must probe."""
+    return (units + 1) // 2
+
+
+def _signatures(s: np.ndarray, band: int, exact: int, deletion: int, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set under a band's scheme, and tags of (band, kind, number of signatures that may be skipped).
+
+    Kind 0 are whole segments, empty ones only as far as the others are fewer than must be probed. Kind 1 are
+    deletion segments with all their one-deletion neighbours, of which none may be skipped.
+    """
     h = mix(s ^ _U(0xC2B2AE3D27D4EB4F))
-    q = ((h >> _U(32)) * _U(shares) >> _U(32)).astype(np.int64)
+    q = ((h >> _U(32)) * _U(exact + 2 * deletion) >> _U(32)).astype(np.int64)
     seg = np.where(q < exact, q, exact + (q - exact) // 2)
-    total = np.zeros(exact + deletion, np.uint64)
+    total, held = np.zeros(exact + deletion, np.uint64), np.bincount(seg, minlength=exact + deletion)
     np.add.at(total, seg, h)
     salt = mix(np.arange(exact + deletion, dtype=np.uint64) + _U(band << 32))
     own = mix(total ^ salt)
+    must = units - deletion
+    whole = own[held > 0]
+    if len(whole) < must:
+        whole = np.concatenate((whole, np.sort(own[held == 0])[: must - len(whole)]))
+    tags = np.full(len(whole), (band << 33) + len(whole) - must, np.int64)
     if not deletion:
-        return own
-    i = seg >= exact
-    return np.concatenate((own, mix((total[seg[i]] - h[i]) ^ salt[seg[i]])))
+        return whole, tags
+    i, apart = seg >= exact, mix(salt)
+    near = np.concatenate((mix(total[exact:] ^ apart[exact:]), mix((total[seg[i]] - h[i]) ^ apart[seg[i]])))
+    return np.concatenate((whole, near)), np.concatenate((tags, np.full(len(near), (band << 33) + (1 << 32), np.int64)))
 
 
 def _describe(k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            rows = [(len(s), *_node(s), _histogram(s), _fine(s)) if len(s) else (0, 0, 0, None, None) for s in text_sets(x.column("text").to_pylist(), k, seed)]
-            n, d1, d2, hist, fine = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(hist, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "node", "check", "hist", "fine"])
+            rows = [(len(s), *_node(s), _sketch(s), _fine(s)) if len(s) else (0, 0, 0, None, None) for s in text_sets(x.column("text").to_pylist(), k, seed)]
+            n, d1, d2, sketch, fine = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n", "node", "check", "sketch", "fine"])
 
     return run
 
 
-def _index(k: int, seed: int, plan: list[tuple[int, int, int, int]]):
-    """plan: (low, high, exact, deletion) of each band."""
+def _index(k: int, seed: int, plan: list[tuple[int, int, int, int, int]]):
+    """plan: (low, high, exact, deletion, units to probe) of each band."""
     lows = np.array([p[0] for p in plan] or [1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within the task give their signatures once
 
-        def out(sigs, nodes):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+        def out(held):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["sig", "node", "tag"])
 
         for x in batches:
-            sigs, nodes, held = [], [], 0
+            held, size = [], 0
             for s in text_sets(x.column("text").to_pylist(), k, seed):
                 if not len(s) or (node := _node(s)[0]) in seen:
                     continue
                 seen.add(node)
                 own = int(np.searchsorted(lows, len(s), "right")) - 1
                 for b in (own, own + 1):
-                    if b < len(plan) and (plan[b][2] or plan[b][3]):
-                        sig = _signatures(s, b, *plan[b][2:])
-                        sigs.append(sig)
-                        nodes.append(np.full(len(sig), node, np.int64))
-                        held += len(sig)
-                if held > 200_000:
-                    yield out(sigs, nodes)
-                    sigs, nodes, held = [], [], 0
-            if sigs:
-                yield out(sigs, nodes)
+                    if b < len(plan) and plan[b][4]:
+                        sig, tag = _signatures(s, b, *plan[b][2:])
+                        held.append((sig.view(np.int64), np.full(len(sig), node, np.int64), tag))
+                        size += len(sig)
+                if size > 200_000:
+                    yield out(held)
+                    held, size = [], 0
+            if held:
+                yield out(held)
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, node, tag) in order: those of signatures that several nodes hold, once each, with the number of nodes up to MANY."""
+    empty = np.zeros(0, np.int64)
+    held, hot = (empty, empty, empty), None  # the last signature, which may go on; one that is over MANY already
+
+    def rows(sig, node, tag, size):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (sig, node, tag, size)], names=["sig", "node", "tag", "size"])
+
+    def handle(sig, node, tag):
+        first = np.ones(len(sig), bool)
+        first[1:] = sig[1:] != sig[:-1]
+        sizes = np.diff(np.append(np.flatnonzero(first), len(sig)))
+        size = np.minimum(np.repeat(sizes, sizes), MANY)
+        live = size > 1
+        return rows(sig[live], node[live], tag[live], size[live])
+
+    last = None  # row before this batch
+    for x in batches:
+        sig, node, tag = (x.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not len(sig):
+            continue
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        fresh[0] = last != (int(sig[0]), int(node[0]))
+        last = (int(sig[-1]), int(node[-1]))
+        sig, node, tag = sig[fresh], node[fresh], tag[fresh]
+        if hot is not None:
+            n = int((sig == hot).sum())
+            if n:
+                yield rows(sig[:n], node[:n], tag[:n], np.full(n, MANY))
+            sig, node, tag = sig[n:], node[n:], tag[n:]
+            if not len(sig):
+                continue
+            hot = None
+        sig, node, tag = (np.concatenate(c) for c in zip(held, (sig, node, tag), strict=True))
+        if not len(sig):
+            continue
+        cut = int(np.argmax(sig == sig[-1]))  # equal signatures stand together
+        yield handle(sig[:cut], node[:cut], tag[:cut])
+        held = sig[cut:], node[cut:], tag[cut:]
+        if len(sig) - cut > MANY:
+            yield rows(*held, np.full(len(sig) - cut, MANY))
+            hot, held = int(sig[-1]), (empty, empty, empty)
+    if len(held[0]):
+        yield handle(*held)
+
+
 def _pair_batch(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
@@ -251,72 +322,65 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, node) in order: kind 0 pairs of a bucket's smallest node and another, kind 2 the other pairs
-    of buckets up to SMALL_BUCKET, kind 1 (sig, node) of larger buckets."""
+    """Rows (sig, node) in order of sig, once each: kind 0 pairs of a bucket's first node and another, kind 2 the other
+    pairs of buckets up to SMALL_BUCKET, kind 1 (sig, node) of larger buckets."""
     sig0, node0 = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the last bucket, which may go on
-    hot: tuple[int, int] | None = None  # the last bucket and its smallest node, if it is large already
+    hot: tuple[int, int] | None = None  # the last bucket and its first node, if it is large already
 
     def handle(sig, node):
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[fresh], node[fresh]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
         starts = np.flatnonzero(first)
         sizes = np.diff(np.append(starts, len(sig)))
-        size, low = np.repeat(sizes, sizes), np.repeat(node[starts], sizes)
+        size, hub = np.repeat(sizes, sizes), np.repeat(node[starts], sizes)
         live = size > 1
-        sig, node, size, low = sig[live], node[live], size[live], low[live]
-        few = size <= SMALL_BUCKET
-        star = node != low
-        yield _pair_batch(0, *_unique_pairs(low[star], node[star]))
-        s, n, z = sig[few], node[few], low[few]
+        sig, node, size, hub = sig[live], node[live], size[live], hub[live]
+        few, star = size <= SMALL_BUCKET, node != hub
+        yield _pair_batch(0, *_unique_pairs(hub[star], node[star]))
+        s, n, z = sig[few], node[few], hub[few]
         for d in range(1, SMALL_BUCKET):
             same = (s[d:] == s[:-d]) & (n[:-d] != z[:-d])
             if same.any():
-                yield _pair_batch(2, *_unique_pairs(n[:-d][same], n[d:][same]))
-        many = ~few
-        if many.any():
-            yield _pair_batch(1, sig[many], node[many])
+                x, y = n[:-d][same], n[d:][same]
+                yield _pair_batch(2, *_unique_pairs(np.minimum(x, y), np.maximum(x, y)))
+        if not few.all():
+            yield _pair_batch(1, sig[~few], node[~few])
 
     for x in batches:
         sig, node = (x.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if hot is not None:
-            n = int(np.searchsorted(sig != hot[0], True))
+        if hot is not None and len(sig):
+            n = int((sig == hot[0]).sum())
             if n:
-                rest = np.unique(node[:n])
-                yield _pair_batch(0, np.full(len(rest[rest != hot[1]]), hot[1]), rest[rest != hot[1]])
-                yield _pair_batch(1, np.full(len(rest), hot[0]), rest)
-            if n == len(sig):
+                yield _pair_batch(0, np.full(n, hot[1]), node[:n])
+                yield _pair_batch(1, np.full(n, hot[0]), node[:n])
+            sig, node = sig[n:], node[n:]
+            if not len(sig):
                 continue
-            sig, node, hot = sig[n:], node[n:], None
+            hot = None
         sig, node = np.concatenate((sig0, sig)), np.concatenate((node0, node))
         if not len(sig):
             continue
-        cut = int(np.searchsorted(sig[::-1] != sig[-1], True))
-        last = len(sig) - cut
-        tail = np.unique(node[last:])
-        if len(tail) > SMALL_BUCKET:
+        cut = int(np.argmax(sig == sig[-1]))
+        if len(sig) - cut > SMALL_BUCKET:
             yield from handle(sig, node)
-            hot, sig0, node0 = (int(sig[-1]), int(tail[0])), sig[:0], node[:0]
+            hot, sig0, node0 = (int(sig[-1]), int(node[cut])), sig[:0], node[:0]
         else:
-            if last:
-                yield from handle(sig[:last], node[:last])
-            sig0, node0 = np.full(len(tail), sig[-1]), tail
+            if cut:
+                yield from handle(sig[:cut], node[:cut])
+            sig0, node0 = sig[cut:], node[cut:]
     if len(sig0):
         yield from handle(sig0, node0)
 
 
-def _possible(na, nb, ha, hb, num: int, den: int) -> np.ndarray:
-    """False where sizes or histograms rule a link out: the overlap is at most the sum of the bins' minima."""
-    top = np.minimum(ha, hb).sum(1, dtype=np.int64)
-    full = (ha == 65535).any(1) | (hb == 65535).any(1)
-    top = np.where(full, np.minimum(na, nb), top)
-    return den * top >= num * (na + nb - top)
+def _possible(na, nb, sa, sb, num: int, den: int) -> np.ndarray:
+    """False where sizes or sketches rule a link out: sets differ in as many items at least as their sketches in bits."""
+    differ = np.bitwise_count(sa ^ sb).sum(-1, dtype=np.int64)
+    twice = np.minimum(na + nb - differ, 2 * np.minimum(na, nb))  # the overlap at most
+    return den * twice >= num * (2 * (na + nb) - twice)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, _BINS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
 def _sieve(num: int, den: int):
@@ -324,7 +388,7 @@ def _sieve(num: int, den: int):
         for x in batches:
             if x.num_rows:
                 c = {n: x.column(n) for n in x.schema.names}
-                keep = _possible(*(c[n].to_numpy(zero_copy_only=False) for n in ("na", "nb")), *(_matrix(c[n]) for n in ("ha", "hb")), num, den)
+                keep = _possible(*(c[n].to_numpy(zero_copy_only=False) for n in ("na", "nb")), *(_matrix(c[n]) for n in ("sa", "sb")), num, den)
                 yield x.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -343,39 +407,43 @@ def _fine_sieve(num: int, den: int):
 
 
 def _cross(num: int, den: int):
-    """Rows (sig, i, j, side, comp, node, n, hist) in order of (sig, i, j): pairs across components that may link."""
-
-    def pairs(rows):
-        side, comp, node, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        hist = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, _BINS)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        for i in left:
-            other = right[(comp[right] != comp[i]) & (node[right] > node[i] if side[i] == 2 else True)]
-            if len(other):
-                keep = _possible(n[i], n[other], hist[i][None, :], hist[other], num, den)
-                other = other[keep]
-            if len(other):
-                yield np.full(len(other), node[i]), node[other]
+    """Rows (sig, block, side, comp, own, node, n, sketch) in order of (sig, block, side): pairs of a row of side 0 and one
+    of side 1 that lie in different components and may link. own is the block of a row that has one (else -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        key, left = None, []
+
+        def pairs(at: pa.RecordBatch, block: int):
+            lc, ln, lz, ls = (np.concatenate(c) for c in zip(*left, strict=True))
+            rc, own, rn, rz = (at.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))
+            rs = _matrix(at.column(7))
+            step = max(1, (1 << 16) // len(ln))
+            for i in range(0, len(rn), step):
+                r = slice(i, i + step)
+                apart = (lc[:, None] != rc[None, r]) & ((own[None, r] != block) | (rn[None, r] > ln[:, None]))
+                x, y = np.nonzero(apart)
+                keep = _possible(lz[x], rz[r][y], ls[x], rs[r][y], num, den)
+                yield ln[x[keep]], rn[r][y[keep]]
 
-        def flush():
-            out = list(pairs(held)) if held else []
-            if out:
-                a, b = np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out])
+        for x in batches:
+            sig, block, side = (x.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            first = np.ones(len(sig), bool)
+            first[1:] = (sig[1:] != sig[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1])
+            starts = np.flatnonzero(first)
+            found = []
+            for low, high in zip(starts, [*starts[1:], len(sig)], strict=True):
+                if key != (sig[low], block[low]):
+                    key, left = (sig[low], block[low]), []
+                at = x.slice(low, high - low)
+                if side[low] == 0:
+                    left.append((*(at.column(i).to_numpy(zero_copy_only=False) for i in (3, 5, 6)), _matrix(at.column(7))))
+                elif left:
+                    found.extend(pairs(at, int(block[low])))
+            if found:
+                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
                 a, b = _unique_pairs(np.minimum(a, b), np.maximum(a, b))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for x in batches:
-            cols = [x.column(n).to_pylist() for n in ("sig", "i", "j", "side", "comp", "node", "n", "hist")]
-            for sig, i, j, *row in zip(*cols, strict=True):
-                if (sig, i, j) != key:
-                    yield from flush()
-                    held, key = [], (sig, i, j)
-                held.append(row)
-        yield from flush()
-
     return run
 
 
@@ -438,8 +506,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     for seed in range(4):
-        known = stash(rows.mapInArrow(_describe(k, seed), "doc_id long, n long, node long, check long, hist binary, fine binary"))
-        nodes = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("hist").alias("hist"), F.min("fine").alias("fine"))
+        known = stash(rows.mapInArrow(_describe(k, seed), "doc_id long, n long, node long, check long, sketch binary, fine binary"))
+        nodes = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("sketch").alias("sketch"), F.min("fine").alias("fine"))
         nodes = stash(nodes)
         if nodes.where("c0 <> c1").isEmpty():
             break
@@ -449,11 +517,20 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     longest = nodes.agg(F.max("n")).first()[0] or 0
     size_bands = bands(longest, num, den)
     counts = dict(nodes.groupBy("n").count().select(F.expr(_band_sql(size_bands)).alias("band"), "count").groupBy("band").agg(F.sum("count")).collect()) if size_bands else {}
-    plan = [(low, high, *allocate(low, high, counts.get(i, 0) + counts.get(i - 1, 0), num, den)) for i, (low, high) in enumerate(size_bands)]
-
-    sigs = rows.mapInArrow(_index(k, seed, plan), "sig long, node long")
-    met = stash(sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_meet, "kind byte, a long, b long"))
-    brief = nodes.select("node", "n", "hist")
+    plan = []
+    for i, (low, high) in enumerate(size_bands):
+        exact, deletion = allocate(low, high, counts.get(i, 0) + counts.get(i - 1, 0), num, den)
+        units = exact + 2 * deletion
+        plan.append((low, high, exact + spare(units), deletion, units))
+
+    sigs = rows.mapInArrow(_index(k, seed, plan), "sig long, node long, tag long")
+    held = sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long, tag long, size long")
+    scheme = Window.partitionBy("node", "tag")
+    taken = held.withColumn("skip", F.col("tag").bitwiseAND(F.lit((1 << 32) - 1))).withColumn("live", F.count("*").over(scheme)).where("live > skip")
+    taken = taken.withColumn("place", F.row_number().over(scheme.orderBy("size", "sig"))).where("place <= live - skip")
+    taken = taken.select("sig", "node", (F.col("skip") - F.col("live")).alias("rank"))  # the more of a set is shared, the more central it is
+    met = stash(taken.repartition("sig").sortWithinPartitions("sig", "rank", "node").select("sig", "node").mapInArrow(_meet, "kind byte, a long, b long"))
+    brief = nodes.select("node", "n", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select(F.col("node").alias("want"), "rep")
@@ -470,8 +547,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         return checked(checked(pairs, "short", _narrow), "items", _verify)
 
     def sieved(pairs: DataFrame) -> DataFrame:
-        coarse = stash(pairs.join(brief.toDF("a", "na", "ha"), "a").join(brief.toDF("b", "nb", "hb"), "b").mapInArrow(_sieve(num, den), "a long, b long"))
-        fine = nodes.select("node", "n", "fine")  # chance pairs of large sets pass 64 bins
+        coarse = stash(pairs.join(brief.toDF("a", "na", "sa"), "a").join(brief.toDF("b", "nb", "sb"), "b").mapInArrow(_sieve(num, den), "a long, b long"))
+        fine = nodes.select("node", "n", "fine")  # of large sets the difference overfills the sketch
         return stash(coarse.join(fine.toDF("a", "na", "fa"), "a").join(fine.toDF("b", "nb", "fb"), "b").mapInArrow(_fine_sieve(num, den), "a long, b long"))
 
     # Sets travel with the pairs they verify, so each node first has one pair only, with its smallest partner.
@@ -481,19 +558,23 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     label = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
 
     # What these left in different components: the other pairs of stars and small buckets, and large buckets by blocks.
-    rest = met.where("kind = 2").select("a", "b").unionByName(star).distinct().join(label("a"), "a", "left").join(label("b"), "b", "left")
+    others = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = met.where("kind = 2").select("a", "b").unionByName(others).distinct().join(label("a"), "a", "left").join(label("b"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     hot = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct()
     hot = hot.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
 
     def across(hot: DataFrame) -> DataFrame:
-        """Pairs of different comp within buckets, dealt out by blocks."""
-        mixed = hot.groupBy("sig").agg(F.count("*").alias("g"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        left = hot.join(mixed.select("sig", "g"), "sig").join(brief, "node")
-        own = left.withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        other = own.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = other.select("sig", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.when(F.col("own") == F.col("x"), 2).when(F.col("own") < F.col("x"), 0).otherwise(1).alias("side"), "comp", "node", "n", "hist")
-        return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_cross(num, den), "a long, b long")
+        """Pairs of different comp within buckets: the sets outside a bucket's largest comp, in blocks, meet all others."""
+        sizes = hot.groupBy("sig", "comp").agg(F.count("*").alias("g")).groupBy("sig").agg(F.sum("g").alias("all"), F.max(F.struct("g", "comp")).alias("top"))
+        mixed = sizes.where("all > top.g").select("sig", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.g")) / BLOCK).cast("int").alias("blocks"))
+        own = F.when(F.col("comp") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(-1).cast("int")
+        at = hot.join(mixed, "sig").join(brief, "node").withColumn("own", own)
+        right = F.transform(F.sequence(F.lit(0), F.when(F.col("own") < 0, F.col("blocks") - 1).otherwise(F.col("own"))), lambda i: F.struct(i.alias("block"), F.lit(1).alias("side")))
+        left = F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("side")))
+        dealt = at.withColumn("to", F.explode(F.when(F.col("own") < 0, right).otherwise(F.concat(left, right))))
+        dealt = dealt.select("sig", "to.block", "to.side", "comp", "own", "node", "n", "sketch")
+        return dealt.repartition("sig", "block").sortWithinPartitions("sig", "block", "side").mapInArrow(_cross(num, den), "a long, b long")
 
     rest = sieved(rest.unionByName(across(hot)).distinct())
     if not rest.isEmpty():
@@ -502,7 +583,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     if count_links:  # each set as a component of its own, so that no pair is left out
         inside = across(hot.select("sig", "node", F.col("node").alias("comp")))
-        every = met.where("kind <> 1").select("a", "b").unionByName(inside).distinct()
+        every = met.where("kind <> 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(inside).distinct()
         links = verified(sieved(every))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     reach = nodes.select("node", "rep").join(labels, "node")
