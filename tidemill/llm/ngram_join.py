@@ -14,8 +14,9 @@ both took. A set with H + 1 units of its own has no partner. Empty and frequent
 
 Every bucket of what was taken first gives a star to its most central member; then, where these links left
 members in different components, small buckets give their other pairs, and in larger ones the sets outside the
-bucket's main component meet the rest, block by block, and pairs go on that a parity sketch of the difference
-can't rule out. Candidates are verified on the whole sets.
+bucket's main component meet the rest, block by block. Of the pairs that a parity sketch of the difference can't
+rule out, each component gives its closest few, and more in further rounds until nothing was held back.
+Candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ MANY = 1 << 16
 SMALL_BUCKET = 8
 #: Sets outside a large bucket's main component that meet all others in one block.
 BLOCK = 2048
+#: Pairs that a component gives in a block in the first round, and how this grows from round to round.
+CLOSEST, MORE = 4, 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -372,11 +375,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from handle(sig0, node0)
 
 
-def _possible(na, nb, sa, sb, num: int, den: int) -> np.ndarray:
-    """False where sizes or sketches rule a link out: sets differ in as many items at least as their sketches in bits."""
+def _possible(na, nb, sa, sb, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """False where sizes or sketches rule a link out: sets differ in as many items at least as their sketches in bits.
+    With it, how far pairs seem to be apart."""
     differ = np.bitwise_count(sa ^ sb).sum(-1, dtype=np.int64)
     twice = np.minimum(na + nb - differ, 2 * np.minimum(na, nb))  # the overlap at most
-    return den * twice >= num * (2 * (na + nb) - twice)
+    return den * twice >= num * (2 * (na + nb) - twice), 1 - twice / (na + nb)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -388,7 +392,7 @@ def _sieve(num: int, den: int):
         for x in batches:
             if x.num_rows:
                 c = {n: x.column(n) for n in x.schema.names}
-                keep = _possible(*(c[n].to_numpy(zero_copy_only=False) for n in ("na", "nb")), *(_matrix(c[n]) for n in ("sa", "sb")), num, den)
+                keep = _possible(*(c[n].to_numpy(zero_copy_only=False) for n in ("na", "nb")), *(_matrix(c[n]) for n in ("sa", "sb")), num, den)[0]
                 yield x.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -406,12 +410,29 @@ def _fine_sieve(num: int, den: int):
     return run
 
 
-def _cross(num: int, den: int):
+def _closest(held: list, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (component, distance, a, b, whether some were held back) the closest of each component."""
+    comp, far, a, b, cut = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((b, a, far, comp))
+    comp, far, a, b, cut = (c[order] for c in (comp, far, a, b, cut))
+    if most is None:
+        return comp, far, a, b, cut
+    first = np.ones(len(comp), bool)
+    first[1:] = comp[1:] != comp[:-1]
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, len(comp)))
+    keep = np.arange(len(comp)) - np.repeat(starts, sizes) < most
+    cut = cut | np.repeat(sizes > most, sizes)
+    return comp[keep], far[keep], a[keep], b[keep], cut[keep]
+
+
+def _cross(num: int, den: int, most: int | None):
     """Rows (sig, block, side, comp, own, node, n, sketch) in order of (sig, block, side): pairs of a row of side 0 and one
-    of side 1 that lie in different components and may link. own is the block of a row that has one (else -1)."""
+    of side 1 that lie in different components and may link, of each component of side 0 the closest; cut tells that
+    others were held back. own is the block of a row that has one (else -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, left = None, []
+        key, left, held, size = None, [], [], 0
 
         def pairs(at: pa.RecordBatch, block: int):
             lc, ln, lz, ls = (np.concatenate(c) for c in zip(*left, strict=True))
@@ -422,27 +443,40 @@ def _cross(num: int, den: int):
                 r = slice(i, i + step)
                 apart = (lc[:, None] != rc[None, r]) & ((own[None, r] != block) | (rn[None, r] > ln[:, None]))
                 x, y = np.nonzero(apart)
-                keep = _possible(lz[x], rz[r][y], ls[x], rs[r][y], num, den)
-                yield ln[x[keep]], rn[r][y[keep]]
+                keep, far = _possible(lz[x], rz[r][y], ls[x], rs[r][y], num, den)
+                x, y = x[keep], y[keep]
+                yield lc[x], far[keep], ln[x], rn[r][y], np.zeros(len(x), bool)
+
+        def flush():
+            _, _, a, b, cut = _closest(held, most)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(a, b), np.maximum(a, b), cut)], names=["a", "b", "cut"])
 
         for x in batches:
             sig, block, side = (x.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             first = np.ones(len(sig), bool)
             first[1:] = (sig[1:] != sig[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1])
             starts = np.flatnonzero(first)
-            found = []
             for low, high in zip(starts, [*starts[1:], len(sig)], strict=True):
                 if key != (sig[low], block[low]):
-                    key, left = (sig[low], block[low]), []
+                    if held:
+                        yield flush()
+                    key, left, held, size = (sig[low], block[low]), [], [], 0
                 at = x.slice(low, high - low)
                 if side[low] == 0:
                     left.append((*(at.column(i).to_numpy(zero_copy_only=False) for i in (3, 5, 6)), _matrix(at.column(7))))
                 elif left:
-                    found.extend(pairs(at, int(block[low])))
-            if found:
-                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-                a, b = _unique_pairs(np.minimum(a, b), np.maximum(a, b))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    for found in pairs(at, int(block[low])):
+                        held.append(found)
+                        size += len(found[0])
+                        if size > 1 << 20:
+                            if most is None:
+                                yield flush()
+                                held, size = [], 0
+                            else:
+                                held = [_closest(held, most)]
+                                size = len(held[0][0])
+        if held:
+            yield flush()
 
     return run
 
@@ -561,10 +595,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     others = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = met.where("kind = 2").select("a", "b").unionByName(others).distinct().join(label("a"), "a", "left").join(label("b"), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    hot = met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct()
-    hot = hot.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
+    hot = stash(met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct())
 
-    def across(hot: DataFrame) -> DataFrame:
+    def across(hot: DataFrame, most: int | None) -> DataFrame:
         """Pairs of different comp within buckets: the sets outside a bucket's largest comp, in blocks, meet all others."""
         sizes = hot.groupBy("sig", "comp").agg(F.count("*").alias("g")).groupBy("sig").agg(F.sum("g").alias("all"), F.max(F.struct("g", "comp")).alias("top"))
         mixed = sizes.where("all > top.g").select("sig", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.g")) / BLOCK).cast("int").alias("blocks"))
@@ -574,15 +607,23 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         left = F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("side")))
         dealt = at.withColumn("to", F.explode(F.when(F.col("own") < 0, right).otherwise(F.concat(left, right))))
         dealt = dealt.select("sig", "to.block", "to.side", "comp", "own", "node", "n", "sketch")
-        return dealt.repartition("sig", "block").sortWithinPartitions("sig", "block", "side").mapInArrow(_cross(num, den), "a long, b long")
-
-    rest = sieved(rest.unionByName(across(hot)).distinct())
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest))
-        labels = stash(components(links))
+        return dealt.repartition("sig", "block").sortWithinPartitions("sig", "block", "side").mapInArrow(_cross(num, den, most), "a long, b long, cut boolean")
+
+    most = CLOSEST
+    while True:
+        here = hot.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
+        close = stash(across(here, most))
+        rest = sieved(rest.unionByName(close.select("a", "b")).distinct())
+        more = verified(rest) if not rest.isEmpty() else rest
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = stash(components(links))
+        if close.where("cut").isEmpty():
+            break
+        rest, most = rest.limit(0), most * MORE
 
     if count_links:  # each set as a component of its own, so that no pair is left out
-        inside = across(hot.select("sig", "node", F.col("node").alias("comp")))
+        inside = across(hot.select("sig", "node", F.col("node").alias("comp")), None).select("a", "b")
         every = met.where("kind <> 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(inside).distinct()
         links = verified(sieved(every))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
