@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,6 +20,10 @@ ASIDE = {"nav", "aside", "footer", "form", "menu", "dialog", "button"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 #: Words of class or id attributes that mark boilerplate.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "pager", "popup", "promo", "promotion", "related", "reply", "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Marks of things that are themselves made up of articles, so that an article in them stays marked.
+CARDS = {"comment", "comments", "disqus", "reply", "replies", "respond", "related", "promo", "promotion", "sponsor", "sponsored", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sidebar", "widget", "modal", "popup"}
+#: Words by which a class tells the state of what it names, as in no-sidebar or share-enabled, and doesn't mark it.
+STATES = {"no", "not", "non", "has", "have", "with", "without", "is", "enabled", "enable", "disabled", "disable", "on", "off", "left", "right", "open", "closed", "visible", "layout", "col", "cols", "columns", "one", "two", "three"}
 #: Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements within a line of text.
@@ -28,29 +33,42 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"ul", "ol", "dl", "table", "body", "html", "article", "main", "section", "div", "nav", "aside", "footer", "header", "form"}
 #: Containers of a page's main text.
 MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 #: What the logarithm of a ratio gains in a main container.
 PRIOR = 3.0
 _SPACE = re.compile(r"\s+")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[^a-z0-9]+")
+
+
+def marks(names: str) -> set[str]:
+    """Marks among the tokens of class and id attributes: whole tokens, or the first or last part of one without a state."""
+    found = set()
+    for token in names.lower().split():
+        parts = [token] if token in MARKS else [p for p in _NAME.split(token) if p]
+        if STATES.isdisjoint(parts):
+            found |= MARKS & {parts[0], parts[-1]} if parts else set()
+    return found
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines: [text, tags, inside a main container, boilerplate]."""
+    """Turns parser events into lines: (text, tags, inside a main container, boilerplate, heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, bool]] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, hidden, boilerplate, main
+        self.lines: list[tuple[str, int, bool, bool, bool]] = []
+        self.open: list[tuple[str, bool, int, bool]] = []  # tag, hidden, boilerplate (0 no, 1 by a layout word, 2 surely), main
+        self.count: Counter[str] = Counter()  # of open elements by tag
         self.text: list[str] = []
         self.tags = 0
 
     def cut(self) -> None:
         line = _SPACE.sub(" ", "".join(self.text)).strip()
         if line:
-            _, _, aside, main = self.open[-1] if self.open else ("", False, False, False)
-            self.lines.append((line, max(1, self.tags), main, aside))
+            _, _, aside, main = self.open[-1] if self.open else ("", False, 0, False)
+            heading = any(tag in HEADINGS for tag, *_ in self.open[-3:])
+            self.lines.append((line, max(1, self.tags), main, aside > 0, heading))
             self.tags = 0
         self.text = []
 
@@ -63,24 +81,35 @@ class Lines(HTMLParser):
         if tag in CLOSES:
             for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i][0] in CLOSES[tag]:
-                    del self.open[i:]
+                    self.close_from(i)
                     break
                 if self.open[i][0] in SCOPES:
                     break
-        _, hidden, aside, main = self.open[-1] if self.open else ("", False, False, False)
+        _, hidden, aside, main = self.open[-1] if self.open else ("", False, 0, False)
         held = dict(attrs)
-        names = set(_NAME.findall(f"{held.get('class') or ''} {held.get('id') or ''}".lower())) if "class" in held or "id" in held else ()
-        own = tag in ASIDE or (tag == "header" and not main) or (held.get("role") or "").lower() in ROLES or (tag not in {"html", "body", "article", "main"} and not MARKS.isdisjoint(names))
+        own = 2 if tag in ASIDE or (tag == "header" and not main) or (held.get("role") or "").lower() in ROLES else 0
+        if not own and tag not in {"html", "body", "article", "main"} and ("class" in held or "id" in held):
+            if words := marks(f"{held.get('class') or ''} {held.get('id') or ''}"):
+                own = 1 if CARDS.isdisjoint(words) else 2
+        if tag in MAIN and aside == 1:
+            aside = 0  # a wrapper named after a part of its layout
         hidden = hidden or tag in HIDDEN or "hidden" in held or (held.get("aria-hidden") or "").lower() == "true"
-        self.open.append((tag, hidden, aside or own, main or (tag in MAIN and not aside)))
+        self.open.append((tag, hidden, max(aside, own), main or (tag in MAIN and not aside)))
+        self.count[tag] += 1
+
+    def close_from(self, i: int) -> None:
+        self.count.subtract(x[0] for x in self.open[i:])
+        del self.open[i:]
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.cut()
         self.tags += 1
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
+                self.close_from(i)
                 break
             if tag in INLINE and self.open[i][0] not in INLINE:
                 break
@@ -90,20 +119,20 @@ class Lines(HTMLParser):
             self.text.append(data)
 
 
-def content_lines(lines: list[tuple[str, int, bool, bool]]) -> list[str]:
+def content_lines(lines: list[tuple[str, int, bool, bool, bool]]) -> list[str]:
     """Lines of the content regions.
 
     Ratios of characters to tags are smoothed along the page; the threshold is the best split of their
     logarithms into two clusters. A region runs from the first to the last line over it, so that short
-    paragraphs between long ones stay. Lines that markup names as boilerplate are never content. Where
+    paragraphs between long ones stay, with headings right before it. Lines that markup names as boilerplate are never content. Where
     markup names a main container, its lines gain PRIOR and boilerplate, clustered with them, loses it.
     """
-    usable = np.array([not aside for *_, aside in lines], bool)
+    usable = np.array([not x[3] for x in lines], bool)
     if not usable.any():
         return []
-    main = np.array([m for _, _, m, _ in lines], bool) & usable
+    main = np.array([x[2] for x in lines], bool) & usable
     led = bool(main.any())
-    ratio = np.array([len(t) / n if led or not aside else 0.0 for t, n, _, aside in lines])
+    ratio = np.array([len(t) / n if led or not aside else 0.0 for t, n, _, aside, _ in lines])
     reach = np.arange(-3, 4)
     kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
     smooth = np.convolve(np.pad(ratio, 3), kernel / kernel.sum(), "valid")
@@ -119,7 +148,12 @@ def content_lines(lines: list[tuple[str, int, bool, bool]]) -> list[str]:
                 break
             low, top = new
         at = np.flatnonzero(usable & (value > (low + top) / 2))
-        return [lines[i][0] for i in range(at[0], at[-1] + 1) if usable[i]] if len(at) else []
+        if not len(at):
+            return []
+        first = at[0]
+        while first and usable[first - 1] and lines[first - 1][4]:
+            first -= 1
+        return [lines[i][0] for i in range(first, at[-1] + 1) if usable[i]]
     return [x[0] for x, ok in zip(lines, usable, strict=True) if ok]
 
 
@@ -145,6 +179,8 @@ def html_text(pages: DataFrame) -> DataFrame:
 
     text is the main text of the whole html: character references decoded, white space inside a block made
     one space, blocks trimmed and joined in page order by one space. Null, empty and textless pages give ''.
+    Parsing takes time in proportion to the page, also where tags are not closed or closed twice. A class word
+    marks boilerplate only as a name, not as a state (no-sidebar), and not an article or main element within it.
     Repeated rows each give a row; ids and URLs may be null; other columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
