@@ -9,6 +9,7 @@ import html as entities
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,9 +19,12 @@ from pyspark.sql import functions as F
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, content_length long, block binary"
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
 DATE = "2024-01-01T00:00:00Z"
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<(?:script|style)\b.*\Z", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|aside|title|blockquote|pre|form|body|head|html)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>?")
+_BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "header", "footer", "nav", "aside", "title", "blockquote", "pre", "form", "body", "head", "html"}
+_DROPPED = {"script", "style", "noscript", "template"}
+#: A comment, or a tag with its name; quoted attribute values may hold ">". Possessive, so that nothing is tried twice.
+_MARKUP = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>?|<[!/?][^>]*+>?""", re.S)
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in _DROPPED}
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
@@ -34,11 +38,65 @@ def record_id(*parts: str) -> str:
 
 
 def plain_text(html: str) -> str:
-    """All text of a page, one line per block."""
-    text = entities.unescape(_TAG.sub(" ", _BLOCK.sub("\n", _DROP.sub(" ", html))))
+    """All text of a page, one line per block; one pass, in time in proportion to the page."""
+    out, at, last = [], 0, {}  # last: from where on a dropped element has no end tag
+    while m := _MARKUP.search(html, at):
+        out.append(html[at : m.start()])
+        at, tag = m.end(), (m[2] or "").lower()
+        out.append("\n" if tag in _BLOCKS else " ")
+        if tag in _DROPPED and not m[1] and last.get(tag, at + 1) > at:
+            if end := _CLOSE[tag].search(html, at):
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(html)
+            else:
+                last[tag] = at
+    out.append(html[at:])
+    text = entities.unescape("".join(out))
     return "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x)
 
 
+def decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
+    """Text of a payload by its headers: transfer and content coding undone as far as they are whole, then the charset
+    of the Content-Type header or of a meta element near the start, UTF-8 if neither names a known one."""
+    said = {k.lower(): v for k, v in headers}
+    if "chunked" in said.get("transfer-encoding", "").lower():
+        payload = unchunked(payload)
+    for coding in reversed([c.strip() for c in said.get("content-encoding", "").lower().split(",")]):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            payload = inflated(payload)
+    named = _CHARSET.search(said.get("content-type", "").encode("latin-1", "replace")) or _CHARSET.search(payload[:2048])
+    try:
+        return payload.decode(named[1].decode() if named else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+def unchunked(data: bytes) -> bytes:
+    """Body of a chunked message; from the first malformed chunk on it is left out, a body without chunks stays."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(data[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if size <= 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out) if out else data
+
+
+def inflated(data: bytes) -> bytes:
+    """gzip, zlib or raw deflate data, as far as it is whole; other data as it is."""
+    for wbits in (47, -15):
+        try:
+            return zlib.decompressobj(wbits).decompress(data)
+        except zlib.error:
+            continue
+    return data
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), *[pa.string()] * 8, pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 11, kinds, strict=True)], names=NAMES)
@@ -56,7 +114,10 @@ def _respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def responses(pages: DataFrame) -> DataFrame:
-    """A response record of every row of pages (page_id, url, html); null html is an empty payload."""
+    """A response record of every row of pages (page_id, url, html); null html is an empty payload.
+
+    The table has no time of capture, so every record has the fixed DATE, and records follow from the row alone.
+    """
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_respond, RECORD)
 
 
@@ -71,7 +132,7 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             status, _, rest = head.partition(b"\r\n")
             headers = [(k.decode("latin-1"), v.decode("latin-1")) for k, v in _HEADER.findall(rest + b"\r\n")]
             said = "".join(f"{k}: {v}\r\n" for k, v in [("source-record-id", source), ("source-status", status.decode("latin-1")), *((f"source-header-{k.lower()}", v) for k, v in headers), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-content-length", str(length))] if v is not None).encode("utf-8", "surrogatepass")
-            text = plain_text(payload.decode("utf-8", "replace")).encode("utf-8", "replace")
+            text = plain_text(decoded(payload, headers)).encode("utf-8", "replace")
             for kind_, media, data in (("metadata", "application/warc-fields", said), ("conversion", "text/plain; charset=utf-8", text)):
                 rows.append((page, kind_, record_id(kind_, source or ""), source, url, date, media, digest(data), payload_digest, len(data), data))
         yield _batch(rows)
@@ -83,7 +144,9 @@ def derivatives(records: DataFrame) -> DataFrame:
     Both refer to the response (refers_to), carry its URI, date and payload digest, and have a digest of
     their own block. The metadata block keeps the source's identifier, status, headers and digests; the
     conversion block is the payload's text. Other kinds of records give none. Identifiers follow from the
-    content, so repeated rows have equal records. Empty payloads give empty conversions.
+    content, so repeated rows have equal records. Null and empty payloads give empty conversions, malformed ones
+    what can be decoded; null URIs and ids stay null. Long payloads are handled whole, one at a time. Columns
+    other than a record's are ignored; an empty table gives no rows.
     """
     return records.select(*NAMES).mapInArrow(_derive, RECORD)
 
@@ -110,7 +173,7 @@ def to_warc(records: DataFrame) -> DataFrame:
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of WARC bytes, gzipped by member or plain, read as a stream."""
+    """Records of WARC bytes, gzipped by member or plain, read as a stream; a record without a valid length has an empty block."""
     raw = io.BytesIO(data)
     stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2] == b"\x1f\x8b" else raw
     while line := stream.readline():
@@ -120,7 +183,8 @@ def parse(data: bytes) -> Iterator[dict]:
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             k, _, v = line.decode("utf-8", "surrogatepass").partition(":")
             fields[k.strip().lower()] = v.strip()
-        block = stream.read(int(fields.get("content-length", 0)))
+        said = fields.get("content-length", "")
+        block = stream.read(int(said)) if said.isascii() and said.isdigit() else b""  # without a length, up to the next record's line
         yield {"record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "refers_to": fields.get("warc-refers-to"), "target_uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "content_type": fields.get("content-type"), "block_digest": fields.get("warc-block-digest"), "payload_digest": fields.get("warc-payload-digest"), "content_length": len(block), "block": block}
 
 
