@@ -86,9 +86,20 @@ class Rollup:
         deltas(changes).write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
         return True
 
+    def committed(self) -> list[str]:
+        """Folders of the batches that are marked as whole."""
+        fs, _ = self._path("")
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batch=*/_SUCCESS")
+        return sorted(f"{s.getPath().getParent()}" for s in fs.globStatus(root) or [])
+
     def totals(self) -> DataFrame:
-        """KEYS and SUMS of all committed batches; groups without documents and tokens are left out."""
-        rows = self.spark.read.option("basePath", self.root).parquet(f"{self.root}/batch=*")
+        """KEYS and SUMS of all committed batches; groups without documents and tokens are left out.
+
+        Batches that are half-written or failed don't count; without any there are no rows.
+        """
+        kinds = ", ".join(f"{c} {'string' if c in KEYS else 'long'}" for c in [*KEYS, *SUMS])
+        paths = self.committed()
+        rows = self.spark.read.schema(kinds).parquet(*paths) if paths else self.spark.createDataFrame([], kinds)
         out = rows.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
         return out.where(" or ".join(f"{c} <> 0" for c in SUMS))
 
@@ -99,15 +110,24 @@ def counted_copies(docs: DataFrame) -> DataFrame:
     first = keyed.where("digest is not null").groupBy("source", "lang", "digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = stash(first.select(F.col("source").alias("k_source"), F.col("lang").alias("k_lang"), F.col("digest").alias("k_digest"), "first"))
     same = F.col("source").eqNullSafe(F.col("k_source")) & F.col("lang").eqNullSafe(F.col("k_lang")) & (F.col("digest") == F.col("k_digest"))
-    rows = counted(keyed, extra=("digest",)).join(maybe_broadcast(first, first.count(), 200_000), same)
+    rows = counted(keyed, extra=("digest",)).join(maybe_broadcast(first), same)
     return rows.where("doc_id > first").select("doc_id", *KEYS, "n_tokens", "n_chars")
 
 
 def token_counts(docs: DataFrame, root: str) -> DataFrame:
-    """Totals after three commits: all rows inserted, the same batch delivered again, and later copies deleted."""
+    """Totals after four commits: all rows inserted with a first estimate of their tokens, the same batch delivered
+    again, every count revised to the tokenizer version's own, and later copies deleted.
+
+    The estimate is a token for every four characters. A row is one document whatever its id, so repeated rows count
+    each, unless they repeat the text, source and language of a smaller id; null ids are never copies. Null texts
+    have no tokens. Null sources and languages are groups of their own. Other columns are ignored; an empty table
+    gives no rows. A run again under the same root finds its batches committed and changes nothing.
+    """
     rollup = Rollup(docs.sparkSession, root)
-    inserted = counted(docs).withColumn("op", F.lit("insert"))
-    rollup.commit("0-insert", inserted)
-    rollup.commit("0-insert", inserted)
-    rollup.commit("1-copies", counted_copies(docs).withColumn("op", F.lit("delete")))
+    estimated = counted(docs, {k: lambda text: F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4) for k in TOKENIZERS}).withColumn("op", F.lit("insert"))
+    rollup.commit("0-insert", estimated)
+    rollup.commit("0-insert", estimated)
+    exact = counted(docs).withColumn("old_n_tokens", F.ceil(F.col("n_chars") / 4)).withColumn("old_n_chars", F.col("n_chars"))
+    rollup.commit("1-exact", exact.withColumn("op", F.lit("revise")))
+    rollup.commit("2-copies", counted_copies(docs).withColumn("op", F.lit("delete")))
     return rollup.totals()
