@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 #: ASCII white space that separates words, as a character class.
 SPACE = r"[\x20\x09-\x0D]"
-#: Phrases of boilerplate lines (lower case).
+#: Phrases of boilerplate lines (lower case) in English, German, French and Spanish.
 BOILERPLATE = ["all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "click here", "sign up for our newsletter", "lorem ipsum", "add to cart", "powered by"]
+BOILERPLATE += ["alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "in den warenkorb", "newsletter abonnieren"]
+BOILERPLATE += ["tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "cliquez ici", "ajouter au panier", "mentions légales"]
+BOILERPLATE += ["todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso", "haga clic aquí", "añadir al carrito", "aviso legal"]
+#: Punctuation of ASCII.
+MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 #: A line with this share of separators against words is navigation.
-NAVIGATION = r"[|>»›•·]"
+NAVIGATION = "|>»›•·"
 #: A document that loses more than this percentage of its line characters is rejected.
 MOST_LOST = 50
 
@@ -19,9 +24,9 @@ def line_fails(line: Column) -> Column:
     """Punctuation, navigation and boilerplate rules of one line."""
     low = F.lower(line)
     size = F.length(line)
-    marks = size - F.length(F.regexp_replace(line, r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", ""))
+    marks = size - F.length(F.translate(line, MARKS, ""))
     words = F.size(F.split(F.trim(line), SPACE + "+"))
-    separators = size - F.length(F.regexp_replace(line, NAVIGATION, ""))
+    separators = size - F.length(F.translate(line, NAVIGATION, ""))
     punctuation = marks * 10 > size * 3
     navigation = (separators >= 3) & (separators * 3 >= words - separators)
     boilerplate = F.lit(False)

@@ -131,9 +131,10 @@ m AS (SELECT h.page_id, max_by(struct_pack(rule := r.rule, verdict := r.verdict)
 SELECT h.page_id, h.host, h.path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)
 """
 
+QUOTE = "'"
 _FAILS = rf"""(10 * length(regexp_replace(x, '[^\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g')) > 3 * length(x)
   OR (length(regexp_replace(x, '[^|>»›•·]', '', 'g')) >= 3 AND 3 * length(regexp_replace(x, '[^|>»›•·]', '', 'g')) >= len(string_split_regex(trim(x, ' '), '[\x20\x09-\x0D]+')) - length(regexp_replace(x, '[^|>»›•·]', '', 'g')))
-  OR {" OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)})"""
+  OR {" OR ".join(f"contains(lower(x), '{p.replace(QUOTE, QUOTE * 2)}')" for p in BOILERPLATE)})"""
 
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
