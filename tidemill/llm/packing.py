@@ -287,7 +287,7 @@ def best_fit_packing(docs: DataFrame, capacity: int = 4096, tokenizer: str = "wo
     without gaps. Equal pieces of equal documents may swap places between runs, nothing else may.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = stash(pieces_of(rows, capacity, tokenizer, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")))
+    pieces = stash(pieces_of(rows, capacity, tokenizer, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.when(F.col("length") == capacity, SALTS * SALTS).otherwise(SALTS)).cast("int")))
     sizes = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     by_length = Window.partitionBy("length").orderBy("salt")
     before = stash(sizes.select("length", "salt", "n", (F.sum("n").over(by_length) - F.col("n")).alias("before")))
@@ -306,6 +306,6 @@ def best_fit_packing(docs: DataFrame, capacity: int = 4096, tokenizer: str = "wo
             yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = pieces.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
-    ranked = ranked.join(F.broadcast(before.select("length", "salt", "before")), ["length", "salt"])  # at most capacity * SALTS rows
+    ranked = ranked.join(F.broadcast(before.select("length", "salt", "before")), ["length", "salt"])  # at most (capacity + SALTS) * SALTS rows
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own") - 1).cast("long").alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
