@@ -192,3 +192,111 @@ def test_rollup(spark, tmp_path):
     assert got == {("s", "words-1"): (2, 0, 0), ("s", "letters-1"): (2, 0, 0), (None, "words-1"): (1, 2, 6), (None, "letters-1"): (1, 2, 6)}
     bpe = tc.bpe_counted(docs, "word_bpe_49k.json", "bpe-1").groupBy("tokenizer").agg(F.sum("n_tokens").alias("n")).first()
     assert tuple(bpe) == ("bpe-1", 4)
+
+
+def test_rollup_counts_committed_batches_only(spark, tmp_path):
+    rollup = tc.Rollup(spark, str(tmp_path / "r"))
+    assert rollup.totals().collect() == []
+    rows = "op string, source string, lang string, tokenizer string, n_tokens long, n_chars long"
+    assert rollup.commit("1", spark.createDataFrame([("insert", "a", "en", "v1", 5, 20)], rows))
+    assert rollup.commit("2", spark.createDataFrame([("insert", "a", "en", "v1", 100, 1)], rows))
+    (tmp_path / "r" / "batch=2" / "_SUCCESS").unlink()
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 5, 20)]
+    docs = spark.createDataFrame([(1, "x " * 50_000, "s", "en", 1), (1, "x " * 50_000, "s", "en", 2), (None, "a", None, None, 3)], "doc_id long, text string, source string, lang string, n_tokens int")
+    got = {(r.source, r.tokenizer): (r.n_docs, r.n_tokens) for r in tc.token_counts(docs, str(tmp_path / "q")).collect()}
+    assert got == {("s", "words-1"): (2, 100_000), ("s", "letters-1"): (2, 100_000), (None, "words-1"): (1, 1), (None, "letters-1"): (1, 1)}
+    assert tc.token_counts(docs.limit(0), str(tmp_path / "e")).count() == 0
+
+
+WRAPPED = "<nav><a href='/'>Home</a></nav>{}<footer>the end</footer>"
+STORY = "<h1>Title of it</h1><p>A long first paragraph of the story, without any markup in it at all.</p><p>And a second one that is about as long as the first.</p>"
+STORY_TEXT = "Title of it A long first paragraph of the story, without any markup in it at all. And a second one that is about as long as the first."
+
+
+@pytest.mark.parametrize("wrap", ['<div class="content no-sidebar">{}</div>', '<div class="content share-enabled">{}</div>', '<div class="page has-sidebar"><article>{}</article></div>', '<div class="nav-layout banner"><main>{}</main></div>', '<div class="navigation"><article>{}</article></div>', '<div id="has-comments">{}</div>'])
+def test_layout_words_drop_no_text(wrap):
+    assert ht.main_text(WRAPPED.format(wrap.format(STORY))) == STORY_TEXT
+
+
+@pytest.mark.parametrize("mark", ['class="comments"', 'class="post-comments"', 'id="sidebar-2"', 'class="site-banner"', 'class="related-posts"'])
+def test_marked_parts_go(mark):
+    page = WRAPPED.format(f"<div>{STORY}</div><div {mark}><article><p>Something else of a fair length that is not of the story at all.</p></article></div>")
+    kept = ht.main_text(page)
+    assert kept.startswith(STORY_TEXT) and ("Something else" not in kept or "banner" in mark)
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    deep = "<div>" * 8000 + "text of the page" + "</p>" * 8000 + "</div>" * 8000
+    assert ht.main_text(deep) == "text of the page"
+    assert "long" in ht.main_text("<p>" + "a long text. " * 200_000)
+    assert wc.plain_text("<noscript>" * 8000 + "a" + "<template>" * 8000 + "b") == "a b"
+    assert wc.plain_text("<a title='" * 8000).strip("<a title='") == ""
+    assert time.process_time() - began < 20
+
+
+def test_ratios_equal_brute_force():
+    import math
+
+    r = random.Random(5)
+    for _ in range(40):
+        lines = [("x" * r.randint(1, 200), r.randint(1, 9), False, r.random() < 0.2, False) for _ in range(r.randint(1, 30))]
+        raw = [0 if a else len(t) / n for t, n, _, a, _ in lines]
+        k = [math.exp(-(d * d) / 2) for d in range(-3, 4)]
+        smooth = [sum(w * raw[i + d] for d, w in zip(range(-3, 4), k, strict=True) if 0 <= i + d < len(raw)) / sum(k) for i in range(len(raw))]
+        usable = [i for i, x in enumerate(lines) if not x[3]]
+        v = {i: math.log1p(smooth[i]) for i in usable}
+        want = []
+        if usable:
+            low, top = min(v.values()), max(v.values())
+            if top - low <= 0.5:
+                want = usable
+            else:
+                for _ in range(20):
+                    cut = (low + top) / 2
+                    under, over = [x for x in v.values() if x <= cut], [x for x in v.values() if x > cut]
+                    low, top = sum(under) / len(under), sum(over) / len(over)
+                at = [i for i in usable if v[i] > (low + top) / 2]
+                want = [i for i in usable if at and at[0] <= i <= at[-1]]
+        assert ht.content_lines(lines) == [lines[i][0] for i in want]
+
+
+def test_payloads_are_decoded_by_their_headers():
+    import gzip
+    import zlib
+
+    assert wc.plain_text('<p title="a > b">text</p>') == "text"
+    assert wc.plain_text("a<!-- <p>x</p> -->b<script>if (a<b) {}</script >c<style>p{") == "a b c"
+    assert wc.decoded("é".encode("latin-1"), [("Content-Type", "text/html; charset=ISO-8859-1")]) == "é"
+    assert wc.decoded('<meta charset="windows-1252">\u20ac'.encode("cp1252"), []).endswith("€")
+    assert wc.decoded("é".encode(), [("content-type", "text/html; charset=nonsense")]) == "é"
+    packed = gzip.compress(b"some text")
+    assert wc.decoded(packed, [("Content-Encoding", "gzip")]) == wc.decoded(zlib.compress(b"some text"), [("Content-Encoding", "deflate")]) == "some text"
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (packed[:9], packed[9:])) + b"0\r\n\r\n"
+    assert wc.decoded(chunked, [("Transfer-Encoding", "chunked"), ("Content-Encoding", "gzip")]) == "some text"
+    assert wc.decoded(packed[:-12], [("Content-Encoding", "gzip")]) in "some text"
+
+
+def test_warc_records_without_a_length():
+    data = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nabc\r\n\r\nWARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 2\r\n\r\nxy\r\n\r\n"
+    assert [(r["record_type"], r["block"]) for r in wc.parse(data)] == [("response", b""), ("metadata", b"xy")]
+
+
+def test_warc_long_pages_and_other_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>" + "word " * 300_000, "a"), (1, "u", "<p>x", "b")], "page_id long, url string, html string, block string")
+    rows = {(r.record_type, r.content_length) for r in wc.warc_derivatives(pages).where("record_type = 'conversion'").collect()}
+    assert rows == {("conversion", 5 * 300_000 - 1), ("conversion", 1)}
+
+
+def test_language_of_repeated_rows_and_other_columns(spark):
+    docs = spark.createDataFrame([(3, "el la los", "es", 1.0), (3, "el la los", "es", 1.0), (5, "the of and", "en", 2.0), (6, "zz", "en", 0.5)], "doc_id long, text string, lang string, score double")
+    learn = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 2))
+    got = [(r.doc_id, r.lang_pred, round(r.score, 6)) for r in li.language_id(docs, labelled=learn).collect()]
+    assert len(got) == 4 and got.count((3, got[0][1], got[0][2])) == 2
+    tie = spark.createDataFrame([(0, "same words here", "b"), (0, "same words here", "a"), (2, "same words here", "a"), (2, "same words here", "b")], "doc_id long, text string, lang string")
+    own = tie.where(~li.held_out(F.col("doc_id")))
+    assert {r.lang_pred for r in li.language_id(own.limit(1), labelled=own).collect()} <= {"a", "b"}
+    if own.count():
+        assert {r.lang_pred for r in li.language_id(own, labelled=own).collect()} == {"a"}

@@ -205,3 +205,63 @@ def test_url_filter(spark):
     assert sorted(got, key=str) == sorted([(i, *brute(u)) for i, u in enumerate(urls)] + [(None, *brute(urls[0]))], key=str)
     assert url_filter(pages.limit(0), rules).count() == 0
     assert {x.verdict for x in url_filter(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_long_lines_that_share_a_half(spark):
+    """Lines of one large bucket, most of which match nothing, and some that are an edit or two apart."""
+    r = random.Random(11)
+    half = "".join(r.choice("abcdefgh ") for _ in range(8000)) + "."
+    rest = ["".join(r.choice("abcdefgh ") for _ in range(8000)) + "." for _ in range(40)]
+    rows = [(i, half + x) for i, x in enumerate(rest)]
+    rows += [(100, half + rest[3][:5000] + "Z" + rest[3][5001:]), (101, half + rest[3][:5000] + rest[3][5001:]), (102, half + rest[3][:7000] + "ZZ" + rest[3][7002:])]
+    got = {x.doc_id: x.n_removed for x in ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {d for d, n in got.items() if n} == {100, 101}
+
+
+@pytest.mark.parametrize("blocks", [2, 3, 16])
+def test_refinement_finds_all_lines_one_edit_apart(spark, blocks, monkeypatch):
+    monkeypatch.setattr(ld, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(ld, "BLOCKS", blocks)
+    v = sorted(set(variants(9, 60, 23)))
+    lines = spark.createDataFrame([(s, s) for s in v], "id string, line string")
+    up = {s: s for s in v}
+
+    def root(s):
+        while up[s] != s:
+            s = up[s]
+        return s
+
+    pairs = [(p.a, p.b) for p in ld.refined(lines).collect()]
+    for a, b in pairs:
+        assert edits(a, b) <= 2  # lines of a star may be two apart by its hub
+        if edits(a, b) <= 1:
+            up[root(a)] = root(b)
+    for i, a in enumerate(v):
+        for b in v[i + 1 :]:
+            assert edits(a, b) > 1 or root(a) == root(b), (a, b)
+
+
+def test_rules_of_equal_length_and_repeated_pages(spark):
+    rules = spark.createDataFrame([("allow", "b.org/"), ("block", "b.org/"), ("allow", "a.b.org/x"), ("block", "b.org/xyzu"), (None, "c.org/"), ("block", None)], "verdict string, rule string")
+    pages = spark.createDataFrame([(1, "http://b.org/q")] * 3 + [(2, "http://a.b.org/xyzu"), (3, "http://c.org/"), (4, "http://" + "a." * 300 + "b.org/" + "x" * 50_000)], "page_id long, url string")
+    got = Counter((r.page_id, r.rule, r.verdict) for r in url_filter(pages, rules).collect())
+    assert got == Counter({(1, "b.org/", "block"): 3, (2, "b.org/xyzu", "block"): 1, (3, None, "allow"): 1, (4, "a.b.org/x", "allow"): 1})
+
+
+def test_long_texts_repeated_rows_and_empty_tables(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "x " * 100_000)], "doc_id long, text string")
+    rows = {(r.doc_id, r.n_words, r.n_repeat_words, r.base_failed) for r in quality_rules(docs).collect()}
+    assert rows == {(1, 200_000, 200_000, True), (2, 100_000, 100_000, True)} and quality_rules(docs).count() == 3
+    assert quality_rules(docs.limit(0)).count() == 0
+    bench = spark.createDataFrame([("i", " ".join(f"w{i}" for i in range(4990, 5010)))], "item_id string, text string")
+    hit = [(r.doc_id, r.n_hit) for r in decontaminate(docs, bench).orderBy("doc_id").collect()]
+    assert hit[0] == hit[1] == (1, 40 * 10) and hit[2] == (2, 0)
+
+
+def test_every_kind_of_line_rule(spark):
+    good = "A sentence of quite a few good words stands here and goes on."
+    bad = ["Alle Rechte vorbehalten, Stadt", "Tous droits réservés par nous", "Todos los derechos reservados aquí", "!!! ??? *** now", "home | about | news | more", "Click HERE to go on"]
+    docs = spark.createDataFrame([(0, good)] + [(i + 1, f"{good}\n{x}") for i, x in enumerate(bad)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed_lines, r.kept, r.clean_text) for r in quality_rules(docs, clean=True).collect()}
+    assert got == {0: (0, True, good), **{i + 1: (1, True, good) for i in range(len(bad))}}

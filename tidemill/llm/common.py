@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that may be broadcast when each row is a few short columns; beyond it the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that may be broadcast; beyond it the join is shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +27,15 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(small: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a counted bound; past it Spark shuffles the join."""
-    return F.broadcast(small) if rows <= limit else small
+def maybe_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only behind a measured bound of bytes; past it Spark shuffles the join."""
+    size = F.lit(32 + 16 * len(small.columns))
+    for name, kind in small.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return F.broadcast(small) if (small.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit else small
 
 
 def ascii_lower(c: Column) -> Column:
@@ -45,7 +51,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges by alternating large-star and small-star rounds.
 
     Returns (node, component) for every node of an edge; component is the smallest node reachable.
@@ -56,7 +62,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = stash(e.distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:  # the rounds grow with the logarithm of the longest path
         sym = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -67,7 +73,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not converge")
     star = e.select(F.col("u").cast(kind).alias("node"), F.col("v").cast(kind).alias("component"))
     return star.unionByName(star.select(F.col("component").alias("node"), "component").distinct())

@@ -33,14 +33,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     bounds), and what is left is compared word by word with the text at that place. A document word inside
     any occurrence is hit. Null and wordless texts have no hits; wordless items and items without an id have
     no windows; rows with the same id and text share their result and each gives a row; ids may be null;
-    other columns are ignored. Window tables are broadcast up to a counted bound, else joined by shuffle.
+    other columns are ignored. Window tables are broadcast up to a measured bound, else joined by shuffle.
     """
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
     windows = stash(benchmark_windows(benchmark, width))
-    n = windows.count()
     # Words and shingles meet as 64-bit hashes: two that share one only add candidates, which are verified.
     vocabulary = windows.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("key")).distinct()
-    counts = rows.select(F.explode("w").alias("word")).select(F.xxhash64("word").alias("key")).join(maybe_broadcast(vocabulary, n * width), "key").groupBy("key").agg(F.count("*").alias("df"))
+    counts = rows.select(F.explode("w").alias("word")).select(F.xxhash64("word").alias("key")).join(maybe_broadcast(vocabulary), "key").groupBy("key").agg(F.count("*").alias("df"))
     tokens = windows.select("window", "size", F.posexplode("words").alias("offset", "word")).distinct().withColumn("key", F.xxhash64("word")).join(counts, "key")
     # A window of which a word is in no document occurs nowhere.
     first = tokens.groupBy("window", "size").agg(F.min(F.struct("df", "word", "offset")).alias("first"), F.countDistinct("offset").alias("found"))
@@ -48,20 +47,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     first = first.withColumn("next", F.slice(F.split("window", " "), F.col("offset") + 1, 2))
     first = first.withColumn("token", F.when(F.size("next") == 2, F.xxhash64(F.get("next", 0), F.get("next", 1))).otherwise(F.xxhash64(F.get("next", 0))))
     prefix = stash(first.select("window", "size", "token", "offset"))
-    n_prefix = prefix.count()
 
     pairs = F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, F.size("w")).alias("y"))  # the last word has no next one
     placed = rows.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode(pairs).alias("pos", "pair")).select("doc_id", "text_hash", "n", "pos", F.xxhash64("pair.x", "pair.y").alias("token"))
     if not prefix.where("size = 1").isEmpty():
         placed = placed.unionByName(rows.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token")).withColumn("token", F.xxhash64("token")))
-    near = placed.join(maybe_broadcast(prefix, n_prefix), "token").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0 and start + size <= n")
+    near = placed.join(maybe_broadcast(prefix), "token").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0 and start + size <= n")
     near = near.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "size", "window")).alias("near"))
     near = stash(near)
-    n_near = near.count()
     same = ["doc_id", "text_hash"]
     keyed = near.select(*[F.col(c).alias(f"k_{c}") for c in same], "near")
     on = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & (F.col("text_hash") == F.col("k_text_hash"))
-    full = rows.join(maybe_broadcast(keyed, n_near, 100_000), on).select(*same, "w", "near") if n_near else None
+    full = rows.join(maybe_broadcast(keyed), on).select(*same, "w", "near") if not near.isEmpty() else None
     out = rows.select(*same, F.size("w").cast("long").alias("n_words"))
     nothing = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)}
     if full is not None:
@@ -69,11 +66,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
         covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1)))))
         hits = stash(full.select(*same, covered.cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda c: c["window"])).alias("windows")).dropDuplicates(same))
         by_window = windows.groupBy("window").agg(F.collect_set("item_id").alias("items"))
-        named = hits.select(*same, "n_hit", F.explode("windows").alias("window")).join(maybe_broadcast(by_window, n), "window")
+        named = hits.select(*same, "n_hit", F.explode("windows").alias("window")).join(maybe_broadcast(by_window), "window")
         named = named.groupBy(*same, "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         named = named.select(*[F.col(c).alias(f"k_{c}") for c in same], "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
         named = stash(named)
-        out = out.join(maybe_broadcast(named, named.count(), 100_000), on, "left")
+        out = out.join(maybe_broadcast(named), on, "left")
         nothing = {k: F.coalesce(F.col(k), v) for k, v in nothing.items()}
     out = out.select("doc_id", "n_words", *[v.alias(k) for k, v in nothing.items()])
     return out.withColumn("contaminated", F.col("n_hit") > 0)

@@ -4,9 +4,9 @@ Lines of at least min_chars characters are cut into threshold + 1 segments. A li
 another holds one of its segments unchanged, at a place that the lengths and the segment's number narrow to
 a few (multi-match-aware selection), so lines meet on hashes of (segment number, length, substring). Keys of
 one line only are dropped by an aggregate that combines on the map side. Small buckets give their pairs.
-Buckets over SMALL_BUCKET lines are dealt anew by what surrounds each block of 16 characters, then, if still
-large, by what surrounds each single character: lines agreeing there are one edit apart, and a star links
-them. Candidates are verified by a banded bit-parallel edit distance.
+Buckets over SMALL_BUCKET lines are dealt anew by what surrounds each of at most BLOCKS blocks of the line; groups
+still large by what surrounds each block of such a block, and so on down to single characters: lines agreeing
+there are one edit apart, and a star links them. Candidates are verified by a banded bit-parallel edit distance.
 
 With one_word, lines also link that differ in one whole word, replaced or left out, of at most a tenth of its
 line: they meet on hashes of all other words, which XOR gives in one step for each word, and are then grouped
@@ -15,13 +15,18 @@ by those words themselves.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import components, maybe_broadcast, stash
 
 SMALL_BUCKET = 32
-BLOCK = 16
+#: Blocks into which a line, or a block of it, is cut at most.
+BLOCKS = 16
+#: Rows of a class from which its first line is broadcast, so that the class isn't dealt to one task.
+LARGE_CLASS = 4096
 #: Characters of two lines compared before the whole lines are.
 LOOK = 64
 #: A word that lines may differ in is at most such a part of its line.
@@ -58,14 +63,38 @@ def segment_keys(line: Column, threshold: int) -> list[tuple[Column, int]]:
     return out
 
 
-def around_keys(line: Column, block: int) -> Column:
-    """Keys of what lies before and after each block, on the grids of the line's length and of one more."""
-
-    def grid(more: int) -> Column:
-        size = F.length(line) + more
-        return F.transform(F.sequence(F.lit(0), F.floor((size - 1) / block).cast("int")), lambda j: F.xxhash64(size, j, F.substring(line, F.lit(1), j * block), F.when(size - (j + 1) * block > 0, F.right(line, size - (j + 1) * block)).otherwise(F.lit(""))))
+def around(rows: DataFrame) -> DataFrame:
+    """Rows (id, key, part, lack) by what lies before and after each block of part: (id, key, part, lack, last).
 
-    return F.concat(grid(0), grid(1))
+    part stands for a stretch of length(part) + lack characters, so that lines which miss one of them (lack 1)
+    meet the others. key says what surrounds the part in the line; last, whether blocks are single characters.
+    """
+    whole = F.length("part") + F.col("lack")
+    block = F.ceil(whole / BLOCKS).cast("int")
+
+    def cut(j: Column) -> Column:
+        after = whole - (j + 1) * block
+        key = F.xxhash64("key", whole, j, F.substring("part", F.lit(1), j * block), F.when(after > 0, F.right("part", after)).otherwise(F.lit("")))
+        inside = F.least(block, whole - j * block) - F.col("lack")
+        return F.struct(key.alias("key"), F.substring("part", j * block + 1, inside).alias("part"), (block == 1).alias("last"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((whole - 1) / block).cast("int")), cut)
+    return rows.select("id", "lack", F.explode(blocks).alias("s")).select("id", "s.key", "s.part", "lack", "s.last")
+
+
+def refined(lines: DataFrame) -> DataFrame:
+    """(a, b): pairs of lines (id, line) among which are all that are one edit apart, but for chains through a star's hub."""
+    rows = lines.select("id", F.lit(0).cast("long").alias("key"), F.col("line").alias("part"), F.explode(F.array(F.lit(0), F.lit(1))).alias("lack"))
+    pairs = []
+    while True:
+        cut = stash(around(rows))
+        sizes = cut.groupBy("key").agg(F.count("*").alias("g"), F.min("id").alias("low")).where("g > 1")
+        live = stash(cut.join(sizes, "key"))
+        pairs.append(_pairs(live.where(f"g <= {SMALL_BUCKET} and not last").select("key", "id", F.lit(0).alias("role"))))
+        pairs.append(live.where("last and id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+        rows = live.where(f"g > {SMALL_BUCKET} and not last").select("id", "key", "part", "lack")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, pairs).distinct()
 
 
 def _let(value: Column, body) -> Column:
@@ -152,10 +181,10 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2, line) of the lines named by ids, read from the first document of each."""
-    ids_here = maybe_broadcast(ids, ids.count())
+    ids_here = maybe_broadcast(ids)
     homes = lines.join(ids_here, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct(*SAME)).alias("home"))
     homes = stash(homes.select(F.col("home.doc_id").alias("k_id"), F.col("home.text_hash").alias("k_hash")).distinct())
-    there = docs.join(maybe_broadcast(homes, homes.count()), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash")), "left_semi")
+    there = docs.join(maybe_broadcast(homes), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash")), "left_semi")
     return _split(there, min_chars).join(ids_here, ["h1", "h2"]).select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
 
 
@@ -180,7 +209,7 @@ def word_links(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
     keyed = _split(docs, min_chars).select("h1", "h2", F.explode(word_keys(F.col("line"))).alias("s")).select("h1", "h2", "s.*").where("key is not null")
     live = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("role").alias("r0"), F.max("role").alias("r1"))
     live = stash(live.where("low <> high and (r1 = 0 or (r0 = 1 and r1 = 2))").select("key"))
-    rows = stash(keyed.join(maybe_broadcast(live, live.count()), "key").select("h1", "h2", "role", "i").distinct())
+    rows = stash(keyed.join(maybe_broadcast(live), "key").select("h1", "h2", "role", "i").distinct())
     texts = stash(_texts(docs, lines, rows.select("h1", "h2").distinct(), min_chars))
     words, i = F.split("line", " "), F.col("i")
     before, after = F.slice(words, F.lit(1), F.greatest(i, F.lit(0))), F.slice(words, i + 2, F.size(words))
@@ -201,7 +230,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, uniq: DataFrame, threshold: in
     live = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("role").alias("role")).where("low <> high and role = 0").select("key")
     live = stash(live)
     ident = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
-    rows = stash(keyed.join(maybe_broadcast(live, live.count()), "key").distinct().select("key", "role", "h1", "h2"))
+    rows = stash(keyed.join(maybe_broadcast(live), "key").distinct().select("key", "role", "h1", "h2"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("g"))
     small_keys, large_keys = sizes.where(F.col("g") <= SMALL_BUCKET).select("key"), sizes.where(F.col("g") > SMALL_BUCKET).select("key")
     named = rows.select("key", "role", ident.alias("id"))
@@ -214,16 +243,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, uniq: DataFrame, threshold: in
 
     if threshold == 1:
         hot_lines = texts.join(hot, ["h1", "h2"], "left_semi")
-        for block in (BLOCK, 1):
-            around = stash(hot_lines.select("id", F.explode(F.array_distinct(around_keys(F.col("line"), block))).alias("key")))
-            sizes = around.groupBy("key").agg(F.count("*").alias("g"), F.min("id").alias("low"))
-            live = around.join(sizes.where("g > 1"), "key")
-            if block > 1:
-                pairs = pairs.unionByName(_pairs(live.where(F.col("g") <= SMALL_BUCKET).select("key", "id", F.lit(0).alias("role"))))
-                more = live.where(F.col("g") > SMALL_BUCKET).select("id").distinct()
-                hot_lines = stash(texts.join(more, "id", "left_semi"))
-            else:
-                pairs = pairs.unionByName(live.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+        pairs = pairs.unionByName(refined(hot_lines.select("id", "line")))
     else:  # every pair of a large bucket, dealt out by the key and a salt of one side
         wide = named.join(large_keys, "key").select("key", "id", "role")
         salted = wide.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)))
@@ -261,18 +281,21 @@ def line_dedup(docs: DataFrame, threshold: int = 1, min_chars: int = 20, doc_id:
     ident = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     near_ids = labels.select(F.conv(F.split_part("id", F.lit("-"), F.lit(1)), 16, -10).cast("long").alias("h1"), F.conv(F.split_part("id", F.lit("-"), F.lit(2)), 16, -10).cast("long").alias("h2"), "label")
-    again = stash(uniq.select("h1", "h2", "n").join(maybe_broadcast(near_ids, near_ids.count()), ["h1", "h2"], "left").where("n > 1 or label is not null").select("h1", "h2", F.coalesce("label", ident).alias("class")))
-    repeats = lines.select(*SAME, "pos", "h1", "h2").join(maybe_broadcast(again, again.count()), ["h1", "h2"])
+    again = stash(uniq.select("h1", "h2", "n").join(maybe_broadcast(near_ids), ["h1", "h2"], "left").where("n > 1 or label is not null").select("h1", "h2", F.coalesce("label", ident).alias("class")))
+    repeats = lines.select(*SAME, "pos", "h1", "h2").join(maybe_broadcast(again), ["h1", "h2"])
     firsts = repeats.groupBy("class", *SAME).agg(F.min("pos").alias("pos"))
-    owner = firsts.groupBy("class").agg(F.min(F.struct(*[order[c].alias(c) for c in ("none", "doc_id", "text_hash")], "pos")).alias("own"))
-    gone = repeats.join(owner, "class").where(~(F.col("doc_id").eqNullSafe(F.col("own.doc_id")) & (F.col("text_hash") == F.col("own.text_hash")) & (F.col("pos") == F.col("own.pos"))))
+    owner = firsts.groupBy("class").agg(F.count("*").alias("in_docs"), F.min(F.struct(*[order[c].alias(c) for c in ("none", "doc_id", "text_hash")], "pos")).alias("own"))
+    large = stash(owner.where(F.col("in_docs") >= LARGE_CLASS).select("class", "own"))  # these rows stay where they are
+    here = maybe_broadcast(large)
+    owned = repeats.join(here, "class").unionByName(repeats.join(here.select("class"), "class", "left_anti").join(owner.drop("in_docs"), "class"))
+    gone = owned.where(~(F.col("doc_id").eqNullSafe(F.col("own.doc_id")) & (F.col("text_hash") == F.col("own.text_hash")) & (F.col("pos") == F.col("own.pos"))))
     gone = stash(gone.groupBy(*SAME).agg(F.sort_array(F.collect_set("pos")).alias("gone")))
     # One character a line, 1 for lines that go, so that no line has to be looked up in a list.
     runs = F.transform("gone", lambda pos, i: F.concat(F.repeat(F.lit("0"), pos - F.when(i > 0, F.get("gone", i - 1)).otherwise(-1) - 1), F.lit("1")))
     k_id, k_hash, n_gone, mask = ("_" * max(map(len, docs.columns)) + name for name in ("id", "hash", "n_gone", "mask"))  # no column of docs
     keyed = gone.select(F.col("doc_id").alias(k_id), F.col("text_hash").alias(k_hash), F.size("gone").alias(n_gone), F.encode(F.array_join(runs, ""), "utf-8").alias(mask))
     out = docs.drop("n_lines", "n_removed")
-    joined = out.join(maybe_broadcast(keyed, gone.count(), 200_000), F.col(doc_id).eqNullSafe(F.col(k_id)) & (F.xxhash64(F.col(text)) == F.col(k_hash)), "left")
+    joined = out.join(maybe_broadcast(keyed), F.col(doc_id).eqNullSafe(F.col(k_id)) & (F.xxhash64(F.col(text)) == F.col(k_hash)), "left")
     parts = F.split(F.col(text), "\n")
     joined = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"))
     joined = joined.withColumn("n_removed", F.coalesce(n_gone, F.lit(0)).cast("long"))

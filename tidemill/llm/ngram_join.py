@@ -569,7 +569,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select(F.col("node").alias("want"), "rep")
         ends = stash(ends)
-        sets = rows.join(maybe_broadcast(ends, ends.count(), 200_000), F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text").mapInArrow(_fetch(k, seed), "node long, items binary, short binary")
+        sets = rows.join(maybe_broadcast(ends), F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text").mapInArrow(_fetch(k, seed), "node long, items binary, short binary")
         sets = stash(sets.dropDuplicates(["node"]))
 
         def checked(pairs: DataFrame, what: str, check) -> DataFrame:

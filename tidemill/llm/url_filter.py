@@ -50,7 +50,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     join on the block's number) can't rule out go to an exact hash join, which removes false positives. URLs
     under no rule are allowed, with a null rule. Null, empty and malformed URLs have empty host and path.
     Repeated rows each give a row; rules without text are ignored, as are other columns. The filter's size
-    is bounded by BLOOM_BLOCKS; the exact rules are broadcast only up to a counted bound.
+    is bounded by BLOOM_BLOCKS; the exact rules are broadcast only up to a measured bound.
     """
     listed = rules.select("verdict", "rule").where("rule is not null and verdict is not null")
     listed = listed.select("verdict", "rule", F.regexp_extract("rule", r"(?s)^([^/]*)", 1).alias("rule_host"))
@@ -71,7 +71,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
     mask = _mask(F.col("h"))
     # A key that the filter rules out becomes one that no rule can equal and that no other row has.
     possible = possible.select("row", "page_id", "host", "path", F.when(F.col("bits").bitwiseAND(mask) == mask, F.col("key")).otherwise(F.concat(F.lit("\0"), F.col("row").cast("string"))).alias("key"))
-    exact = possible.join(maybe_broadcast(listed, counted.n), "key", "left")
+    exact = possible.join(maybe_broadcast(listed), "key", "left")
     hit = F.when(F.col("hit").isNotNull(), F.struct(F.length("key").alias("size"), F.col("hit.host_length").alias("host_length"), F.col("hit.verdict").alias("verdict"), F.col("hit.rule").alias("rule")))
     best = exact.groupBy("row", "page_id", "host", "path").agg(F.max(hit).alias("best"))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
