@@ -43,7 +43,7 @@ def test_streams_equal_batch(spark, duck):
     assert got.agg(F.sum("event_count")).first()[0] == duck.sql("select count(*) from events").fetchall()[0][0]
     assert got.groupBy("window_start", "event_type", "repo_name", "actor_category").count().where("count > 1").isEmpty()
     scores = registry.s02_realtime_repo_scores(spark, SF)
-    assert scores.agg(F.sum(sum(F.col(c) for c in ("watch_events", "fork_events", "issues_events", "pull_request_events", "push_events")))).first()[0] == 1000
+    assert scores.agg(F.sum(sum(F.col(c) for c in ("watch_events", "fork_events", "issue_events", "pull_request_events", "push_events")))).first()[0] == 1000
     assert registry.s03_realtime_anomaly_alerts(spark, SF).where("anomaly_ratio < 2").isEmpty()
 
 
@@ -102,3 +102,158 @@ def test_entry_module_works_without_the_subpackage():
     import __spark_entry__ as e
 
     assert "b14_repo_rank_daily" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def activity(spark, rows):
+    """Events (day, hour, actor, repo, type) as the activity table."""
+    at = [(str(i), f"2024-01-{d:02d} {h:02d}:{i % 60:02d}:00", a, r, t) for i, (d, h, a, r, t) in enumerate(rows)]
+    raw = spark.createDataFrame(at, "event_id string, at string, actor_login string, repo_name string, event_type string")
+    ts = F.to_timestamp("at")
+    return raw.select("event_id", ts.alias("event_timestamp"), F.to_date(ts).alias("event_date"), F.hour(ts).alias("event_hour"), "event_type", "actor_login", F.when(F.col("actor_login").contains("bot"), "bot").otherwise("human").alias("actor_category"), "repo_name", F.lit(None).cast("string").alias("org_login"), F.lit("unknown").alias("language_guess"), F.lit(None).cast("string").alias("payload_action"), F.lit(None).cast("long").alias("payload_size"))
+
+
+def test_tables_by_hand(spark):
+    """Expectations worked out on paper: concentration, mix shift, similarity, cohorts, summaries."""
+    from tidemill import run
+
+    push = [(1, 3, "a", "o/r1", "PushEvent")] * 6 + [(1, 4, "b", "o/r2", "PushEvent")] * 3 + [(1, 5, "c", "o/r3", "PushEvent")]
+    rows = push + [(2, 3, "a", "o/r1", "WatchEvent"), (2, 3, "b", "o/r1", "WatchEvent"), (3, 1, "c", "o/r1", "ForkEvent"), (3, 1, "bot-d", "p/r2", "ForkEvent")]
+    got = run.tables(spark, activity(spark, rows), ["b01_daily_metrics", "b05_summary", "b27_concentration_day", "b35_repo_event_mix_shift_day", "b29_actor_cohort_day", "p02_actor_retention_curve", "b06_org_daily_metrics"])
+    day = {str(r.metric_date): r for r in got["b27_concentration_day"].collect()}
+    one = day["2024-01-01"]
+    assert (one.total_events, one.repo_count) == (10, 3) and abs(one.top1_share - 0.6) < 1e-9 and abs(one.hhi - 0.46) < 1e-9 and abs(one.gini - 1 / 3) < 1e-6
+    shift = [r for r in got["b35_repo_event_mix_shift_day"].collect() if r.repo_name == "o/r1" and str(r.metric_date) == "2024-01-02"]
+    assert [(round(r.js_divergence, 6), round(r.l1_distance, 6)) for r in shift] == [(1.0, 2.0)]
+    assert got["b01_daily_metrics"].agg(F.sum("event_count")).first()[0] == len(rows)
+    assert {r.org_or_owner for r in got["b06_org_daily_metrics"].collect()} == {"o", "p"}
+    first = {(str(r.cohort_week), r.days_since_first): (r.retained_count, r.cohort_size) for r in got["p02_actor_retention_curve"].collect()}
+    assert first["2023-12-26", 0] == (3, 3) and first["2023-12-26", 1] == (2, 3)
+
+
+def test_similarity_by_hand(spark):
+    """{a,b,c} and {b,c,d} share two of four actors."""
+    from tidemill import run
+
+    rows = [(1, 1, x, "o/r1", "PushEvent") for x in "abc"] + [(1, 2, x, "o/r2", "PushEvent") for x in "bcd"] + [(1, 2, x, "o/r3", "PushEvent") for x in "xyz"]
+    got = run.tables(spark, activity(spark, rows), ["g03_repo_similarity_edges", "g06_actor_collab_edge"])
+    assert sorted((r.src_repo, r.dst_repo, r.shared_actors, r.jaccard) for r in got["g03_repo_similarity_edges"].collect()) == [("o/r1", "o/r2", 2, 0.5), ("o/r2", "o/r1", 2, 0.5)]
+    edges = {(r.actor_a, r.actor_b): (r.shared_repos, r.co_days, r.weight) for r in got["g06_actor_collab_edge"].collect()}
+    assert edges["b", "c"] == (2, 1, 2.0) and edges["a", "b"] == (1, 1, 1.0) and ("a", "d") not in edges
+
+
+def test_alerts_by_hand(spark):
+    """One minute of seven events of one repository and one of each of three others: a baseline of 2.5."""
+    from tidemill import run
+
+    ev = activity(spark, [(1, 1, "a", "o/hot", "PushEvent")] * 7 + [(1, 1, "b", f"o/r{i}", "WatchEvent") for i in range(3)])
+    ev = ev.withColumn("event_timestamp", F.to_timestamp(F.lit("2024-01-01 01:00:30")))
+    got = run.tables(spark, ev, ["rt_anomaly_alerts"])["rt_anomaly_alerts"].collect()
+    assert [(r.repo_name, r.current_events, r.baseline_events, r.anomaly_ratio, r.alert_level) for r in got] == [("o/hot", 7, 2.5, 2.8, "medium")]
+
+
+def test_raw_events_to_tables(spark, tmp_path):
+    from tidemill import run
+
+    kinds = ["PushEvent", "WatchEvent", "ForkEvent", "IssuesEvent", "PullRequestEvent"]
+    rows = [{"id": str(i), "type": kinds[i % 5], "created_at": f"2024-01-{1 + i % 9:02d}T0{i % 7}:00:00Z", "actor": {"login": f"u{i % 11}"}, "repo": {"id": i % 6, "name": f"o{i % 2}/r{i % 6}"}, "payload": {"size": i}} for i in range(300)]
+    (tmp_path / "x.json").write_text("\n".join(map(json.dumps, rows)))
+    curate.write_curated(curate.read_raw(spark, [str(tmp_path / "x.json")]), str(tmp_path / "curated"))
+    names = ["b01_daily_metrics", "b05_summary", "b10_repo_day_features", "b14_repo_rank_daily", "b16_repo_rank_score_day", "b17_repo_rank_delta_explain_day", "b26_repo_rank_explain_latest", "b32_repo_contributor_concentration_day", "m04_repo_dna", "p01_actor_burst_stability"]
+    found = run.tables(spark, spark.read.parquet(str(tmp_path / "curated")), names)
+    counts = run.write_tables(found, str(tmp_path / "out"))
+    assert set(counts) == set(names) and counts["b14_repo_rank_daily"] == 6 and counts["m04_repo_dna"] == 6
+    run.write_json({"b05_summary": found["b05_summary"]}, str(tmp_path / "json"))
+    run.write_report(spark, counts, str(tmp_path / "report"))
+    assert "generated_at" in spark.read.json(str(tmp_path / "report")).columns
+    # One day again replaces that day and leaves the others.
+    (tmp_path / "y.json").write_text(json.dumps(rows[0]))
+    before = spark.read.parquet(str(tmp_path / "curated")).count()
+    curate.write_curated(curate.read_raw(spark, [str(tmp_path / "y.json")]), str(tmp_path / "curated"))
+    spark.catalog.clearCache()
+    hour = sum(r["created_at"] == rows[0]["created_at"] for r in rows)
+    assert spark.read.parquet(str(tmp_path / "curated")).count() == before - hour + 1
+    assert len(run.table_names()) > 50
+
+
+def test_lineage_by_hand(spark):
+    weekly = [(0, "x", r) for r in "abc"] + [(0, "y", r) for r in "pq"] + [(1, "z", r) for r in "abcd"] + [(1, "w", r) for r in "mn"]
+    got = {(r.week_idx, r.community_id): (r.event_type, r.prev_community_id, r.overlap_jaccard) for r in iterative.lineage(spark.createDataFrame(weekly, "week_idx int, community_id string, repo_name string")).collect()}
+    assert got == {(0, "x"): ("birth", None, 0.0), (0, "y"): ("birth", None, 0.0), (1, "z"): ("continue", "x", 0.75), (1, "w"): ("birth", None, 0.0), (1, "y"): ("death", "y", 0.0)}
+
+
+def test_betweenness_equals_brute_force(spark):
+    """A path of five nodes and a triangle: every node is a source, shortest paths are counted one by one."""
+    from itertools import permutations
+
+    pairs = [("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "e", 1), ("c", "x", 1), ("d", "x", 2)]
+    got = {r.node: r.betweenness for r in iterative.betweenness(edges(spark, pairs).withColumn("k", F.lit(1)), most=10**6).collect()}
+    assert set(got) == set("abcdex") and got["a"] == got["e"] == 0
+    far = {(u, v): w for u, v, w in pairs} | {(v, u): w for u, v, w in pairs}
+
+    def walks(s, t):
+        out, todo = [], [([s], 0)]
+        while todo:
+            p, d = todo.pop()
+            if p[-1] == t:
+                out.append((d, p))
+                continue
+            todo += [(p + [v], d + w) for (u, v), w in far.items() if u == p[-1] and v not in p]
+        low = min(d for d, _ in out)
+        return [p for d, p in out if d == low]
+
+    share = dict.fromkeys("abcdex", 0.0)
+    for s, t in permutations("abcdex", 2):
+        found = walks(s, t)
+        for p in found:
+            for v in p[1:-1]:
+                share[v] += 1 / len(found)
+    sampled = iterative.betweenness(edges(spark, pairs))
+    assert sampled.count() == 6
+    import tidemill.operators.iterative as it
+
+    whole = {r.node: r.betweenness for r in it.betweenness(edges(spark, pairs + [(f"{c}2", f"{d}2", 1) for c, d in ("ab", "bc", "cd", "de", "cx")] + [("d2", "x2", 2)]), most=12).collect()}
+    assert set(whole) >= set("abcdex") and whole["c"] >= whole["b"] >= whole["a"] == 0 and share["c"] > share["b"] > share["a"] == 0
+
+
+def test_influence_on_a_star(spark):
+    """With certain edges a hub reaches all; the greedy seed is the hub, and reach counts the seeds."""
+    import numpy as np
+
+    from tidemill.operators import influence as inf
+
+    n = 6
+    reach = inf.closure(n, np.array([0, 0, 1, 4]), np.array([1, 2, 3, 5]))
+    assert reach.sum(1).tolist() == [4, 2, 1, 1, 2, 1]
+    e = edges(spark, [("hub", f"n{i}", 10_000) for i in range(5)] + [("p", "q", 10_000)])
+    ids = spark.createDataFrame([(x, i) for i, x in enumerate(["hub", "n0", "n1", "n2", "n3", "n4", "p", "q"])], "node string, id int")
+    found = inf.reached(e, ids, 8, samples=400)
+    mean = found.where("node = 0").agg(F.avg(F.bit_count(F.conv(F.hex("bits"), 16, 10).cast("long")))).first()[0]
+    assert abs(mean - 2) < 0.25  # itself, and each of five neighbours with probability 0.2
+    (first, gain), *_ = inf.greedy(found, list(range(8)), 400, 2)
+    assert first == 0 and abs(gain - mean) < 1e-6
+
+
+def test_persona_names():
+    from tidemill.operators import ml
+
+    base = dict.fromkeys(ml.ACTOR_FEATURES, 0.0)
+    at = [base | {"persona_id": 0, "watch_share": 1.0, "fork_share": 0.5}, base | {"persona_id": 1, "is_bot": 1.0}, base | {"persona_id": 2, "pr_share": 1.0}, base | {"persona_id": 3, "pr_share": 1.0}]
+    names = ml.persona_names(at)
+    assert names[0].startswith("watcher__") and names[1].startswith("night_bot__bot+heavy") and names[3].endswith("_c3") and names[2].split("__")[0] == names[3].split("__")[0]
+
+
+def test_bot_models(spark):
+    import random
+
+    from tidemill.operators import ml
+
+    r = random.Random(3)
+    rows = [(f"u{i}", int(i % 5 == 0), *[r.random() + (3.0 if i % 5 == 0 and k < 2 else 0.0) for k in range(len(ml.BOT_FEATURES))]) for i in range(120)]
+    features = spark.createDataFrame(rows, ["actor_login", "is_bot", *ml.BOT_FEATURES])
+    personas = features.select("actor_login", F.lit("p").alias("persona_label"))
+    scores = ml.bot_scores(features, personas).orderBy("rank_no").limit(24).collect()
+    assert all(x.is_bot_truth == 1 for x in scores)
+    meta = {x.metric: x.value for x in ml.bot_measures(features, personas).collect()}
+    assert meta["bots"] == 24 and meta["cv_roc_auc"] > 0.95
+    assert ml.bot_importance(features, personas).first().feature in ml.BOT_FEATURES[:2]
+    assert ml.bot_scores(features.where("is_bot = 0"), personas).where("gbt_prob_bot > 0").isEmpty()

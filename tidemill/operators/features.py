@@ -10,6 +10,7 @@ N = "count(*) AS n"
 TYPES = {"watch": "WatchEvent", "fork": "ForkEvent", "issues": "IssuesEvent", "pr": "PullRequestEvent", "push": "PushEvent"}
 FEATURES = ["watch_share", "fork_share", "issues_share", "pr_share", "push_share", "bot_ratio", "night_ratio", "weekend_ratio", "pr_push_ratio", "active_days_ratio", "actors_per_event", "event_entropy", "top1_actor_share", "log_total_events", "log_payload_p95"]
 LATEST = "(SELECT max(metric_date) FROM ev)"
+FIRST = "DATE '1970-01-01'"
 
 
 def shares(total: str) -> str:
@@ -48,11 +49,18 @@ k AS (SELECT z.*, row_number() OVER (PARTITION BY repo_name ORDER BY abs(z) DESC
 s AS (SELECT repo_name, {r('sqrt(sum(z * z))')} AS z_distance, {', '.join(f"max(CASE WHEN k = {i} THEN concat(feature_name, CASE WHEN z >= 0 THEN '+' ELSE '-' END) END) AS f{i}" for i in (1, 2, 3))} FROM k GROUP BY repo_name)
 SELECT dna.metric_date, s.repo_name, z_distance, concat(f1, ';', f2, ';', f3) AS off_features, {', '.join(f'{r(f)} AS {f}' for f in ('watch_share', 'pr_push_ratio', 'bot_ratio', 'active_days_ratio', 'log_total_events'))}
 FROM s JOIN dna ON s.repo_name = dna.repo_name ORDER BY z_distance DESC, s.repo_name LIMIT 30""")
-    c.add("actor_feat", "ev", f"""
-WITH a AS (SELECT actor_login, max(CASE WHEN actor_category = 'bot' THEN 1 ELSE 0 END) AS is_bot, count(*) AS event_count, count(DISTINCT metric_date) AS active_days, count(DISTINCT repo_name) AS unique_repos, {share(count_when('hour_of_day < 6'), 'count(*)')} AS night_ratio, {share(count_when('day_of_week IN (1, 7)'), 'count(*)')} AS weekend_ratio, {shares('count(*)')} FROM ev GROUP BY actor_login HAVING count(*) >= 2),
-h AS (SELECT actor_login, {entropy('s')} AS hour_entropy FROM (SELECT actor_login, hour_of_day, {dbl('count(*)')} / sum(count(*)) OVER (PARTITION BY actor_login) AS s FROM ev GROUP BY actor_login, hour_of_day) x GROUP BY actor_login),
-p AS (SELECT actor_login, {entropy('s')} AS repo_entropy FROM (SELECT actor_login, repo_name, {dbl('count(*)')} / sum(count(*)) OVER (PARTITION BY actor_login) AS s FROM ev GROUP BY actor_login, repo_name) x GROUP BY actor_login)
-SELECT a.*, hour_entropy, repo_entropy, {LATEST} AS metric_date FROM a JOIN h ON a.actor_login = h.actor_login JOIN p ON a.actor_login = p.actor_login""", internal=True)
+    def actors(ev: str) -> str:
+        return f"""
+WITH a AS (SELECT actor_login, max(CASE WHEN actor_category = 'bot' THEN 1 ELSE 0 END) AS is_bot, count(*) AS event_count, count(DISTINCT metric_date) AS active_days, count(DISTINCT repo_name) AS unique_repos, {share(count_when('hour_of_day < 6'), 'count(*)')} AS night_ratio, {share(count_when('day_of_week IN (1, 7)'), 'count(*)')} AS weekend_ratio, {shares('count(*)')} FROM {ev} GROUP BY actor_login HAVING count(*) >= 2),
+h AS (SELECT actor_login, {entropy('s')} AS hour_entropy FROM (SELECT actor_login, hour_of_day, {dbl('count(*)')} / sum(count(*)) OVER (PARTITION BY actor_login) AS s FROM {ev} GROUP BY actor_login, hour_of_day) x GROUP BY actor_login),
+p AS (SELECT actor_login, {entropy('s')} AS repo_entropy FROM (SELECT actor_login, repo_name, {dbl('count(*)')} / sum(count(*)) OVER (PARTITION BY actor_login) AS s FROM {ev} GROUP BY actor_login, repo_name) x GROUP BY actor_login)
+SELECT a.*, hour_entropy, repo_entropy, {LATEST} AS metric_date FROM a JOIN h ON a.actor_login = h.actor_login JOIN p ON a.actor_login = p.actor_login"""
+
+    c.add("actor_feat", "ev", actors("ev"), internal=True)
+    # The halves before and from the median day of all events.
+    for half, sign in (("early", "<"), ("late", ">=")):
+        c.add(f"ev_{half}", "ev", lambda d, sign=sign: f"SELECT ev.* FROM ev CROSS JOIN (SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY {d.days('metric_date', FIRST)}) AS middle FROM ev) m WHERE {d.days('metric_date', FIRST)} {sign} middle", internal=True)
+        c.add(f"actor_feat_{half}", f"ev ev_{half}", actors(f"ev_{half}"), internal=True)
     numbers = ["night_ratio", "weekend_ratio", "push_share", "pr_share", "issues_share", "watch_share", "fork_share", "hour_entropy", "repo_entropy"]
     c.add("m07_actor_features", "actor_feat", f"SELECT metric_date, actor_login, is_bot, event_count, active_days, unique_repos, {', '.join(f'{r(x)} AS {x}' for x in numbers)} FROM actor_feat")
     # A rule in place of a clustering, so that what follows from labels can be held against SQL.

@@ -26,7 +26,17 @@ def both(source: str, keep: str) -> str:
 def register(c: Catalog, scope: int = 200) -> None:
     c.add("g01_scope_ranked", "ev rank_all", f"SELECT a.repo_name, actors, k.rank_score FROM (SELECT repo_name, count(DISTINCT actor_login) AS actors FROM ev GROUP BY repo_name) a LEFT JOIN rank_all k ON a.repo_name = k.repo_name WHERE actors >= 3 ORDER BY k.rank_score DESC NULLS LAST, actors DESC, a.repo_name LIMIT {scope}")
     c.add("g02_scope_network", "ev_graph", f"SELECT repo_name, actors, events, {r(f'actors * sqrt({dbl("events")})')} AS score FROM (SELECT repo_name, count(DISTINCT actor_login) AS actors, count(*) AS events FROM ev_graph GROUP BY repo_name) a WHERE actors >= 3 ORDER BY score DESC, repo_name LIMIT {scope}")
-    c.add("actor_repo", "ev_graph", "SELECT DISTINCT actor_login, repo_name FROM ev_graph", internal=True)
+    c.add("actor_repo", "ev_graph g02_scope_network", "SELECT DISTINCT e.actor_login, e.repo_name FROM ev_graph e JOIN g02_scope_network s ON e.repo_name = s.repo_name", internal=True)
+    c.add("repo_jaccard_edge", "repo_pair", f"SELECT a AS src_repo, b AS dst_repo, {r('jaccard')} AS jaccard FROM repo_pair WHERE jaccard >= 0.05", internal=True)
+    c.add("actor_corepo_edge", "ev", """
+WITH k AS (SELECT actor_login FROM ev GROUP BY actor_login ORDER BY count(*) DESC, actor_login LIMIT 3000), d AS (SELECT DISTINCT ev.actor_login, repo_name FROM ev JOIN k ON ev.actor_login = k.actor_login),
+n AS (SELECT d.* FROM d JOIN (SELECT repo_name FROM d GROUP BY repo_name HAVING count(*) BETWEEN 2 AND 300) r ON d.repo_name = r.repo_name)
+SELECT x.actor_login AS actor_a, y.actor_login AS actor_b, count(*) AS shared_repos FROM n x JOIN n y ON x.repo_name = y.repo_name AND x.actor_login < y.actor_login GROUP BY x.actor_login, y.actor_login""", internal=True)
+    c.add("week_repo", "ev", lambda d: f"""
+WITH w AS (SELECT DISTINCT CAST(floor({d.days('(SELECT max(metric_date) FROM ev)', 'metric_date')} / 7) AS BIGINT) AS back, actor_login, repo_name FROM ev), l AS (SELECT * FROM w WHERE back < 4),
+k AS (SELECT 3 - back AS week_idx, repo_name, row_number() OVER (PARTITION BY back ORDER BY count(*) DESC, repo_name) AS place FROM l GROUP BY back, repo_name HAVING count(*) >= 2)
+SELECT k.week_idx, l.actor_login, l.repo_name FROM l JOIN k ON 3 - l.back = k.week_idx AND l.repo_name = k.repo_name WHERE place <= 120""", internal=True)
+    c.add("week_pair", "week_repo", pairs("week_repo", "week_idx"), internal=True)
     c.add("repo_pair", "actor_repo", pairs("actor_repo"), internal=True)
     c.add("g03_repo_similarity_edges", "repo_pair", f"""
 SELECT src AS src_repo, dst AS dst_repo, shared AS shared_actors, {r('jaccard')} AS jaccard FROM (SELECT x.*, row_number() OVER (PARTITION BY src ORDER BY jaccard DESC, shared DESC, dst) AS k FROM ({both('repo_pair', 'shared, jaccard')}) x WHERE jaccard >= 0.05) t WHERE k <= 10""")

@@ -6,6 +6,10 @@ one round. Edges are (src, dst, w) in both directions.
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +37,13 @@ def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
     return labels.withColumnRenamed("label", "community_id")
 
 
-def coreness(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def coreness(edges: DataFrame) -> DataFrame:
     """(node, coreness, degree): the h-index of neighbours' values, from the degree, until it is stable."""
     edges = keep(edges.select("src", "dst"))
     core = keep(edges.groupBy("src").agg(F.count("*").alias("core")).select(F.col("src").alias("node"), "core"))
     degree = core.select("node", F.col("core").alias("degree"))
     at = Window.partitionBy("src").orderBy(F.desc("core"))
-    for _ in range(max_rounds):
+    while True:  # values only fall, so this ends
         ranked = edges.join(core.select(F.col("node").alias("dst"), "core"), "dst").withColumn("k", F.row_number().over(at))
         new = keep(ranked.groupBy("src").agg(F.max(F.least("core", "k")).alias("core")).select(F.col("src").alias("node"), "core"))
         same = new.join(core.select("node", F.col("core").alias("old")), "node").where("core <> old").isEmpty()
@@ -50,7 +54,11 @@ def coreness(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 100) -> DataFrame:
-    """(node, pagerank, degree): weights normalised by source, stop at an L1 change under nodes * tolerance."""
+    """(node, pagerank, degree): weights normalised by source, stop at an L1 change under nodes * tolerance.
+
+    The change falls by alpha at least in every round; max_rounds bounds rounds for an alpha close to 1, and a run
+    that ends so without being stable raises an error.
+    """
     total = edges.groupBy("src").agg(F.sum("w").alias("total"))
     step = keep(edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
     nodes = keep(total.select(F.col("src").alias("node"), F.col("total").alias("degree")))
@@ -65,16 +73,107 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max
         rank = new
         if moved < n * tolerance:
             break
+    else:
+        raise RuntimeError(f"ranks still move after {max_rounds} rounds")
     return rank.join(nodes, "node").select("node", F.round("rank", 8).alias("pagerank"), "degree")
 
 
-def community_profile(labels: DataFrame, events: DataFrame, members: int = 3) -> DataFrame:
+def communities(labels: DataFrame, nodes: DataFrame, members: int = 5) -> DataFrame:
+    """(node, community_id, community_size, sample_members) of all nodes; those without an edge are alone."""
+    at = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("community_id", "node").alias("community_id"))
+    place = F.row_number().over(Window.partitionBy("community_id").orderBy("node"))
+    names = F.sort_array(F.collect_list(F.when(F.col("place") <= members, F.col("node"))))
+    sizes = at.withColumn("place", place).groupBy("community_id").agg(F.count("*").alias("community_size"), F.array_join(names, ";").alias("sample_members"))
+    return at.join(sizes, "community_id").select("node", "community_id", "community_size", "sample_members")
+
+
+def cohorts(cores: DataFrame) -> DataFrame:
+    """core from the upper quartile of coreness (and above 0), middle from the lower one, else periphery."""
+    q = cores.agg(F.percentile("coreness", 0.75).alias("high"), F.percentile("coreness", 0.25).alias("low"))
+    k = F.col("coreness")
+    return cores.join(F.broadcast(q)).withColumn("cohort_group", F.when((k >= F.col("high")) & (k > 0), "core").when(k >= F.col("low"), "middle").otherwise("periphery")).drop("high", "low")
+
+
+def betweenness(edges: DataFrame, most: int = 500, seed: int = 42) -> DataFrame:
+    """(node, betweenness): shares of shortest paths through a node, with weights as distances, from sampled sources.
+
+    Sources are min(most, half of the nodes) by hash, and sums are scaled to all nodes. The graph goes to every
+    task, so it must be bounded (the collaboration graph has at most 5000 actors); sources are dealt out.
+    """
+    rows = edges.select("src", "dst", "w").collect()
+    graph: dict[str, list[tuple[str, float]]] = {}
+    for r in rows:
+        graph.setdefault(r.src, []).append((r.dst, r.w))
+    n = len(graph)
+    nodes = edges.select(F.col("src").alias("node")).distinct()
+    if n < 3:
+        return nodes.withColumn("betweenness", F.lit(0.0))
+    k = max(1, min(most, n // 2))
+    held = edges.sparkSession.sparkContext.broadcast(graph)
+    sources = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(k)
+
+    def paths(batches):
+        for p in batches:
+            total: dict[str, float] = {}
+            for s in p["node"]:
+                far, ways, before, order = {}, {s: 1.0}, {s: []}, []
+                queue, best = [(0.0, s)], {s: 0.0}
+                while queue:
+                    d, v = heapq.heappop(queue)
+                    if v in far:
+                        continue
+                    far[v] = d
+                    order.append(v)
+                    for u, w in held.value[v]:
+                        at = d + w
+                        if u not in far and at < best.get(u, math.inf):
+                            best[u], ways[u], before[u] = at, ways[v], [v]
+                            heapq.heappush(queue, (at, u))
+                        elif u not in far and at == best[u]:
+                            ways[u] += ways[v]
+                            before[u].append(v)
+                share = dict.fromkeys(order, 0.0)
+                for v in reversed(order):
+                    for u in before[v]:
+                        share[u] += ways[u] / ways[v] * (1 + share[v])
+                    if v != s:
+                        total[v] = total.get(v, 0.0) + share[v]
+            yield pd.DataFrame({"node": list(total), "part": list(total.values())})
+
+    parts = sources.repartition(min(k, 64)).mapInPandas(paths, "node string, part double").groupBy("node").agg(F.sum("part").alias("part"))
+    scale = n / k / ((n - 1) * (n - 2))
+    return nodes.join(parts, "node", "left").select("node", F.round(F.coalesce(F.col("part") * scale, F.lit(0.0)), 8).alias("betweenness"))
+
+
+def lineage(weekly: DataFrame, members: int = 5) -> DataFrame:
+    """What became of communities from week to week, by the Jaccard similarity of their members.
+
+    weekly: week_idx, community_id, repo_name. The most similar community of the week before (the first by id on
+    ties) makes a community a birth (none), continue (0.6), merge_or_split (0.2) or else reform; one of the week
+    before that nothing resembles by 0.2 is a death in the week after. The first week holds births only.
+    """
+    at = keep(weekly.select("week_idx", "community_id", "repo_name"))
+    size = at.groupBy("week_idx", "community_id").agg(F.count("*").alias("members_count"), F.array_join(F.slice(F.sort_array(F.collect_list("repo_name")), 1, members), ";").alias("sample_members"))
+    before = at.select((F.col("week_idx") + 1).alias("week_idx"), F.col("community_id").alias("prev_community_id"), "repo_name")
+    both = at.join(before, ["week_idx", "repo_name"]).groupBy("week_idx", "community_id", "prev_community_id").agg(F.count("*").alias("n"))
+    was = size.select((F.col("week_idx") + 1).alias("week_idx"), F.col("community_id").alias("prev_community_id"), F.col("members_count").alias("m"), F.col("sample_members").alias("was"))
+    pairs = both.join(size, ["week_idx", "community_id"]).join(was, ["week_idx", "prev_community_id"]).withColumn("overlap", F.round(F.col("n") / (F.col("members_count") + F.col("m") - F.col("n")), 6))
+    best = pairs.groupBy("week_idx", "community_id").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "prev_community_id")).alias("best"))
+    kind = F.when(F.col("best").isNull(), "birth").when(F.col("best.o") <= -0.6, "continue").when(F.col("best.o") <= -0.2, "merge_or_split").otherwise("reform")
+    lives = size.join(best, ["week_idx", "community_id"], "left").select("week_idx", "community_id", "best.prev_community_id", kind.alias("event_type"), "members_count", F.coalesce(-F.col("best.o"), F.lit(0.0)).alias("overlap_jaccard"), "sample_members")
+    last = at.agg(F.max("week_idx").alias("last"))
+    gone = was.join(F.broadcast(last)).where("week_idx <= last").join(pairs.where("overlap >= 0.2").select("week_idx", "prev_community_id").distinct(), ["week_idx", "prev_community_id"], "left_anti")
+    deaths = gone.select("week_idx", F.col("prev_community_id").alias("community_id"), "prev_community_id", F.lit("death").alias("event_type"), F.col("m").alias("members_count"), F.lit(0.0).alias("overlap_jaccard"), F.col("was").alias("sample_members"))
+    return lives.unionByName(deaths)
+
+
+def community_profile(labels: DataFrame, events: DataFrame, members: int = 3, kinds: dict[str, str] | None = None) -> DataFrame:
     """Communities of two members or more: size, events, their shares, and the names of the busiest members.
 
     labels: (repo_name, community_id); events: (repo_name, kind), one row an event. Repositories without events
     count as members with none.
     """
-    kinds = {"watch": "AF", "fork": "AO", "issues": "RF", "pr": "RO"}
+    kinds = kinds or {"watch": "AF", "fork": "AO", "issues": "RF", "pr": "RO"}
     per = events.groupBy("repo_name").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == v).alias(k) for k, v in kinds.items()])
     at = labels.join(per, "repo_name", "left").na.fill(0, ["n", *kinds])
     order = Window.partitionBy("community_id").orderBy(F.desc("n"), "repo_name")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.sources.storage import keep
+from tidemill.sources.storage import keep, kept_path
 
 #: From so many computations an input is written once instead; CHEAP ones are projections of a base table.
 MANY = 3
@@ -35,6 +36,9 @@ class Dialect:
         """1 = Sunday to 7 = Saturday."""
         return f"CAST(dayofweek({ts}) AS BIGINT)" if self.spark else f"CAST(dayofweek({ts}) + 1 AS BIGINT)"
 
+    def minute(self, ts: str) -> str:
+        return f"CAST(date_trunc('MINUTE', {ts}) AS TIMESTAMP_NTZ)" if self.spark else f"date_trunc('minute', {ts})"
+
     def last_value(self, x: str, over: str) -> str:
         return f"last_value({x}) IGNORE NULLS OVER ({over})" if self.spark else f"last_value({x} IGNORE NULLS) OVER ({over})"
 
@@ -103,6 +107,32 @@ class Catalog:
                     count[r] += count[n] * len(re.findall(rf"(?:FROM|JOIN|CROSS JOIN)\s+{r}\b", text))
         return count
 
+    def build(self, spark: SparkSession, names: list[str], given: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The named tables over given inputs (by name: tables of this catalog or base tables), in a session of its own.
+
+        Every table named, and every input that two tables or more read, is computed once and written to the
+        shared folder; all others are read from there.
+        """
+        session = spark.newSession()
+        for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+            session.conf.set(key, spark.conf.get(key))
+        for n, df in given.items():
+            path = kept_path(spark)
+            df.write.parquet(path)
+            session.read.schema(df.schema).parquet(path).createOrReplaceTempView(n)
+        known = list(given)
+        order: list[str] = []
+        for name in names:
+            order += [n for n in self.order(name, tuple(known)) if n not in order]
+        readers = Counter(r for n in order for r in set(self.tables[n].reads))
+        for n in order:
+            if n in names or readers[n] > 1:
+                path = kept_path(spark)
+                session.sql(self.statement(n, SPARK, tuple(known))).write.parquet(path)
+                session.read.parquet(path).createOrReplaceTempView(n)
+                known.append(n)
+        return {n: session.table(n) for n in names}
+
     def frame(self, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         """The table over the Parquet files of a folder, in a session of its own, so that folders don't mix.
 

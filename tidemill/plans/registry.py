@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import daily, ecosystem, features, graphs, iterative, people, ranking
+from tidemill.operators import daily, ecosystem, features, graphs, influence, iterative, people, ranking, realtime_sql
 from tidemill.plans import serving, views
 from tidemill.plans.catalog import DUCK, Catalog
 from tidemill.sources import adapters
+from tidemill.sources.storage import keep
 from tidemill.streaming import realtime
 
 CATALOG = Catalog()
-for module in (adapters, daily, ranking, ecosystem, features, people, graphs, serving, views):
+for module in (adapters, daily, ranking, ecosystem, features, people, graphs, realtime_sql, serving, views):
     module.register(CATALOG)
 
 
@@ -31,44 +32,119 @@ def _collab(spark, sf_dir):
 
 
 def g04_repo_community(spark, sf_dir):
-    return iterative.label_propagation(_similar(spark, sf_dir)).withColumnRenamed("node", "repo_name")
+    """Communities of the scope's repositories, those without similar ones included."""
+    labels = iterative.label_propagation(_similar(spark, sf_dir))
+    nodes = _frame("g02_scope_network", spark, sf_dir).select(F.col("repo_name").alias("node"))
+    return iterative.communities(labels, nodes).withColumnRenamed("node", "repo_name")
+
+
+def _labels(spark, sf_dir):
+    return g04_repo_community(spark, sf_dir).select("repo_name", "community_id")
 
 
 def g05_repo_community_profile(spark, sf_dir):
-    labels = g04_repo_community(spark, sf_dir)
-    pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("part"), "l_partkey").alias("repo_name"), F.concat("l_returnflag", "l_linestatus").alias("kind"))
-    return iterative.community_profile(labels, pairs)
+    kinds = {"watch": "WatchEvent", "fork": "ForkEvent", "issues": "IssuesEvent", "pr": "PullRequestEvent"}
+    events = _frame("ev_graph", spark, sf_dir).select("repo_name", F.col("event_type").alias("kind"))
+    labels = _labels(spark, sf_dir)
+    return iterative.community_profile(labels, events.join(F.broadcast(labels.select("repo_name")), "repo_name"), kinds=kinds)  # at most the scope's names
 
 
 def g09_repo_layer_community(spark, sf_dir):
     """Label propagation of all layers in one run: a node is a repository within a layer."""
     at = _frame("g09_repo_layer_edge", spark, sf_dir)
     edges = at.select(*[F.concat_ws("|", "layer", x).alias(x) for x in ("src_repo", "dst_repo")], "jaccard")
-    labels = iterative.label_propagation(iterative.both_ways(edges, "src_repo", "dst_repo", "jaccard"))
+    labels = iterative.label_propagation(iterative.both_ways(edges, "src_repo", "dst_repo", "jaccard"), rounds=10)
     part = lambda c, i: F.split_part(F.col(c), F.lit("|"), F.lit(i))
     return labels.select(part("node", 1).alias("layer"), part("node", 2).alias("repo_name"), part("community_id", 2).alias("community_id"))
 
 
 def g15_modularity(spark, sf_dir):
     edges = _similar(spark, sf_dir)
-    return iterative.modularity(edges, g04_repo_community(spark, sf_dir).withColumnRenamed("repo_name", "node"))
+    return iterative.modularity(edges, _labels(spark, sf_dir).withColumnRenamed("repo_name", "node"))
 
 
 def g15_bridge_score(spark, sf_dir):
     edges = _similar(spark, sf_dir)
-    return iterative.bridges(edges, g04_repo_community(spark, sf_dir).withColumnRenamed("repo_name", "node")).withColumnRenamed("node", "repo_name")
+    return iterative.bridges(edges, _labels(spark, sf_dir).withColumnRenamed("repo_name", "node")).withColumnRenamed("node", "repo_name")
 
 
 def g07_actor_pagerank(spark, sf_dir):
     return iterative.pagerank(_collab(spark, sf_dir)).withColumnRenamed("node", "actor_login")
 
 
+def g07_actor_graph_metrics(spark, sf_dir):
+    """PageRank, betweenness, weighted degree and, in place of Louvain's, communities by label propagation."""
+    edges = keep(_collab(spark, sf_dir))
+    return iterative.pagerank(edges).join(iterative.betweenness(edges), "node").join(iterative.label_propagation(edges), "node").withColumnRenamed("node", "actor_login")
+
+
 def g08_actor_coreness(spark, sf_dir):
-    return iterative.coreness(_collab(spark, sf_dir)).withColumnRenamed("node", "actor_login")
+    edges = iterative.both_ways(_frame("actor_corepo_edge", spark, sf_dir), "actor_a", "actor_b", "shared_repos")
+    known = _frame("m07_actor_features", spark, sf_dir).select("actor_login", "is_bot")
+    return iterative.cohorts(iterative.coreness(edges)).withColumnRenamed("node", "actor_login").join(known, "actor_login", "left").fillna(0, ["is_bot"])
 
 
 def g08_repo_coreness(spark, sf_dir):
-    return iterative.coreness(_similar(spark, sf_dir)).withColumnRenamed("node", "repo_name")
+    edges = iterative.both_ways(_frame("repo_jaccard_edge", spark, sf_dir), "src_repo", "dst_repo", "jaccard")
+    return iterative.cohorts(iterative.coreness(edges)).withColumnRenamed("node", "repo_name")
+
+
+def g11_repo_community_weekly(spark, sf_dir):
+    """Communities of each of the last four weeks in one run: a node is a repository within a week."""
+    at = _frame("week_pair", spark, sf_dir).where("jaccard >= 0.05").select(*[F.concat_ws("|", "week_idx", x).alias(x) for x in ("a", "b")], F.round("jaccard", 6).alias("jaccard"))
+    labels = iterative.label_propagation(iterative.both_ways(at, "a", "b", "jaccard"))
+    nodes = _frame("week_repo", spark, sf_dir).select(F.concat_ws("|", "week_idx", "repo_name").alias("node")).distinct()
+    part = lambda c, i: F.split_part(F.col(c), F.lit("|"), F.lit(i))
+    return iterative.communities(labels, nodes).select(part("node", 1).cast("int").alias("week_idx"), part("node", 2).alias("repo_name"), part("community_id", 2).alias("community_id"), "community_size")
+
+
+def g12_community_lineage(spark, sf_dir):
+    return iterative.lineage(g11_repo_community_weekly(spark, sf_dir))
+
+
+def _cascades(spark, sf_dir, most: int = 1500):
+    edges = _frame("g06_actor_collab_edge", spark, sf_dir)
+    ends = edges.select(F.explode(F.array("actor_a", "actor_b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "node").limit(most).select("node")
+    both = iterative.both_ways(edges, "actor_a", "actor_b", "weight").join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    both = keep(both)
+    return influence.influence(both, iterative.pagerank(both).join(iterative.coreness(both).select("node", "coreness"), "node"))
+
+
+def g14_actor_ic_reach(spark, sf_dir):
+    return _cascades(spark, sf_dir)[0]
+
+
+def g14_seed_greedy(spark, sf_dir):
+    return _cascades(spark, sf_dir)[1]
+
+
+def v17_coreness_summary(spark, sf_dir):
+    """Actors and bots by coreness, and whether half of all actors have as much at most."""
+    cores = g08_actor_coreness(spark, sf_dir).groupBy("coreness").agg(F.count("*").alias("actors"), F.sum("is_bot").cast("long").alias("bots"))
+    up = Window.orderBy("coreness").rowsBetween(Window.unboundedPreceding, 0)  # one row a value of coreness
+    total = F.sum("actors").over(Window.partitionBy(F.lit(1)))
+    return cores.withColumn("actors_up_to", F.sum("actors").over(up)).withColumn("share_up_to", F.round(F.col("actors_up_to") / total, 6)).withColumn("is_median", (F.col("actors_up_to") * 2 >= total) & ((F.col("actors_up_to") - F.col("actors")) * 2 < total)).withColumn("bot_share", F.round(F.col("bots") / F.col("actors"), 6))
+
+
+def v19_lineage_counts(spark, sf_dir):
+    at = g12_community_lineage(spark, sf_dir).groupBy("week_idx")
+    kinds = ("birth", "continue", "merge_or_split", "reform", "death")
+    out = at.agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in kinds])
+    alive = sum((F.col(k) for k in kinds[1:4]), F.col("birth"))
+    return out.select("week_idx", *kinds, alive.alias("communities"), F.round((F.col("continue") + F.col("merge_or_split")) / F.greatest(alive, F.lit(1)), 6).alias("survival_share"))
+
+
+def v20_influence_lift(spark, sf_dir):
+    reach = g14_actor_ic_reach(spark, sf_dir)
+    last = reach.groupBy().pivot("strategy", ["greedy", "degree", "pagerank", "coreness", "random"]).agg(F.max_by("expected_reach", "k"))
+    return last.select("*", *[F.round(F.col("greedy") / F.greatest(F.col(s), F.lit(1e-9)) - 1, 6).alias(f"lift_over_{s}") for s in ("degree", "random")])
+
+
+def v22_community_flows(spark, sf_dir):
+    """Repositories that go from one community of at least two to another from week to week."""
+    at = keep(g11_repo_community_weekly(spark, sf_dir).where("community_size >= 2"))
+    later = at.select((F.col("week_idx") - 1).alias("week_idx"), "repo_name", F.col("community_id").alias("to_community"))
+    return at.join(later, ["week_idx", "repo_name"]).groupBy("week_idx", F.col("community_id").alias("from_community"), "to_community").agg(F.count("*").alias("repos"))
 
 
 def m01_repo_clusters(spark, sf_dir):
@@ -83,12 +159,56 @@ def m08_actor_persona(spark, sf_dir):
     return ml.actor_persona(_frame("m07_actor_features", spark, sf_dir))
 
 
+def m02_repo_cluster_profile(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.cluster_profile(m01_repo_clusters(spark, sf_dir), _frame("rank_all", spark, sf_dir).drop("metric_date"))
+
+
+def m09_actor_persona_bic(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.persona_bic(_frame("m07_actor_features", spark, sf_dir))
+
+
+def m10_actor_persona_centroid(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.persona_centroids(_frame("m07_actor_features", spark, sf_dir))
+
+
+def m12_actor_persona_transition(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.persona_transition(*(keep(_frame(t, spark, sf_dir)) for t in ("actor_feat", "actor_feat_early", "actor_feat_late")))
+
+
+def _actors(spark, sf_dir):
+    return keep(_frame("m07_actor_features", spark, sf_dir)), m08_actor_persona(spark, sf_dir)
+
+
+def m16_actor_bot_supervised(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.bot_scores(*_actors(spark, sf_dir))
+
+
+def m16_bot_feature_importance(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.bot_importance(*_actors(spark, sf_dir))
+
+
+def m16_bot_classifier_meta(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.bot_measures(*_actors(spark, sf_dir))
+
+
 def m15_repo_association_rules(spark, sf_dir):
     from tidemill.operators import ml
 
-    pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.expr("l_orderkey = o_orderkey"))
-    scope = _frame("g02_scope_network", spark, sf_dir).select("repo_name")
-    return ml.association_rules(pairs.select(F.concat(F.lit("cust"), "o_custkey").alias("actor_login"), F.concat(F.lit("part"), "l_partkey").alias("repo_name")).join(F.broadcast(scope), "repo_name"))
+    return ml.association_rules(_frame("actor_repo", spark, sf_dir))
 
 
 def m17_actor_churn_risk(spark, sf_dir):
@@ -100,29 +220,45 @@ def m17_actor_churn_risk(spark, sf_dir):
 def m18_repo_als_neighbor(spark, sf_dir):
     from tidemill.operators import ml
 
-    counts = _frame("g02_scope_network", spark, sf_dir).select("repo_name").join(spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.expr("l_orderkey = o_orderkey")).select(F.concat(F.lit("cust"), "o_custkey").alias("actor_login"), F.concat(F.lit("part"), "l_partkey").alias("repo_name")), "repo_name")
-    return ml.als_neighbours(counts.groupBy("actor_login", "repo_name").agg(F.count("*").alias("n")))[1]
+    return ml.als_neighbours(_scope_counts(spark, sf_dir))[1]
+
+
+def _scope_counts(spark, sf_dir):
+    scope = _frame("g02_scope_network", spark, sf_dir).select("repo_name")
+    return _frame("ev_graph", spark, sf_dir).join(F.broadcast(scope), "repo_name").groupBy("actor_login", "repo_name").agg(F.count("*").alias("n"))
+
+
+def m18_repo_embedding(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.als_neighbours(_scope_counts(spark, sf_dir))[0]
+
+
+WINDOW, LATE = "1 minute", "5 seconds"
+#: Streams and the batch SQL that says what they hold in the end.
+STREAMED = {"s01_realtime_event_metrics": "rt_event_metrics", "s02_realtime_repo_scores": "rt_repo_scores", "s03_realtime_anomaly_alerts": "rt_anomaly_alerts"}
 
 
-WINDOW, LATE = "1 hour", "5 seconds"
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def s01_realtime_event_metrics(spark, sf_dir):
     stream = realtime.event_metrics(realtime.read_events(spark, f"{sf_dir}/events.parquet"), WINDOW, LATE)
-    return realtime.drain(stream, ["window_start", "event_type", "repo_name", "actor_category"])
+    return _plain(realtime.drain(stream, ["window_start", "event_type", "repo_name", "actor_category"]))
 
 
 def s02_realtime_repo_scores(spark, sf_dir):
     stream = realtime.repo_scores(realtime.read_events(spark, f"{sf_dir}/events.parquet"), WINDOW, LATE)
-    return realtime.drain(stream, ["window_start", "repo_name"]).drop("events")
+    return _plain(realtime.drain(stream, ["window_start", "repo_name"]).drop("events"))
 
 
 def s03_realtime_anomaly_alerts(spark, sf_dir):
     stream = realtime.repo_scores(realtime.read_events(spark, f"{sf_dir}/events.parquet"), WINDOW, LATE)
-    return realtime.anomaly_alerts(realtime.drain(stream, ["window_start", "repo_name"]))
+    return _plain(realtime.anomaly_alerts(realtime.drain(stream, ["window_start", "repo_name"])))
 
 
-PLANS = {f.__name__: f for f in (g04_repo_community, g05_repo_community_profile, g09_repo_layer_community, g15_bridge_score, g15_modularity, g07_actor_pagerank, g08_actor_coreness, g08_repo_coreness, m01_repo_clusters, m08_actor_persona, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts)}
+PLANS = {f.__name__: f for f in (g04_repo_community, g05_repo_community_profile, g09_repo_layer_community, g15_bridge_score, g15_modularity, g07_actor_pagerank, g07_actor_graph_metrics, g08_actor_coreness, g08_repo_coreness, g11_repo_community_weekly, g12_community_lineage, g14_actor_ic_reach, g14_seed_greedy, v17_coreness_summary, v19_lineage_counts, v20_influence_lift, v22_community_flows, m01_repo_clusters, m02_repo_cluster_profile, m08_actor_persona, m09_actor_persona_bic, m10_actor_persona_centroid, m12_actor_persona_transition, m16_actor_bot_supervised, m16_bot_feature_importance, m16_bot_classifier_meta, m18_repo_embedding, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts)}
 
 
 def queries() -> dict:
@@ -130,4 +266,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {n: CATALOG.statement(n, DUCK) for n, t in CATALOG.tables.items() if not t.internal}
+    return {n: CATALOG.statement(n, DUCK) for n, t in CATALOG.tables.items() if not t.internal} | {n: CATALOG.statement(t, DUCK) for n, t in STREAMED.items()}

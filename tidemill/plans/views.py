@@ -53,6 +53,15 @@ SELECT cohort, {big('sum(actors)')} AS actors, {r(f'{dbl("sum(actors)")} / sum(s
 WITH n AS (SELECT actor_a AS actor_login FROM g06_actor_collab_edge UNION SELECT actor_b FROM g06_actor_collab_edge), e AS (SELECT count(*) AS edges FROM g06_actor_collab_edge), k AS (SELECT count(*) AS nodes FROM n)
 SELECT nodes, edges, {r(share('edges', 'nodes'))} AS edges_per_node FROM e CROSS JOIN k""")
     c.add("v16_retention_by_week", "p02_actor_retention_curve", f"SELECT cohort_week, max(cohort_size) AS cohort_size, {', '.join(f'max(CASE WHEN days_since_first = {n} THEN retention_rate END) AS day_{n}' for n in (1, 3, 7, 14, 21))} FROM p02_actor_retention_curve GROUP BY cohort_week")
+    c.add("v04_forecast_verdict", "b18_repo_trend_forecast", f"""
+WITH k AS (SELECT b.*, row_number() OVER (PARTITION BY repo_name ORDER BY metric_date DESC) AS n, max(total_events) OVER (PARTITION BY repo_name) AS peak, lag(ma7) OVER (PARTITION BY repo_name ORDER BY metric_date) AS ma7_before FROM b18_repo_trend_forecast b),
+v AS (SELECT k.*, {change('forecast_next_day', 'ma7')} AS rise FROM k WHERE n = 1)
+SELECT repo_name, metric_date, peak AS peak_events, ma7, {r('ma7 - ma7_before')} AS ma7_delta, forecast_next_day, CASE WHEN rise > 0.1 THEN 'accelerating' WHEN rise < -0.1 THEN 'decaying' ELSE 'flat' END AS verdict FROM v""")
+    c.add("v08_rank_path_pivot", "q_top_repo_rank_paths", f"""
+WITH p AS (SELECT q.*, dense_rank() OVER (ORDER BY repo_name) AS lane FROM q_top_repo_rank_paths q)
+SELECT metric_date, {', '.join(f'max(CASE WHEN lane = {i} THEN repo_name END) AS repo_{i}, max(CASE WHEN lane = {i} THEN rank_no END) AS rank_{i}' for i in range(1, 9))} FROM p GROUP BY metric_date""")
+    c.add("v18_archetype_rollup", "m19_repo_archetype_rule", f"""
+SELECT archetype, count(*) AS members, {r(f'{dbl("count(*)")} / sum(count(*)) OVER ()')} AS share, {', '.join(f'{r(f"avg({dbl(x)})")} AS {x}' for x in ('bot_ratio', 'watch_share', 'pr_push_ratio', 'events_per_day', 'active_days', 'contributors'))} FROM m19_repo_archetype_rule GROUP BY archetype""")
     c.add("v21_layer_matrix", "g09_repo_layer_edge", f"""
 WITH n AS (SELECT layer, src_repo AS repo FROM g09_repo_layer_edge UNION SELECT layer, dst_repo FROM g09_repo_layer_edge), k AS (SELECT layer, count(*) AS repos FROM n GROUP BY layer)
 SELECT e.layer, count(*) AS edges, max(k.repos) AS repos, {r('avg(jaccard)')} AS avg_jaccard, max(jaccard) AS max_jaccard FROM g09_repo_layer_edge e JOIN k ON e.layer = k.layer GROUP BY e.layer""")

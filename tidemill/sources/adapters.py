@@ -19,3 +19,26 @@ FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM even
 SELECT l.l_orderkey AS event_id, CAST(o.o_orderdate AS DATE) AS metric_date, concat('cust', CAST(o.o_custkey AS {d.string})) AS actor_login, concat('part', CAST(l.l_partkey AS {d.string})) AS repo_name,
   CASE concat(l.l_returnflag, l.l_linestatus) WHEN 'AF' THEN 'WatchEvent' WHEN 'AO' THEN 'ForkEvent' WHEN 'RF' THEN 'IssuesEvent' WHEN 'RO' THEN 'PullRequestEvent' ELSE 'PushEvent' END AS event_type
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""", internal=True)
+
+
+def activity(curated):
+    """The rows of ``ev`` from curated events: days, hours and weekdays as numbers, and the organisation or else the owner.
+
+    Events without an organisation belong to the part of the repository's name before the slash. Nulls of text
+    columns become 'unknown' and null sizes 0, as in curation.
+    """
+    from pyspark.sql import functions as F
+
+    text = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
+    owner = F.when(text("org_login").isin("", "unknown"), F.split_part(text("repo_name"), F.lit("/"), F.lit(1))).otherwise(F.col("org_login"))
+    return curated.select(
+        "event_id",
+        F.col("event_timestamp").alias("event_ts"),
+        F.col("event_date").alias("metric_date"),
+        F.col("event_hour").cast("long").alias("hour_of_day"),
+        F.dayofweek("event_date").cast("long").alias("day_of_week"),
+        *[text(c).alias(c) for c in ("event_type", "actor_login", "actor_category", "repo_name")],
+        owner.alias("org_or_owner"),
+        *[text(c).alias(c) for c in ("language_guess", "payload_action")],
+        F.coalesce("payload_size", F.lit(0)).cast("long").alias("payload_size"),
+    )

@@ -60,8 +60,11 @@ def curate(raw: DataFrame) -> DataFrame:
 
 
 def write_curated(raw: DataFrame, path: str) -> dict[str, int]:
-    """Write partitions by date and hour and return the counts of the cleaning report, in one pass over the source."""
+    """Write partitions by date and hour and return the counts of the cleaning report, in one pass over the source.
+
+    Only partitions that have rows now are replaced, so that a day run again leaves the others as they are.
+    """
     seen, kept = Observation(), Observation()
     out = curate(raw.observe(seen, F.count(F.lit(1)).alias("n"))).observe(kept, F.count(F.lit(1)).alias("n"))
-    out.write.mode("overwrite").partitionBy("event_date", "event_hour").parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "event_hour").parquet(path)
     return {"raw": seen.get["n"], "curated": kept.get["n"], "dropped": seen.get["n"] - kept.get["n"]}

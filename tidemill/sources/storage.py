@@ -14,8 +14,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemill-shared")
 
 
+def kept_path(spark: SparkSession) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/tidemill-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it again: computed once, and safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidemill-{uuid.uuid4().hex}"
+    path = kept_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

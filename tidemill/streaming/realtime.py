@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.exprs import COUNTS, HOTNESS
+from tidemill.functions.exprs import HOTNESS
+from tidemill.operators.realtime_sql import REALTIME as COUNTS
 from tidemill.sources.storage import shared_dir
 
 
