@@ -35,5 +35,5 @@ SELECT {LATEST} AS metric_date, s.repo_name, actor_login AS top_actor, {r('s')}
 FROM s LEFT JOIN b14_repo_rank_daily k ON s.repo_name = k.repo_name WHERE s.k = 1 AND contributor_count >= 3""")
     c.add("m17_churn_features", "ev", lambda d: f"""
 WITH a AS (SELECT actor_login, metric_date, count(*) AS events, row_number() OVER (PARTITION BY actor_login ORDER BY metric_date) AS n FROM ev GROUP BY actor_login, metric_date), m AS (SELECT max(metric_date) AS last FROM ev),
-t AS (SELECT actor_login, count(*) AS active_days, {big('sum(events)')} AS events, CASE WHEN count(*) >= 2 THEN {r(f"regr_slope({dbl('events')}, {dbl('n')})")} END AS decay_slope, max(metric_date) AS last_seen, {d.days('max(m.last)', 'max(metric_date)')} AS days_since_last, max(CASE WHEN metric_date >= {d.plus_days('m.last', '-7')} THEN 1 ELSE 0 END) AS seen FROM a CROSS JOIN m GROUP BY actor_login)
+t AS (SELECT actor_login, count(*) AS active_days, {big('sum(events)')} AS events, CASE WHEN count(*) >= 2 THEN {r(f"regr_slope({dbl('events')}, {dbl('n')})")} + {dbl('0')} END AS decay_slope, max(metric_date) AS last_seen, {d.days('max(m.last)', 'max(metric_date)')} AS days_since_last, max(CASE WHEN metric_date >= {d.plus_days('m.last', '-7')} THEN 1 ELSE 0 END) AS seen FROM a CROSS JOIN m GROUP BY actor_login)
 SELECT actor_login, days_since_last, active_days, {r(f"ln({dbl('1')} + active_days)")} AS log_active_days, {r(f"ln({dbl('1')} + events)")} AS log_events, decay_slope, 1 - seen AS churned FROM t ORDER BY active_days DESC, actor_login LIMIT 5000""")
