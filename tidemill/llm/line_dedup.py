@@ -9,8 +9,8 @@ still large by what surrounds each block of such a block, and so on down to sing
 there are one edit apart, and a star links them. Candidates are verified by a banded bit-parallel edit distance.
 
 With one_word, lines also link that differ in one whole word, replaced or left out, of at most a tenth of its
-line: they meet on hashes of all other words, which XOR gives in one step for each word, and are then grouped
-by those words themselves.
+line. One half of their words is the same, so only lines that share a half go on; these meet on hashes of all
+other words, which XOR gives in one step for each word, and are then grouped by those words themselves.
 """
 
 from __future__ import annotations
@@ -188,6 +188,24 @@ def _texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, min_chars: int) ->
     return _split(there, min_chars).join(ids_here, ["h1", "h2"]).select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
 
 
+#: Roles of the columns of half_keys: a line's own halves, and those that a line without one of its words would have.
+HALF_ROLES = [0, 0, 1, 1]
+
+
+def half_keys(line: Column) -> Column:
+    """Hashes of the first and second half of a line's words, and of such halves as a line of one word less shares with it."""
+
+    def halves(words: Column) -> Column:
+        def of(n: Column) -> list[Column]:
+            first = F.floor(n / 2).cast("int")
+            return [F.xxhash64(F.lit(0), n, F.slice(words, F.lit(1), first)), F.xxhash64(F.lit(1), n, F.slice(words, F.size(words) - (n - first) + 1, n - first))]
+
+        fewer = [F.when(F.size(words) > 1, key) for key in of(F.greatest(F.size(words) - 1, F.lit(1)))]
+        return F.array(*of(F.size(words)), *fewer)
+
+    return _let(F.split(line, " "), halves)
+
+
 def word_keys(line: Column) -> Column:
     """Structs (key, role, i): role 0 the line but for word i, role 1 its words but word i in any order, role 2 all its words so."""
     xor = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
@@ -204,13 +222,17 @@ def word_keys(line: Column) -> Column:
     return _let(_let(F.struct(F.split(line, " ").alias("words"), F.length(line).alias("size")), hashed), keys)
 
 
-def word_links(docs: DataFrame, lines: DataFrame, min_chars: int) -> DataFrame:
+def word_links(docs: DataFrame, lines: DataFrame, uniq: DataFrame, min_chars: int) -> DataFrame:
     """(a, b): links of lines that differ in one word of at most a WORD_SHARE-th of its line; a star each where many agree but for one word."""
-    keyed = _split(docs, min_chars).select("h1", "h2", F.explode(word_keys(F.col("line"))).alias("s")).select("h1", "h2", "s.*").where("key is not null")
+    each = F.array(*[F.struct(F.get("halves", i).alias("key"), F.lit(role).cast("byte").alias("role")) for i, role in enumerate(HALF_ROLES)])
+    halves = uniq.where("halves is not null").select("h1", "h2", F.explode(each).alias("s")).select("h1", "h2", "s.*").where("key is not null")
+    common = halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("role").alias("role")).where("low <> high and role = 0").select("key")
+    near = stash(halves.join(maybe_broadcast(stash(common)), "key").select("h1", "h2").distinct())
+    texts = stash(_texts(docs, lines, near, min_chars))
+    keyed = texts.select("h1", "h2", F.explode(word_keys(F.col("line"))).alias("s")).select("h1", "h2", "s.*").where("key is not null")
     live = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("role").alias("r0"), F.max("role").alias("r1"))
     live = stash(live.where("low <> high and (r1 = 0 or (r0 = 1 and r1 = 2))").select("key"))
     rows = stash(keyed.join(maybe_broadcast(live), "key").select("h1", "h2", "role", "i").distinct())
-    texts = stash(_texts(docs, lines, rows.select("h1", "h2").distinct(), min_chars))
     words, i = F.split("line", " "), F.col("i")
     before, after = F.slice(words, F.lit(1), F.greatest(i, F.lit(0))), F.slice(words, i + 2, F.size(words))
     place = F.when(F.col("role") == 0, i).otherwise(-1)  # lines that lack a word agree wherever it stood
@@ -257,7 +279,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, uniq: DataFrame, threshold: in
         both = stash(both.where(_may_be_one_edit(F.col("la"), F.col("lb"))))
     links = stash(both.where(within(F.col("la"), F.col("lb"), threshold)).select("a", "b"))
     if one_word:
-        links = stash(links.unionByName(word_links(docs, lines, min_chars)))
+        links = stash(links.unionByName(word_links(docs, lines, uniq, min_chars)))
     return components(links).select(F.col("node").alias("id"), F.col("component").alias("label"))
 
 
@@ -275,8 +297,11 @@ def line_dedup(docs: DataFrame, threshold: int = 1, min_chars: int = 20, doc_id:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     least = min_chars if exact_chars is None else min(min_chars, exact_chars)
     keys = [F.when(F.length("line") >= min_chars, key).alias(f"k{i}") for i, (key, _) in enumerate(segment_keys(F.col("line"), threshold))]
+    names = [f"k{i}" for i in range(len(keys))]
+    if one_word:
+        keys, names = [*keys, F.when(F.length("line") >= min_chars, half_keys(F.col("line"))).alias("halves")], [*names, "halves"]
     lines = stash(_split(rows, least).select(*SAME, "pos", "h1", "h2", *keys))
-    uniq = stash(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))]))
+    uniq = stash(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in names]))
     labels = stash(near_lines(rows, lines, uniq, threshold, min_chars, one_word))
     ident = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
