@@ -257,3 +257,56 @@ def test_bot_models(spark):
     assert meta["bots"] == 24 and meta["cv_roc_auc"] > 0.95
     assert ml.bot_importance(features, personas).first().feature in ml.BOT_FEATURES[:2]
     assert ml.bot_scores(features.where("is_bot = 0"), personas).where("gbt_prob_bot > 0").isEmpty()
+
+
+def test_bootstrap_intervals(spark):
+    """Against resampling by hand in numpy: ends agree within what resampling varies by, and d lies inside."""
+    import numpy as np
+
+    from tidemill.operators import bootstrap
+
+    r = np.random.default_rng(5)
+    a, b = r.normal(1.0, 1.0, 80), r.normal(0.0, 1.0, 60)
+    rows = [(f"a{i}", "hot", "all", float(x), 1.0) for i, x in enumerate(a)] + [(f"b{i}", "cold", "all", float(x), 1.0) for i, x in enumerate(b)]
+    rows += [("c", "hot", "few", 1.0, None), ("d", "cold", "few", 2.0, None), ("e", "mid", "all", 99.0, 99.0)]
+    df = spark.createDataFrame(rows, "key string, side string, cohort_scope string, x double, same double")
+    got = {(x.cohort_scope, x.feature_name): (x.ci_low, x.ci_high) for x in bootstrap.intervals(df, ["x", "same"], "hot", "cold").collect()}
+    assert set(got) == {("all", "x"), ("all", "same")} and got["all", "same"] == (0.0, 0.0)
+
+    def d(p, q):
+        pooled = (((len(p) - 1) * p.var(ddof=1) + (len(q) - 1) * q.var(ddof=1)) / (len(p) + len(q) - 2)) ** 0.5
+        return (p.mean() - q.mean()) / pooled
+
+    many = np.sort([d(r.choice(a, len(a)), r.choice(b, len(b))) for _ in range(4000)])
+    low, high = got["all", "x"]
+    assert low < d(a, b) < high and abs(low - many[100]) < 0.15 and abs(high - many[3899]) < 0.15
+    assert got == {(x.cohort_scope, x.feature_name): (x.ci_low, x.ci_high) for x in bootstrap.intervals(df.repartition(5), ["x", "same"], "hot", "cold").collect()}
+    assert bootstrap.intervals(df.limit(0), ["x"], "hot", "cold").isEmpty()
+
+
+def test_repo_archetypes(spark):
+    from tidemill.operators import ml
+
+    rows = [(f"r{i}", "misc" if i % 2 else "steady_core", float(i), 10 + i, *[float(10 * (i % 2)) + (i * k % 7) / 7 for k in range(1, 7)]) for i in range(40)]
+    rules = spark.createDataFrame(rows, ["repo_name", "archetype_rule", "rank_score", "total_events", *ml.ARCHETYPE_FEATURES])
+    got = ml.repo_archetypes(rules, k=2)
+    assert got.count() == 40 and got.where("archetype_confidence not between 0.5 and 1").isEmpty()
+    assert got.groupBy("archetype_gmm_id").agg(F.countDistinct("archetype_rule").alias("n")).where("n > 1").isEmpty()
+    heads = {r.archetype_rule: r for r in ml.archetype_centroids(got).collect()}
+    assert heads["misc"].members == 20 and heads["misc"].rule_gmm_overlap == 1.0 and heads["misc"].sample_repos == "r39 | r37 | r35"
+    assert ml.repo_archetypes(rules.limit(5)).where("archetype_gmm_id is not null").isEmpty()
+
+
+def test_model_reads(spark):
+    from tidemill.plans import model_reads as m
+
+    members = spark.createDataFrame([("a", "a", 2), ("b", "a", 2), ("c", "c", 1), ("d", "d", 2), ("e", "d", 2)], "repo_name string, community_id string, community_size long")
+    ranks = spark.createDataFrame([("b", 0.9), ("d", 0.2), ("e", 0.1)], "repo_name string, rank_score double")
+    assert [r.repo_name for r in m.communities_top(members, ranks, 1).collect()] == ["b", "a"]
+    assert [r.repo_name for r in m.communities_top(members, ranks).collect()] == ["b", "d", "e", "a"]
+    assert [r.repo_name for r in m.of_repo(members, "c").collect()] == ["c"] and [r.repo_name for r in m.of_repo(members, None).collect()] == ["e"]
+    rules = spark.createDataFrame([("a & b", "c", 2.0, 0.5), ("c", "a", 3.0, 0.5), ("x", "b", 1.0, 0.5)], "antecedent string, consequent string, lift double, confidence double")
+    assert [r.lift for r in m.rules_of(rules, "c").collect()] == [3.0, 2.0] and [r.lift for r in m.rules_of(rules).collect()] == [3.0, 2.0]
+    layers = spark.createDataFrame([("watch", "a", "a"), ("watch", "b", "a"), ("fork", "a", "a")], "layer string, repo_name string, community_id string")
+    assert {r.layer: (r.communities, r.largest) for r in m.layer_matrix(layers).collect()} == {"watch": (1, 2), "fork": (0, 1)}
+    assert [r.community_size for r in m.layer_communities(layers).collect()] == [1, 2, 2]

@@ -81,13 +81,14 @@ WITH a AS (SELECT w.repo_name, count(*) AS watchers, avg(night_ratio) AS night,
 d AS (SELECT * FROM (SELECT lift.*, row_number() OVER (PARTITION BY repo_name ORDER BY watchers DESC, persona_label) AS n FROM lift) x WHERE n = 1)
 SELECT {LATEST} AS metric_date, a.repo_name, coalesce(k.rank_no, 999999) AS rank_no, coalesce(k.rank_score, 0) AS rank_score, a.watchers, {r('coalesce(night, 0)')} AS avg_night_ratio, {r('coalesce(pr, 0)')} AS avg_pr_push_ratio, {r('coalesce(repos, 0)')} AS avg_unique_repos, {r('coalesce(bot, 0)')} AS bot_ratio,
   d.persona_label AS dominant_persona, {r('d.own')} AS dominant_share, {r('d.lift')} AS dominant_lift FROM a JOIN d ON a.repo_name = d.repo_name LEFT JOIN rank_all k ON a.repo_name = k.repo_name""")
-    c.add("m20_dynamic_attribution", "score_day dna", lambda d: f"""
+    c.add("m20_side", "score_day", f"""
 WITH q AS (SELECT repo_name, {dbl('rank_score')} AS y, {dbl('row_number() OVER (PARTITION BY repo_name ORDER BY metric_date)')} AS x FROM score_day),
 s AS (SELECT repo_name, {r('regr_slope(y, x)', 9)} AS slope FROM q GROUP BY repo_name HAVING count(*) >= 5),
-o AS (SELECT s.*, row_number() OVER (ORDER BY slope DESC, repo_name) AS up, row_number() OVER (ORDER BY slope, repo_name) AS down, count(*) OVER () AS n FROM s),
-g AS (SELECT repo_name, CASE WHEN slope > 0 THEN 'riser' ELSE 'faller' END AS side FROM o WHERE n >= 20 AND ((slope > 0 AND up <= 30) OR (slope < 0 AND down <= 30))),
-x AS ({unpivot(d, 'dna', 'repo_name')}),
-a AS (SELECT feature_name, {', '.join(f"avg(CASE WHEN side = '{g}' THEN x END) AS m_{g}, var_samp(CASE WHEN side = '{g}' THEN x END) AS v_{g}, {count_when(f"side = '{g}'")} AS n_{g}" for g in ('riser', 'faller'))} FROM x JOIN g ON x.repo_name = g.repo_name GROUP BY feature_name),
+o AS (SELECT s.*, row_number() OVER (ORDER BY slope DESC, repo_name) AS up, row_number() OVER (ORDER BY slope, repo_name) AS down, count(*) OVER () AS n FROM s)
+SELECT repo_name, CASE WHEN slope > 0 THEN 'riser' ELSE 'faller' END AS side FROM o WHERE n >= 20 AND ((slope > 0 AND up <= 30) OR (slope < 0 AND down <= 30))""", internal=True)
+    c.add("m20_dynamic_attribution", "m20_side dna", lambda d: f"""
+WITH x AS ({unpivot(d, 'dna', 'repo_name')}),
+a AS (SELECT feature_name, {', '.join(f"avg(CASE WHEN side = '{g}' THEN x END) AS m_{g}, var_samp(CASE WHEN side = '{g}' THEN x END) AS v_{g}, {count_when(f"side = '{g}'")} AS n_{g}" for g in ('riser', 'faller'))} FROM x JOIN m20_side g ON x.repo_name = g.repo_name GROUP BY feature_name),
 d AS (SELECT a.*, sqrt(((n_riser - 1) * v_riser + (n_faller - 1) * v_faller) / (n_riser + n_faller - 2)) AS pooled, sqrt(v_riser / n_riser + v_faller / n_faller) AS welch FROM a WHERE n_riser >= 2 AND n_faller >= 2)
 SELECT feature_name, n_riser, n_faller, {r('m_riser')} AS mean_riser, {r('m_faller')} AS mean_faller, {r(f"CASE WHEN pooled > 1e-12 THEN (m_riser - m_faller) / pooled ELSE {dbl('0')} END")} AS cohen_d, {r(f"CASE WHEN welch > 1e-12 THEN (m_riser - m_faller) / welch ELSE {dbl('0')} END")} AS t_stat FROM d""")
     signals = {"bot": "1 - dominant_share", "anomaly": "z_score", "outlier": "z_distance", "watcher_bot": "bot_ratio"}

@@ -1,4 +1,4 @@
-"""Models (M01, M02, M08-M10, M12, M15-M18) with Spark ML."""
+"""Models (M01, M02, M08-M10, M12, M15-M19) with Spark ML."""
 
 from __future__ import annotations
 
@@ -114,11 +114,12 @@ def _named(df: DataFrame, names: dict[int, str]) -> DataFrame:
 
 
 def actor_persona(features: DataFrame, k: int = 6, seed: int = 42, most: int = 40_000) -> DataFrame:
-    """The mixture's cluster and its label for every actor, with two principal components."""
+    """The mixture's cluster and its label for every actor, with its own figures and two principal components."""
     model = _mixture(features, k, seed, most)
-    rows = model.transform(_logged(features))
+    own = [c for c in features.columns if c != "metric_date"]
+    rows = model.transform(_logged(features.withColumn("own", F.struct(*own))))
     names = persona_names([r.asDict() for r in _centroids(rows).collect()])  # k rows
-    return _pca(_named(rows, names)).select("metric_date", "actor_login", "persona_id", "persona_label", "is_bot", "pca_x", "pca_y")
+    return _pca(_named(rows, names)).select("metric_date", "persona_id", "persona_label", *[F.col("own")[c].alias(c) for c in own], "pca_x", "pca_y")
 
 
 def persona_centroids(features: DataFrame, k: int = 6, seed: int = 42, most: int = 40_000) -> DataFrame:
@@ -265,6 +266,36 @@ def bot_measures(features: DataFrame, personas: DataFrame, folds: int = 5, seed:
     return features.sparkSession.createDataFrame(meta, "metric string, value double")
 
 
+ARCHETYPE_FEATURES = ["watch_share", "pr_push_ratio", "bot_ratio", "active_days", "contributor_count", "events_per_active_day"]
+
+
+def repo_archetypes(rules: DataFrame, k: int = 6, seed: int = 42, least: int = 20) -> DataFrame:
+    """The archetype by rule beside a mixture's cluster and its probability, with two principal components.
+
+    rules: repo_name, archetype_rule, rank_score, total_events and the features, one row a repository of the scope.
+    The mixture has a cluster for every ten repositories, k at most and 2 at least; with fewer than `least` rows
+    there is none, and cluster, probability and components are null.
+    """
+    n = rules.count()
+    kept = ["repo_name", "archetype_rule", "rank_score", "total_events", *ARCHETYPE_FEATURES]
+    if n < least:
+        return rules.select(*kept, F.lit(None).cast("int").alias("archetype_gmm_id"), *[F.lit(None).cast("double").alias(c) for c in ("archetype_confidence", "pca_x", "pca_y")])
+    rows = rules.select(*kept).fillna(0.0, [*ARCHETYPE_FEATURES, "rank_score"])
+    mixture = GaussianMixture(k=min(k, max(2, n // 10)), seed=seed, predictionCol="archetype_gmm_id", probabilityCol="gmm_probability")
+    out = Pipeline(stages=[*_scaled(ARCHETYPE_FEATURES), mixture]).fit(rows).transform(rows)
+    return _pca(out.withColumn("archetype_confidence", F.round(F.array_max(vector_to_array("gmm_probability")), 6))).select(*kept, "archetype_gmm_id", "archetype_confidence", "pca_x", "pca_y")
+
+
+def archetype_centroids(archetypes: DataFrame, samples: int = 3) -> DataFrame:
+    """Members and means of each rule and cluster, the share of the cluster that the rule covers, and the best ranked names."""
+    keys = ["archetype_rule", "archetype_gmm_id"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("rank_score"), "repo_name"))
+    best = F.sort_array(F.collect_list(F.when(F.col("place") <= samples, F.struct("place", "repo_name"))))
+    means = [F.round(F.avg(c), 6).alias(f"avg_{c}") for c in ("watch_share", "pr_push_ratio", "bot_ratio", "active_days", "rank_score")]
+    out = archetypes.withColumn("place", place).groupBy(*keys).agg(F.count("*").alias("members"), *means, F.array_join(F.transform(best, lambda x: x["repo_name"]), " | ").alias("sample_repos"))
+    return out.withColumn("rule_gmm_overlap", F.round(F.col("members") / F.sum("members").over(Window.partitionBy("archetype_gmm_id")), 6))
+
+
 def association_rules(baskets: DataFrame, least_confidence: float = 0.3) -> DataFrame:
     """FP-growth over (actor_login, repo_name); single consequents; the top 500 rules and their Pareto frontier."""
     items = baskets.groupBy("actor_login").agg(F.array_sort(F.collect_set("repo_name")).alias("items")).where("size(items) between 2 and 30")

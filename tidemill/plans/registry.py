@@ -7,8 +7,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import daily, ecosystem, features, graphs, influence, iterative, people, ranking, realtime_sql
-from tidemill.plans import serving, views
+from tidemill.operators import bootstrap, daily, ecosystem, features, graphs, influence, iterative, people, ranking, realtime_sql
+from tidemill.plans import model_reads, serving, views
 from tidemill.plans.catalog import DUCK, Catalog
 from tidemill.sources import adapters
 from tidemill.sources.storage import keep
@@ -234,6 +234,37 @@ def m18_repo_embedding(spark, sf_dir):
     return ml.als_neighbours(_scope_counts(spark, sf_dir))[0]
 
 
+def m19_repo_archetype(spark, sf_dir):
+    """Archetypes of the scope's repositories by rule and by mixture."""
+    from tidemill.operators import ml
+
+    names = {"archetype": "archetype_rule", "contributors": "contributor_count", "events_per_day": "events_per_active_day"}
+    scope = _frame("g01_scope_ranked", spark, sf_dir).select("repo_name", F.coalesce("rank_score", F.lit(0.0)).alias("rank_score"))  # at most the scope's names
+    events = _frame("ev", spark, sf_dir).groupBy("repo_name").agg(F.count("*").alias("total_events"))
+    rules = _frame("m19_repo_archetype_rule", spark, sf_dir).withColumnsRenamed(names)
+    return ml.repo_archetypes(keep(rules.join(events, "repo_name").join(F.broadcast(scope), "repo_name")))
+
+
+def m19_repo_archetype_centroid(spark, sf_dir):
+    from tidemill.operators import ml
+
+    return ml.archetype_centroids(keep(m19_repo_archetype(spark, sf_dir)))
+
+
+def m05_attribution_interval(spark, sf_dir):
+    """The 95 % interval of each Cohen's d of m05_hot_vs_cold_attribution."""
+    rows = keep(_frame("dna", spark, sf_dir).where("cohort_group <> 'mid'").select(F.col("repo_name").alias("key"), F.col("cohort_group").alias("side"), F.col("bot_ratio").alias("bots"), *features.FEATURES))
+    scope = F.array(F.lit("all"), F.when(F.col("bots") < 0.3, "humans_only").otherwise("bots_only"))
+    return bootstrap.intervals(rows.withColumn("cohort_scope", F.explode(scope)), features.FEATURES, "hot", "cold")
+
+
+def m20_attribution_interval(spark, sf_dir):
+    """The 95 % interval of each Cohen's d of m20_dynamic_attribution."""
+    sides = _frame("m20_side", spark, sf_dir).withColumnsRenamed({"repo_name": "key"})
+    rows = _frame("dna", spark, sf_dir).select(F.col("repo_name").alias("key"), *features.FEATURES).join(F.broadcast(sides), "key")  # at most 30 names a side
+    return bootstrap.intervals(keep(rows.withColumn("cohort_scope", F.lit("all"))), features.FEATURES, "riser", "faller").drop("cohort_scope")
+
+
 WINDOW, LATE = "1 minute", "5 seconds"
 #: Streams and the batch SQL that says what they hold in the end.
 STREAMED = {"s01_realtime_event_metrics": "rt_event_metrics", "s02_realtime_repo_scores": "rt_repo_scores", "s03_realtime_anomaly_alerts": "rt_anomaly_alerts"}
@@ -258,7 +289,8 @@ def s03_realtime_anomaly_alerts(spark, sf_dir):
     return _plain(realtime.anomaly_alerts(realtime.drain(stream, ["window_start", "repo_name"])))
 
 
-PLANS = {f.__name__: f for f in (g04_repo_community, g05_repo_community_profile, g09_repo_layer_community, g15_bridge_score, g15_modularity, g07_actor_pagerank, g07_actor_graph_metrics, g08_actor_coreness, g08_repo_coreness, g11_repo_community_weekly, g12_community_lineage, g14_actor_ic_reach, g14_seed_greedy, v17_coreness_summary, v19_lineage_counts, v20_influence_lift, v22_community_flows, m01_repo_clusters, m02_repo_cluster_profile, m08_actor_persona, m09_actor_persona_bic, m10_actor_persona_centroid, m12_actor_persona_transition, m16_actor_bot_supervised, m16_bot_feature_importance, m16_bot_classifier_meta, m18_repo_embedding, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts)}
+PLANS = {f.__name__: f for f in (g04_repo_community, g05_repo_community_profile, g09_repo_layer_community, g15_bridge_score, g15_modularity, g07_actor_pagerank, g07_actor_graph_metrics, g08_actor_coreness, g08_repo_coreness, g11_repo_community_weekly, g12_community_lineage, g14_actor_ic_reach, g14_seed_greedy, v17_coreness_summary, v19_lineage_counts, v20_influence_lift, v22_community_flows, m01_repo_clusters, m02_repo_cluster_profile, m08_actor_persona, m09_actor_persona_bic, m10_actor_persona_centroid, m12_actor_persona_transition, m16_actor_bot_supervised, m16_bot_feature_importance, m16_bot_classifier_meta, m18_repo_embedding, m19_repo_archetype, m19_repo_archetype_centroid, m05_attribution_interval, m20_attribution_interval, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts)}
+PLANS |= model_reads.queries(dict(PLANS), lambda name, spark, sf_dir: _frame(name, spark, sf_dir))
 
 
 def queries() -> dict:

@@ -52,7 +52,8 @@ SELECT cohort, {big('sum(actors)')} AS actors, {r(f'{dbl("sum(actors)")} / sum(s
     c.add("v15_collab_density", "g06_actor_collab_edge", f"""
 WITH n AS (SELECT actor_a AS actor_login FROM g06_actor_collab_edge UNION SELECT actor_b FROM g06_actor_collab_edge), e AS (SELECT count(*) AS edges FROM g06_actor_collab_edge), k AS (SELECT count(*) AS nodes FROM n)
 SELECT nodes, edges, {r(share('edges', 'nodes'))} AS edges_per_node FROM e CROSS JOIN k""")
-    c.add("v16_retention_by_week", "p02_actor_retention_curve", f"SELECT cohort_week, max(cohort_size) AS cohort_size, {', '.join(f'max(CASE WHEN days_since_first = {n} THEN retention_rate END) AS day_{n}' for n in (1, 3, 7, 14, 21))} FROM p02_actor_retention_curve GROUP BY cohort_week")
+    rate = lambda n: f"max(CASE WHEN days_since_first = {n} THEN retention_rate END)"
+    c.add("v16_retention_by_week", "p02_actor_retention_curve", f"SELECT cohort_week, max(cohort_size) AS cohort_size, {', '.join(f'{rate(n)} AS day_{n}' for n in (0, 1, 3, 7, 14, 21, 28))}, {r(f'avg({rate(7)}) OVER ()')} AS mean_day_7 FROM p02_actor_retention_curve GROUP BY cohort_week")
     c.add("v04_forecast_verdict", "b18_repo_trend_forecast", f"""
 WITH k AS (SELECT b.*, row_number() OVER (PARTITION BY repo_name ORDER BY metric_date DESC) AS n, max(total_events) OVER (PARTITION BY repo_name) AS peak, lag(ma7) OVER (PARTITION BY repo_name ORDER BY metric_date) AS ma7_before FROM b18_repo_trend_forecast b),
 v AS (SELECT k.*, {change('forecast_next_day', 'ma7')} AS rise FROM k WHERE n = 1)
