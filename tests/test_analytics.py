@@ -28,7 +28,7 @@ def same(df, rel):
     assert rows == sorted(str(tuple(r[own.index(c)] for c in cols)) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", ["b01_daily_metrics", "b10_repo_day_features", "b14_repo_rank_daily", "b15_user_segment_latest", "b27_concentration_day", "b28_ecosystem_changepoints", "b35_repo_event_mix_shift_day", "p02_actor_retention_curve", "g03_repo_similarity_edges", "q_top_repos_week"])
+@pytest.mark.parametrize("name", ["b01_daily_metrics", "b10_repo_day_features", "b14_repo_rank_daily", "b15_user_segment_latest", "b27_concentration_day", "b28_ecosystem_changepoints", "b35_repo_event_mix_shift_day", "p02_actor_retention_curve", "g03_repo_similarity_edges", "g10_repo_metapath_sim", "q_top_repos_week"])
 def test_equals_sql(spark, duck, name):
     same(registry.queries()[name](spark, SF), duck.sql(registry.CATALOG.statement(name, DUCK)))
 
@@ -151,6 +151,50 @@ def test_alerts_by_hand(spark):
     assert [(r.repo_name, r.current_events, r.baseline_events, r.anomaly_ratio, r.alert_level) for r in got] == [("o/hot", 7, 2.5, 2.8, "medium")]
 
 
+def test_graphs_of_curated_events(spark):
+    """Five actors share a repository, so they are a clique; unknown ones join the plain counts but no network."""
+    from tidemill import run
+
+    names = ["o/r1", "o/r2", "o/r3"]
+    rows = [(1 + i, 1, a, r, "PushEvent") for a in "abcd" for i, r in enumerate(names)] + [(1, 2, "e", "o/r1", "PushEvent")]
+    rows += [(1, 3, "unknown", r, "WatchEvent") for r in names] + [(1, 4, a, "unknown/unknown", "WatchEvent") for a in "abcd"]
+    got = run.tables(spark, activity(spark, rows), ["b05_summary", "g02_scope_network", "g03_repo_similarity_edges", "g04_repo_community", "g08_actor_coreness", "q_repo_community_by_repo"])
+    assert {(r.actor_login, r.coreness) for r in got["g08_actor_coreness"].collect()} == {(a, 4) for a in "abcde"}
+    assert {(r.repo_name, r.actors) for r in got["g02_scope_network"].collect()} == {("o/r1", 5), ("o/r2", 4), ("o/r3", 4)}
+    assert {(r.src_repo, r.dst_repo): r.jaccard for r in got["g03_repo_similarity_edges"].collect()}["o/r2", "o/r3"] == 1.0
+    assert {r.repo_name for r in got["g04_repo_community"].collect()} == set(names)
+    assert [r.repo_name for r in got["q_repo_community_by_repo"].collect()] == ["o/r3"]
+    assert len(run.model_names()) > 60 and not set(run.model_names()) & set(run.table_names())
+
+
+def test_messages_of_a_broker(spark):
+    """Events come back from their messages; what is no event goes."""
+    from tidemill.streaming import realtime
+
+    events = spark.createDataFrame([("2024-01-01 01:00:30", "PushEvent", "o/r", "human"), ("2024-01-01 02:00:00", "WatchEvent", "o/r", None)], "ts string, event_type string, repo_name string, actor_category string").withColumn("ts", F.to_timestamp("ts"))
+    sent = realtime.messages(events)
+    assert {r.key for r in sent.collect()} == {"o/r"}
+    bad = spark.createDataFrame([("k", "no json"), ("k", '{"event_type": "PushEvent"}'), ("k", None)], "key string, value string")
+    got = realtime.parse_messages(sent.unionByName(bad))
+    assert sorted(map(str, got.collect())) == sorted(map(str, events.select(*got.columns).collect()))
+
+
+def test_sweep_deletes_old_tables_only(spark, tmp_path, monkeypatch):
+    import os
+
+    from tidemill.sources import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path))
+    assert storage.sweep(spark) == 0
+    old, new = storage.keep(spark.range(3)), storage.keep(spark.range(4))
+    (tmp_path / "other").mkdir()
+    first = [p for p in tmp_path.glob("tidemill-*") if spark.read.parquet(str(p)).count() == 3][0]
+    for p in (first, tmp_path / "other"):
+        os.utime(p, (1, 1))
+    assert storage.sweep(spark) == 1 and not first.exists() and (tmp_path / "other").exists()
+    assert new.count() == 4 and old.columns == ["id"]
+
+
 def test_raw_events_to_tables(spark, tmp_path):
     from tidemill import run
 

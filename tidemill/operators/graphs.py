@@ -1,4 +1,7 @@
-"""Graph tables that are joins and aggregates (G01-G03, G06, G09 edges, G10, G13, G15); ev_graph holds the sparse graph."""
+"""Graph tables that are joins and aggregates (G01-G03, G06, G09 edges, G10, G13, G15); ev_graph holds the sparse graph.
+
+Network tables read ev_net, which has no unknown actors and repositories.
+"""
 
 from __future__ import annotations
 
@@ -28,12 +31,12 @@ def register(c: Catalog, scope: int = 200) -> None:
     c.add("g02_scope_network", "ev_graph", f"SELECT repo_name, actors, events, {r(f'actors * sqrt({dbl("events")})')} AS score FROM (SELECT repo_name, count(DISTINCT actor_login) AS actors, count(*) AS events FROM ev_graph GROUP BY repo_name) a WHERE actors >= 3 ORDER BY score DESC, repo_name LIMIT {scope}")
     c.add("actor_repo", "ev_graph g02_scope_network", "SELECT DISTINCT e.actor_login, e.repo_name FROM ev_graph e JOIN g02_scope_network s ON e.repo_name = s.repo_name", internal=True)
     c.add("repo_jaccard_edge", "repo_pair", f"SELECT a AS src_repo, b AS dst_repo, {r('jaccard')} AS jaccard FROM repo_pair WHERE jaccard >= 0.05", internal=True)
-    c.add("actor_corepo_edge", "ev", """
-WITH k AS (SELECT actor_login FROM ev GROUP BY actor_login ORDER BY count(*) DESC, actor_login LIMIT 3000), d AS (SELECT DISTINCT ev.actor_login, repo_name FROM ev JOIN k ON ev.actor_login = k.actor_login),
+    c.add("actor_corepo_edge", "ev_net", """
+WITH k AS (SELECT actor_login FROM ev_net GROUP BY actor_login ORDER BY count(*) DESC, actor_login LIMIT 3000), d AS (SELECT DISTINCT ev_net.actor_login, repo_name FROM ev_net JOIN k ON ev_net.actor_login = k.actor_login),
 n AS (SELECT d.* FROM d JOIN (SELECT repo_name FROM d GROUP BY repo_name HAVING count(*) BETWEEN 2 AND 300) r ON d.repo_name = r.repo_name)
 SELECT x.actor_login AS actor_a, y.actor_login AS actor_b, count(*) AS shared_repos FROM n x JOIN n y ON x.repo_name = y.repo_name AND x.actor_login < y.actor_login GROUP BY x.actor_login, y.actor_login""", internal=True)
-    c.add("week_repo", "ev", lambda d: f"""
-WITH w AS (SELECT DISTINCT CAST(floor({d.days('(SELECT max(metric_date) FROM ev)', 'metric_date')} / 7) AS BIGINT) AS back, actor_login, repo_name FROM ev), l AS (SELECT * FROM w WHERE back < 4),
+    c.add("week_repo", "ev_net", lambda d: f"""
+WITH w AS (SELECT DISTINCT CAST(floor({d.days('(SELECT max(metric_date) FROM ev_net)', 'metric_date')} / 7) AS BIGINT) AS back, actor_login, repo_name FROM ev_net), l AS (SELECT * FROM w WHERE back < 4),
 k AS (SELECT 3 - back AS week_idx, repo_name, row_number() OVER (PARTITION BY back ORDER BY count(*) DESC, repo_name) AS place FROM l GROUP BY back, repo_name HAVING count(*) >= 2)
 SELECT k.week_idx, l.actor_login, l.repo_name FROM l JOIN k ON 3 - l.back = k.week_idx AND l.repo_name = k.repo_name WHERE place <= 120""", internal=True)
     c.add("week_pair", "week_repo", pairs("week_repo", "week_idx"), internal=True)
@@ -49,10 +52,10 @@ SELECT layer, actor_login, repo_name FROM (SELECT d.*, count(*) OVER (PARTITION
     c.add("layer_pair", "layer_repo", pairs("layer_repo", "layer", 1), internal=True)
     c.add("g09_repo_layer_edge", "layer_pair", f"SELECT layer, a AS src_repo, b AS dst_repo, {r('jaccard')} AS jaccard, shared AS shared_actors FROM layer_pair WHERE jaccard >= 0.05")
     first = lambda key, x: f"SELECT repo_name, {x} FROM (SELECT repo_name, {x}, row_number() OVER (PARTITION BY repo_name ORDER BY count(*) DESC, {x}) AS k FROM {key} GROUP BY repo_name, {x}) q WHERE k = 1"
-    c.add("g10_repo_metapath_sim", "ev", f"""
-WITH d AS (SELECT DISTINCT actor_login, repo_name FROM ev), r0 AS ({pairs('d', least=1)}), j AS (SELECT 'RAR' AS path_type, x.* FROM ({both('r0', 'jaccard AS sim, shared')}) x WHERE sim >= 0.05),
-l AS (SELECT m.*, row_number() OVER (PARTITION BY language_guess ORDER BY repo_name) AS n FROM ({first('ev', 'language_guess')}) m WHERE language_guess <> 'unknown'),
-lk AS (SELECT l.*, count(*) OVER (PARTITION BY language_guess) AS g FROM l WHERE n <= 50), o AS (SELECT m.*, count(*) OVER (PARTITION BY org_or_owner) AS g FROM ({first('ev', 'org_or_owner')}) m),
+    c.add("g10_repo_metapath_sim", "ev_net", f"""
+WITH d AS (SELECT DISTINCT actor_login, repo_name FROM ev_net), r0 AS ({pairs('d', least=1)}), j AS (SELECT 'RAR' AS path_type, x.* FROM ({both('r0', 'jaccard AS sim, shared')}) x WHERE sim >= 0.05),
+l AS (SELECT m.*, row_number() OVER (PARTITION BY language_guess ORDER BY repo_name) AS n FROM ({first('ev_net', 'language_guess')}) m WHERE language_guess <> 'unknown'),
+lk AS (SELECT l.*, count(*) OVER (PARTITION BY language_guess) AS g FROM l WHERE n <= 50), o AS (SELECT m.*, count(*) OVER (PARTITION BY org_or_owner) AS g FROM ({first('ev_net', 'org_or_owner')}) m WHERE org_or_owner <> 'unknown'),
 u AS (SELECT path_type, src, dst, sim, shared FROM j UNION ALL SELECT 'RLR', x.repo_name, y.repo_name, {dbl('1')}, x.g FROM lk x JOIN lk y ON x.language_guess = y.language_guess AND x.repo_name <> y.repo_name
   UNION ALL SELECT 'ROR', x.repo_name, y.repo_name, {dbl('1')}, x.g FROM o x JOIN o y ON x.org_or_owner = y.org_or_owner AND x.repo_name <> y.repo_name),
 k AS (SELECT u.*, {row_no('path_type, src', 'sim DESC, shared DESC, dst')} AS rank_no FROM u)

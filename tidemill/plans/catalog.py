@@ -13,7 +13,7 @@ from tidemill.sources.storage import keep, kept_path
 
 #: From so many computations an input is written once instead; CHEAP ones are projections of a base table.
 MANY = 3
-CHEAP = ("ev",)
+CHEAP = ("ev", "ev_net")
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -66,6 +66,13 @@ class Table:
     internal: bool = False
 
 
+@dataclass(frozen=True)
+class Written:
+    """Tables that are written already, as paths by name. It stands in for a folder of base tables."""
+
+    paths: dict[str, str]
+
+
 class Catalog:
     def __init__(self) -> None:
         self.tables: dict[str, Table] = {}
@@ -93,8 +100,8 @@ class Catalog:
         ctes = ",\n".join(f"{n} AS (\n{self.tables[n].sql(dialect).strip()}\n)" for n in names)
         return f"WITH {ctes}\nSELECT * FROM {name}"
 
-    def bases(self, name: str) -> set[str]:
-        return {r for n in self.order(name) for r in self.tables[n].reads if r in BASE}
+    def bases(self, name: str, known: tuple[str, ...] = ()) -> set[str]:
+        return {r for n in self.order(name, known) for r in self.tables[n].reads if r in BASE}
 
     def uses(self, name: str) -> dict[str, int]:
         """How many times each input would be computed if every reference were written out in place."""
@@ -107,7 +114,7 @@ class Catalog:
                     count[r] += count[n] * len(re.findall(rf"(?:FROM|JOIN|CROSS JOIN)\s+{r}\b", text))
         return count
 
-    def build(self, spark: SparkSession, names: list[str], given: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def write(self, spark: SparkSession, names: list[str], given: dict[str, DataFrame]) -> Written:
         """The named tables over given inputs (by name: tables of this catalog or base tables), in a session of its own.
 
         Every table named, and every input that two tables or more read, is computed once and written to the
@@ -116,10 +123,11 @@ class Catalog:
         session = spark.newSession()
         for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
             session.conf.set(key, spark.conf.get(key))
+        paths = {}
         for n, df in given.items():
-            path = kept_path(spark)
-            df.write.parquet(path)
-            session.read.schema(df.schema).parquet(path).createOrReplaceTempView(n)
+            paths[n] = kept_path(spark)
+            df.write.parquet(paths[n])
+            session.read.schema(df.schema).parquet(paths[n]).createOrReplaceTempView(n)
         known = list(given)
         order: list[str] = []
         for name in names:
@@ -127,14 +135,14 @@ class Catalog:
         readers = Counter(r for n in order for r in set(self.tables[n].reads))
         for n in order:
             if n in names or readers[n] > 1:
-                path = kept_path(spark)
-                session.sql(self.statement(n, SPARK, tuple(known))).write.parquet(path)
-                session.read.parquet(path).createOrReplaceTempView(n)
+                paths[n] = kept_path(spark)
+                session.sql(self.statement(n, SPARK, tuple(known))).write.parquet(paths[n])
+                session.read.parquet(paths[n]).createOrReplaceTempView(n)
                 known.append(n)
-        return {n: session.table(n) for n in names}
+        return Written(paths)
 
-    def frame(self, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-        """The table over the Parquet files of a folder, in a session of its own, so that folders don't mix.
+    def frame(self, spark: SparkSession, sf_dir: str | Written, name: str) -> DataFrame:
+        """The table over the Parquet files of a folder, or over written tables, in a session of its own, so that folders don't mix.
 
         Spark writes CTEs out in place. Inputs that would be computed MANY times or more are written to the
         shared folder once and read from there, each from the ones before it.
@@ -142,10 +150,15 @@ class Catalog:
         session = spark.newSession()
         for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
             session.conf.set(key, spark.conf.get(key))
-        for base in self.bases(name):
+        written = sf_dir.paths if isinstance(sf_dir, Written) else {}
+        if name in written:
+            return session.read.parquet(written[name])
+        known = [n for n in self.order(name) if n in written]
+        for n in known:
+            session.read.parquet(written[n]).createOrReplaceTempView(n)
+        for base in self.bases(name, tuple(known)):
             session.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
-        known: list[str] = []
-        for n in self.order(name)[:-1]:
+        for n in self.order(name, tuple(known))[:-1]:
             if n not in CHEAP and self.uses(name)[n] >= MANY:
                 keep(session.sql(self.statement(n, SPARK, tuple(known)))).createOrReplaceTempView(n)
                 known.append(n)

@@ -1,7 +1,8 @@
 """Command line: raw JSON events to curated Parquet, and curated events to metric tables.
 
     python -m tidemill.run curate RAW... --out DIR
-    python -m tidemill.run tables CURATED --out DIR [--only NAME...] [--json DIR]
+    python -m tidemill.run tables CURATED --out DIR [--only NAME...] [--models] [--json DIR]
+    python -m tidemill.run sweep [--hours N]
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.sources import adapters, curate
+from tidemill.sources import adapters, curate, storage
 
 
 def table_names() -> list[str]:
@@ -25,12 +26,25 @@ def table_names() -> list[str]:
     return [n for n, t in CATALOG.tables.items() if not t.internal and n[0] in "bmgp" and own(n)]
 
 
+def model_names() -> list[str]:
+    """Tables of models and iterative graphs, and the reads over them; streams aren't among them."""
+    from tidemill.plans.registry import PLANS, STREAMED
+
+    return [n for n in PLANS if n not in STREAMED]
+
+
 def tables(spark: SparkSession, curated: DataFrame, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """Metric tables over curated events; what several of them read is computed once."""
-    from tidemill.plans.registry import CATALOG
+    """Tables over curated events, all SQL tables by default; what several SQL tables read is computed once.
+
+    Models and iterative graphs read the SQL tables named with them, and compute others that they need.
+    """
+    from tidemill.plans.registry import CATALOG, PLANS
 
+    names = names or table_names()
     ev = adapters.activity(curated)
-    return CATALOG.build(spark, names or table_names(), {"ev": ev, "ev_graph": ev.select("event_id", "metric_date", "actor_login", "repo_name", "event_type")})
+    graph = ev.where("actor_login <> 'unknown' and repo_name <> 'unknown/unknown'").select("event_id", "metric_date", "actor_login", "repo_name", "event_type")
+    done = CATALOG.write(spark, [n for n in names if n not in PLANS], {"ev": ev, "ev_graph": graph})
+    return {n: PLANS[n](spark, done) if n in PLANS else spark.read.parquet(done.paths[n]) for n in names}
 
 
 def write_tables(found: dict[str, DataFrame], path: str) -> dict[str, int]:
@@ -62,15 +76,21 @@ def main(argv: list[str] | None = None) -> None:
     t = sub.add_parser("tables", help="curated events to metric tables")
     t.add_argument("curated")
     t.add_argument("--only", nargs="*")
+    t.add_argument("--models", action="store_true", help="also tables of models and iterative graphs")
     t.add_argument("--json")
+    s = sub.add_parser("sweep", help="delete intermediate tables of the shared folder")
+    s.add_argument("--hours", type=float, default=48, help="only those this old; more than any running job")
     for x in (c, t):
         x.add_argument("--out", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("tidemill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if a.what == "sweep":
+        print(storage.sweep(spark, a.hours))
+        return
     if a.what == "curate":
         write_report(spark, curate.write_curated(curate.read_raw(spark, a.raw), a.out), f"{a.out.rstrip('/')}-report")
         return
-    found = tables(spark, spark.read.parquet(a.curated), a.only)
+    found = tables(spark, spark.read.parquet(a.curated), a.only or table_names() + (model_names() if a.models else []))
     write_report(spark, write_tables(found, a.out), f"{a.out.rstrip('/')}/_report")
     if a.json:
         write_json(found, a.json)

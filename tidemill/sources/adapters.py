@@ -15,6 +15,7 @@ SELECT CAST(event_id AS BIGINT) AS event_id, ts AS event_ts, CAST(ts AS DATE) AS
   CASE k % 6 WHEN 0 THEN 'Scala' WHEN 1 THEN 'Python' WHEN 2 THEN 'JavaScript' WHEN 3 THEN 'Java' WHEN 4 THEN 'Go' ELSE 'unknown' END AS language_guess,
   CASE WHEN value < 10 THEN 'opened' WHEN value < 30 THEN 'closed' ELSE 'unknown' END AS payload_action, CAST(floor(value) AS BIGINT) AS payload_size
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) b""", internal=True)
+    c.add("ev_net", "ev", "SELECT * FROM ev WHERE actor_login <> 'unknown' AND repo_name <> 'unknown/unknown'", internal=True)
     c.add("ev_graph", "lineitem orders", lambda d: f"""
 SELECT l.l_orderkey AS event_id, CAST(o.o_orderdate AS DATE) AS metric_date, concat('cust', CAST(o.o_custkey AS {d.string})) AS actor_login, concat('part', CAST(l.l_partkey AS {d.string})) AS repo_name,
   CASE concat(l.l_returnflag, l.l_linestatus) WHEN 'AF' THEN 'WatchEvent' WHEN 'AO' THEN 'ForkEvent' WHEN 'RF' THEN 'IssuesEvent' WHEN 'RO' THEN 'PullRequestEvent' ELSE 'PushEvent' END AS event_type

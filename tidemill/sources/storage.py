@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,3 +25,15 @@ def keep(df: DataFrame) -> DataFrame:
     path = kept_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession, hours: float = 48) -> int:
+    """Delete the intermediate tables of the shared folder that were written so many hours ago; returns their number.
+
+    They may be read until the job that wrote them ends, so take more hours than any job runs.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(shared_dir(spark).rstrip("/"), "tidemill-*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = (time.time() - hours * 3600) * 1000
+    return sum(fs.delete(s.getPath(), True) for s in fs.globStatus(pattern) or [] if s.getModificationTime() <= before)

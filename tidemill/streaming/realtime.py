@@ -31,9 +31,30 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 def read_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """The same from JSON messages of a broker."""
-    schema = "event_type string, created_at timestamp, repo_name string, actor_category string"
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e")).select(F.col("e.created_at").alias("ts"), "e.event_type", "e.repo_name", "e.actor_category")
+    return parse_messages(raw)
+
+
+def parse_messages(raw: DataFrame) -> DataFrame:
+    """Events of JSON messages; those that are no JSON or have no readable time go."""
+    schema = "event_type string, created_at timestamp, repo_name string, actor_category string"
+    event = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e")).where("e.created_at is not null")
+    return event.select(F.col("e.created_at").alias("ts"), "e.event_type", "e.repo_name", "e.actor_category")
+
+
+def messages(events: DataFrame) -> DataFrame:
+    """Events as JSON messages; the repository is the key, so that its events share a partition and stay in order."""
+    value = F.to_json(F.struct("event_type", F.col("ts").alias("created_at"), "repo_name", "actor_category"))
+    return events.select(F.col("repo_name").alias("key"), value.alias("value"))
+
+
+def send(events: DataFrame, servers: str, topic: str, state: str, every: str = "2 seconds"):
+    """Write a stream of events to a broker, a micro-batch at each interval; starts and returns the query.
+
+    Over read_events with files_per_trigger this replays stored events at a pace of files an interval.
+    """
+    sink = messages(events).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+    return sink.option("checkpointLocation", state).trigger(processingTime=every).start()
 
 
 def event_metrics(events: DataFrame, window: str, late: str) -> DataFrame:
