@@ -6,11 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemill.llm.clustering import centroid_clustering
 from tidemill.llm.common import shared_dir, table
 from tidemill.llm.decontaminate import decontaminate
+from tidemill.llm.exact_dedup import exact_dedup
 from tidemill.llm.html_text import html_text
 from tidemill.llm.language_id import language_id
 from tidemill.llm.line_dedup import line_dedup
+from tidemill.llm.merkle import FIELDS, merkle_manifest
 from tidemill.llm.ngram_join import ngram_jaccard_join
 from tidemill.llm.packing import best_fit_packing
 from tidemill.llm.quality_rules import BOILERPLATE, MOST_LOST, quality_rules
@@ -62,7 +65,19 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_token_counts, op4_html_text, op5_decontamination, op6_best_fit_packing, op7_warc_derivatives, op8_language_id, op9_url_filter, op10_quality_rules)}
+def op11_exact_dedup(spark, sf_dir):
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark, sf_dir):
+    return centroid_clustering(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_token_counts, op4_html_text, op5_decontamination, op6_best_fit_packing, op7_warc_derivatives, op8_language_id, op9_url_filter, op10_quality_rules, op11_exact_dedup, op12_merkle_manifest, op13_centroid_clustering)}
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS_SQL = rf"list_filter(string_split_regex({LOWER_SQL}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -148,6 +163,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(list_sum(list_transform(gone, lambda x: length(x))), 0) * 100 <= line_chars * {MOST_LOST} AS kept, len(gone)::BIGINT AS n_removed_lines FROM b
 """
 
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, {LOWER_SQL} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d
+"""
+
+
+def _merkle_sql(levels: int = 14, tops: int = 5) -> str:
+    """The manifest's SQL with so many levels written out: sources of up to 3^levels rows, 3^tops sources."""
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = "sha256(concat(" + ", ".join(map(value, FIELDS)) + "))"
+    # CRC-32 bit by bit over the digits: its lowest bit tells which rows are tampered with.
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    for _ in range(7):
+        step = f"list_transform([{step}], lambda c: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)[1]"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: list_transform([xor(a, x)], lambda c: {step})[1]), 4294967295)"
+    ctes = [f"d AS MATERIALIZED (SELECT doc_id, source AS g, {leaf} AS h, CASE WHEN {crc} % 2 = 0 THEN {leaf.replace('text', "replace(text, chr(10), '')")} ELSE {leaf} END AS f FROM documents)"]
+
+    def tree(t: str, top: str, many: int) -> None:
+        ctes.append(f"{t}0 AS MATERIALIZED (SELECT g, row_number() OVER (PARTITION BY g ORDER BY {top}) - 1 AS p, count(*) OVER (PARTITION BY g) AS n, h FROM {'d' if t == 'a' else 's'})")
+        for k in range(many):
+            kids = f"SELECT g, p // 3 AS p, n, list(h ORDER BY p) AS run FROM {t}{k} GROUP BY 1, 2, 3"
+            ctes.append(f"{t}{k + 1} AS MATERIALIZED (SELECT g, p, (n + 2) // 3 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h, CASE WHEN n > 1 THEN run END AS run FROM ({kids}))")
+
+    tree("a", "doc_id NULLS FIRST, h", levels)
+    ctes.append(f"s AS MATERIALIZED (SELECT 0 AS g, g AS source, h FROM a{levels})")
+    tree("b", "source NULLS FIRST", tops)
+    ctes.append("o AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS q FROM s)")
+    ctes.append("w0 AS MATERIALIZED (SELECT d.doc_id, d.g, d.h AS leaf, d.f, o.q, row_number() OVER (PARTITION BY d.g ORDER BY d.doc_id NULLS FIRST, d.h) - 1 AS p, '' AS proof FROM d JOIN o ON d.g IS NOT DISTINCT FROM o.source)")
+    for k, t in enumerate([*[f"a{i + 1}" for i in range(levels)], *[f"b{i + 1}" for i in range(tops)]]):
+        sides = "array_to_string(list_filter(run, lambda x, i: i < w.p % 3 + 1), '') AS l, array_to_string(list_filter(run, lambda x, i: i > w.p % 3 + 1), '') AS r"
+        step = f"SELECT w.*, x.run, {sides} FROM w{k} w JOIN {t} x ON {'x.g IS NOT DISTINCT FROM w.g' if t[0] == 'a' else 'x.g = 0'} AND x.p = w.p // 3"
+        place = "q" if k == levels - 1 else "p // 3"  # a source's place among the sources
+        ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT doc_id, g, leaf, q, {place} AS p, CASE WHEN run IS NULL THEN proof ELSE proof || l || r END AS proof, CASE WHEN run IS NULL THEN f ELSE sha256(l || f || r) END AS f FROM ({step}))")
+    last = levels + tops
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM w{last} w JOIN s ON s.source IS NOT DISTINCT FROM w.g CROSS JOIN b{tops} r"
+
+
+def _cluster_sql(rounds: int = 10) -> str:
+    """The clustering's SQL with its rounds written out."""
+    ctes = ["e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"]
+    ctes.append("c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR), v) - 1 AS k, v FROM e ORDER BY k LIMIT 8)")
+    nearest = "SELECT vec_id, v, min({d: list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), k: k}) AS b FROM (SELECT e.vec_id, e.v, c.v AS w, c.k FROM e CROSS JOIN c%d c) GROUP BY 1, 2"
+    for i in range(rounds):
+        sums = f"SELECT b.k AS k, i, floor_div(sum(x), count(*)) AS x FROM (SELECT b, unnest(v) AS x, unnest(range(64)) AS i FROM ({nearest % i})) GROUP BY 1, 2"
+        sums = sums.replace("floor_div(sum(x), count(*))", "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)")
+        ctes.append(f"n{i} AS MATERIALIZED (SELECT k, list(x::BIGINT ORDER BY i) AS v FROM ({sums}) GROUP BY 1)")
+        ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT k, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN n{i} n USING (k))")
+    ctes.append(f"a AS MATERIALIZED ({nearest % rounds})")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, b.k::INTEGER AS cluster, b.d::BIGINT AS distance, (sum(b.d) OVER (PARTITION BY b.k))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a JOIN c{rounds} c ON c.k = a.b.k"
+
+
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
     "op2_ngram_jaccard_join": OP2_SQL,
@@ -155,4 +221,7 @@ ORACLES = {
     "op5_decontamination": OP5_SQL,
     "op9_url_filter": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_exact_dedup": OP11_SQL,
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_centroid_clustering": _cluster_sql(),
 }
