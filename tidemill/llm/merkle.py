@@ -128,7 +128,8 @@ def merkle_manifest(docs: DataFrame, fanout: int = 3, height: int = HEIGHT) -> D
         leaf_of(columns).alias("h"),
         F.when(tampered, leaf_of(columns | {"text": F.translate("text", "\n", "")})).alias("now"),
     )
-    levels = tree.climb(stash(numbered(rows, "group", ["doc_id", "h"])))
+    # Stashed first, as dealing by range reads its input twice.
+    levels = tree.climb(stash(numbered(stash(rows), "group", ["doc_id", "h"])))
     subroots = levels[-1].select(F.col("group").alias("of"), F.lit("").alias("group"), F.col("h"))
     tops = tree.climb(stash(numbered(subroots, "group", ["of"])))
     root = tops[-1].first()
