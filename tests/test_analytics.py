@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import iterative
+from tidemill.operators import community, iterative
 from tidemill.plans import registry
 from tidemill.plans.catalog import BASE, DUCK
 from tidemill.sources import curate
@@ -53,7 +53,7 @@ def edges(spark, pairs):
 
 def test_label_propagation_two_triangles(spark):
     e = edges(spark, [("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("d", "e", 1), ("e", "f", 1), ("d", "f", 1), ("c", "d", 0.1)])
-    got = {r.node: r.community_id for r in iterative.label_propagation(e).collect()}
+    got = {r.node: r.community_id for r in community.label_propagation(e).collect()}
     assert got["a"] == got["b"] == got["c"] != got["d"] == got["e"] == got["f"]
 
 

@@ -1,4 +1,4 @@
-"""Iterative graph operators: label propagation (G04, G09), coreness (G08) and PageRank.
+"""Iterative graph operators: coreness (G08), PageRank and betweenness (G07), and what follows from communities.
 
 Every round is a DataFrame plan written to the shared folder, so lineage stays short and lost executors cost
 one round. Edges are (src, dst, w) in both directions.
@@ -21,22 +21,6 @@ def both_ways(edges: DataFrame, a: str, b: str, w: str) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, community_id): each round a node takes the label of the largest summed weight among its
-    neighbours, the smallest label on ties (sums are rounded to 9 digits); stops when nothing changes."""
-    edges = keep(edges)
-    labels = keep(edges.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(rounds):
-        votes = edges.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.round(F.sum("w"), 9).alias("w"))
-        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best"))
-        new = keep(best.select(F.col("src").alias("node"), F.col("best.label").alias("label")))
-        same = new.join(labels.select("node", F.col("label").alias("old")), "node").where("label <> old").isEmpty()
-        labels = new
-        if same:
-            break
-    return labels.withColumnRenamed("label", "community_id")
-
-
 def coreness(edges: DataFrame) -> DataFrame:
     """(node, coreness, degree): the h-index of neighbours' values, from the degree, until it is stable."""
     edges = keep(edges.select("src", "dst"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Callable
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import bootstrap, daily, ecosystem, features, graphs, influence, iterative, people, ranking, realtime_sql
+from tidemill.operators import bootstrap, community, daily, ecosystem, features, graphs, influence, iterative, people, ranking, realtime_sql
 from tidemill.plans import model_reads, serving, views
-from tidemill.plans.catalog import DUCK, Catalog
+from tidemill.plans.catalog import DUCK, Catalog, Written
 from tidemill.sources import adapters
-from tidemill.sources.storage import keep
+from tidemill.sources.storage import exists, keep, kept_path
 from tidemill.streaming import realtime
 
 CATALOG = Catalog()
@@ -23,6 +24,25 @@ def _frame(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return CATALOG.frame(spark, sf_dir, name)
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(plan: Callable) -> Callable:
+    """A plan whose table is written once for each input in an application; all reads over it read that table."""
+
+    @wraps(plan)
+    def read(spark, sf_dir):
+        where = tuple(sorted(sf_dir.paths.items())) if isinstance(sf_dir, Written) else sf_dir
+        key = (spark.sparkContext.applicationId, plan.__name__, where)
+        if key not in _STORED or not exists(spark, _STORED[key]):
+            path = kept_path(spark)
+            plan(spark, sf_dir).write.parquet(path)
+            _STORED[key] = path
+        return spark.read.parquet(_STORED[key])
+
+    return read
+
+
 def _similar(spark, sf_dir):
     return iterative.both_ways(_frame("g03_repo_similarity_edges", spark, sf_dir), "src_repo", "dst_repo", "jaccard")
 
@@ -31,9 +51,10 @@ def _collab(spark, sf_dir):
     return iterative.both_ways(_frame("g06_actor_collab_edge", spark, sf_dir), "actor_a", "actor_b", "weight")
 
 
+@stored
 def g04_repo_community(spark, sf_dir):
     """Communities of the scope's repositories, those without similar ones included."""
-    labels = iterative.label_propagation(_similar(spark, sf_dir))
+    labels = community.label_propagation(_similar(spark, sf_dir))
     nodes = _frame("g02_scope_network", spark, sf_dir).select(F.col("repo_name").alias("node"))
     return iterative.communities(labels, nodes).withColumnRenamed("node", "repo_name")
 
@@ -49,11 +70,12 @@ def g05_repo_community_profile(spark, sf_dir):
     return iterative.community_profile(labels, events.join(F.broadcast(labels.select("repo_name")), "repo_name"), kinds=kinds)  # at most the scope's names
 
 
+@stored
 def g09_repo_layer_community(spark, sf_dir):
     """Label propagation of all layers in one run: a node is a repository within a layer."""
     at = _frame("g09_repo_layer_edge", spark, sf_dir)
     edges = at.select(*[F.concat_ws("|", "layer", x).alias(x) for x in ("src_repo", "dst_repo")], "jaccard")
-    labels = iterative.label_propagation(iterative.both_ways(edges, "src_repo", "dst_repo", "jaccard"), rounds=10)
+    labels = community.label_propagation(iterative.both_ways(edges, "src_repo", "dst_repo", "jaccard"), rounds=10)
     part = lambda c, i: F.split_part(F.col(c), F.lit("|"), F.lit(i))
     return labels.select(part("node", 1).alias("layer"), part("node", 2).alias("repo_name"), part("community_id", 2).alias("community_id"))
 
@@ -72,12 +94,14 @@ def g07_actor_pagerank(spark, sf_dir):
     return iterative.pagerank(_collab(spark, sf_dir)).withColumnRenamed("node", "actor_login")
 
 
+@stored
 def g07_actor_graph_metrics(spark, sf_dir):
-    """PageRank, betweenness, weighted degree and, in place of Louvain's, communities by label propagation."""
+    """PageRank, betweenness, weighted degree and Louvain communities."""
     edges = keep(_collab(spark, sf_dir))
-    return iterative.pagerank(edges).join(iterative.betweenness(edges), "node").join(iterative.label_propagation(edges), "node").withColumnRenamed("node", "actor_login")
+    return iterative.pagerank(edges).join(iterative.betweenness(edges), "node").join(community.louvain(edges), "node").withColumnRenamed("node", "actor_login")
 
 
+@stored
 def g08_actor_coreness(spark, sf_dir):
     edges = iterative.both_ways(_frame("actor_corepo_edge", spark, sf_dir), "actor_a", "actor_b", "shared_repos")
     known = _frame("m07_actor_features", spark, sf_dir).select("actor_login", "is_bot")
@@ -89,15 +113,17 @@ def g08_repo_coreness(spark, sf_dir):
     return iterative.cohorts(iterative.coreness(edges)).withColumnRenamed("node", "repo_name")
 
 
+@stored
 def g11_repo_community_weekly(spark, sf_dir):
     """Communities of each of the last four weeks in one run: a node is a repository within a week."""
     at = _frame("week_pair", spark, sf_dir).where("jaccard >= 0.05").select(*[F.concat_ws("|", "week_idx", x).alias(x) for x in ("a", "b")], F.round("jaccard", 6).alias("jaccard"))
-    labels = iterative.label_propagation(iterative.both_ways(at, "a", "b", "jaccard"))
+    labels = community.label_propagation(iterative.both_ways(at, "a", "b", "jaccard"))
     nodes = _frame("week_repo", spark, sf_dir).select(F.concat_ws("|", "week_idx", "repo_name").alias("node")).distinct()
     part = lambda c, i: F.split_part(F.col(c), F.lit("|"), F.lit(i))
     return iterative.communities(labels, nodes).select(part("node", 1).cast("int").alias("week_idx"), part("node", 2).alias("repo_name"), part("community_id", 2).alias("community_id"), "community_size")
 
 
+@stored
 def g12_community_lineage(spark, sf_dir):
     return iterative.lineage(g11_repo_community_weekly(spark, sf_dir))
 
@@ -110,10 +136,12 @@ def _cascades(spark, sf_dir, most: int = 1500):
     return influence.influence(both, iterative.pagerank(both).join(iterative.coreness(both).select("node", "coreness"), "node"))
 
 
+@stored
 def g14_actor_ic_reach(spark, sf_dir):
     return _cascades(spark, sf_dir)[0]
 
 
+@stored
 def g14_seed_greedy(spark, sf_dir):
     return _cascades(spark, sf_dir)[1]
 
@@ -147,12 +175,14 @@ def v22_community_flows(spark, sf_dir):
     return at.join(later, ["week_idx", "repo_name"]).groupBy("week_idx", F.col("community_id").alias("from_community"), "to_community").agg(F.count("*").alias("repos"))
 
 
+@stored
 def m01_repo_clusters(spark, sf_dir):
     from tidemill.operators import ml
 
     return ml.repo_clusters(_frame("b23_repo_health_latest", spark, sf_dir))
 
 
+@stored
 def m08_actor_persona(spark, sf_dir):
     from tidemill.operators import ml
 
@@ -165,18 +195,21 @@ def m02_repo_cluster_profile(spark, sf_dir):
     return ml.cluster_profile(m01_repo_clusters(spark, sf_dir), _frame("rank_all", spark, sf_dir).drop("metric_date"))
 
 
+@stored
 def m09_actor_persona_bic(spark, sf_dir):
     from tidemill.operators import ml
 
     return ml.persona_bic(_frame("m07_actor_features", spark, sf_dir))
 
 
+@stored
 def m10_actor_persona_centroid(spark, sf_dir):
     from tidemill.operators import ml
 
     return ml.persona_centroids(_frame("m07_actor_features", spark, sf_dir))
 
 
+@stored
 def m12_actor_persona_transition(spark, sf_dir):
     from tidemill.operators import ml
 
@@ -187,36 +220,42 @@ def _actors(spark, sf_dir):
     return keep(_frame("m07_actor_features", spark, sf_dir)), m08_actor_persona(spark, sf_dir)
 
 
+@stored
 def m16_actor_bot_supervised(spark, sf_dir):
     from tidemill.operators import ml
 
     return ml.bot_scores(*_actors(spark, sf_dir))
 
 
+@stored
 def m16_bot_feature_importance(spark, sf_dir):
     from tidemill.operators import ml
 
     return ml.bot_importance(*_actors(spark, sf_dir))
 
 
+@stored
 def m16_bot_classifier_meta(spark, sf_dir):
     from tidemill.operators import ml
 
     return ml.bot_measures(*_actors(spark, sf_dir))
 
 
+@stored
 def m15_repo_association_rules(spark, sf_dir):
     from tidemill.operators import ml
 
     return ml.association_rules(_frame("actor_repo", spark, sf_dir))
 
 
+@stored
 def m17_actor_churn_risk(spark, sf_dir):
     from tidemill.operators import ml
 
     return ml.churn_risk(_frame("m17_churn_features", spark, sf_dir))
 
 
+@stored
 def m18_repo_als_neighbor(spark, sf_dir):
     from tidemill.operators import ml
 
@@ -228,12 +267,14 @@ def _scope_counts(spark, sf_dir):
     return _frame("ev_graph", spark, sf_dir).join(F.broadcast(scope), "repo_name").groupBy("actor_login", "repo_name").agg(F.count("*").alias("n"))
 
 
+@stored
 def m18_repo_embedding(spark, sf_dir):
     from tidemill.operators import ml
 
     return ml.als_neighbours(_scope_counts(spark, sf_dir))[0]
 
 
+@stored
 def m19_repo_archetype(spark, sf_dir):
     """Archetypes of the scope's repositories by rule and by mixture."""
     from tidemill.operators import ml

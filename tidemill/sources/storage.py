@@ -27,6 +27,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def sweep(spark: SparkSession, hours: float = 48) -> int:
     """Delete the intermediate tables of the shared folder that were written so many hours ago; returns their number.
 
