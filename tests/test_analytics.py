@@ -151,6 +151,25 @@ def test_alerts_by_hand(spark):
     assert [(r.repo_name, r.current_events, r.baseline_events, r.anomaly_ratio, r.alert_level) for r in got] == [("o/hot", 7, 2.5, 2.8, "medium")]
 
 
+def test_dashboard_reads_by_hand(spark):
+    """Sums by window over types, cohort means at the latest day, ratios to two digits, rings of three."""
+    from tidemill import run
+
+    minute = [(1, 1, "a", "o/hot", "PushEvent")] * 7 + [(1, 1, "b", f"o/r{i}", "WatchEvent") for i in range(3)] + [(2, 1, "b", "o/r1", "ForkEvent")]
+    ring = [(3, 5, x, "o/p", "WatchEvent") for x in "uvw"] + [(4, 6, x, "o/q", "WatchEvent") for x in "uvwx"] + [(5, 7, x, "o/z", "WatchEvent") for x in "uv"]
+    ev = activity(spark, minute + ring)
+    ev = ev.withColumn("event_timestamp", F.date_trunc("hour", "event_timestamp"))
+    got = run.tables(spark, ev, ["q_event_trend", "q_alerts_day", "q_repo_dna_cohort_stats", "m04_repo_dna", "g13_actor_ring", "p04_repo_bus_factor"])
+    assert [(r.window_start.day, r.total_events) for r in got["q_event_trend"].collect()] == [(1, 10), (2, 1), (3, 3), (4, 4), (5, 2)]
+    assert [(r.repo_name, r.anomaly_ratio, r.alert_level) for r in got["q_alerts_day"].collect()] == [("o/hot", 2.8, "medium")]
+    dna = got["m04_repo_dna"].collect()
+    for r in got["q_repo_dna_cohort_stats"].collect():
+        own = [x for x in dna if x.cohort_group == r.cohort_group]
+        assert r.repos == len(own) and abs(r.fork_share - sum(x.fork_share for x in own) / len(own)) < 1e-6 and abs(r.avg_events - sum(x.total_events for x in own) / len(own)) < 1e-6
+    assert [(r.members, r.actor_count, r.repos_shared, r.co_bursts) for r in got["g13_actor_ring"].collect()] == [("u,v,w", 3, 2, 1)]
+    assert {r.repo_name for r in got["p04_repo_bus_factor"].collect()} == {"o/p", "o/q"}
+
+
 def test_graphs_of_curated_events(spark):
     """Five actors share a repository, so they are a clique; unknown ones join the plain counts but no network."""
     from tidemill import run

@@ -26,6 +26,10 @@ def both(source: str, keep: str) -> str:
     return f"SELECT a AS src, b AS dst, {keep} FROM {source} UNION ALL SELECT b AS src, a AS dst, {keep} FROM {source}"
 
 
+#: Actors of a ring, at least.
+RING = 3
+
+
 def register(c: Catalog, scope: int = 200) -> None:
     c.add("g01_scope_ranked", "ev rank_all", f"SELECT a.repo_name, actors, k.rank_score FROM (SELECT repo_name, count(DISTINCT actor_login) AS actors FROM ev GROUP BY repo_name) a LEFT JOIN rank_all k ON a.repo_name = k.repo_name WHERE actors >= 3 ORDER BY k.rank_score DESC NULLS LAST, actors DESC, a.repo_name LIMIT {scope}")
     c.add("g02_scope_network", "ev_graph", f"SELECT repo_name, actors, events, {r(f'actors * sqrt({dbl("events")})')} AS score FROM (SELECT repo_name, count(DISTINCT actor_login) AS actors, count(*) AS events FROM ev_graph GROUP BY repo_name) a WHERE actors >= 3 ORDER BY score DESC, repo_name LIMIT {scope}")
@@ -62,8 +66,8 @@ k AS (SELECT u.*, {row_no('path_type, src', 'sim DESC, shared DESC, dst')} AS ra
 SELECT path_type, src AS src_repo, dst AS dst_repo, {r('sim')} AS sim, shared AS shared_actors, rank_no FROM k WHERE rank_no <= 5""")
     c.add("g13_actor_ring", "ev", lambda d: f"""
 WITH w AS (SELECT DISTINCT metric_date, hour_of_day, repo_name, actor_login FROM ev WHERE event_type = 'WatchEvent'),
-h AS (SELECT w.* FROM w JOIN (SELECT metric_date, hour_of_day, repo_name FROM w GROUP BY metric_date, hour_of_day, repo_name HAVING count(*) >= 2) g ON w.metric_date = g.metric_date AND w.hour_of_day = g.hour_of_day AND w.repo_name = g.repo_name),
+h AS (SELECT w.* FROM w JOIN (SELECT metric_date, hour_of_day, repo_name FROM w GROUP BY metric_date, hour_of_day, repo_name HAVING count(*) >= {RING}) g ON w.metric_date = g.metric_date AND w.hour_of_day = g.hour_of_day AND w.repo_name = g.repo_name),
 p AS (SELECT x.metric_date AS d1, x.hour_of_day AS h1, x.repo_name AS r1, y.metric_date AS d2, y.hour_of_day AS h2, y.repo_name AS r2, {d.join_sorted('x.actor_login', ',')} AS members, count(*) AS n
-  FROM h x JOIN h y ON x.actor_login = y.actor_login AND x.repo_name < y.repo_name GROUP BY x.metric_date, x.hour_of_day, x.repo_name, y.metric_date, y.hour_of_day, y.repo_name HAVING count(*) >= 2),
+  FROM h x JOIN h y ON x.actor_login = y.actor_login AND x.repo_name < y.repo_name GROUP BY x.metric_date, x.hour_of_day, x.repo_name, y.metric_date, y.hour_of_day, y.repo_name HAVING count(*) >= {RING}),
 u AS (SELECT members, n, r1 AS repo_name FROM p UNION SELECT members, n, r2 FROM p), k AS (SELECT members, count(*) AS bursts FROM p GROUP BY members)
 SELECT u.members, max(u.n) AS actor_count, count(DISTINCT repo_name) AS repos_shared, max(bursts) AS co_bursts FROM u JOIN k ON u.members = k.members GROUP BY u.members HAVING count(DISTINCT repo_name) >= 2 ORDER BY actor_count DESC, repos_shared DESC, co_bursts DESC, u.members LIMIT 50""")

@@ -308,7 +308,7 @@ def m20_attribution_interval(spark, sf_dir):
 
 WINDOW, LATE = "1 minute", "5 seconds"
 #: Streams and the batch SQL that says what they hold in the end.
-STREAMED = {"s01_realtime_event_metrics": "rt_event_metrics", "s02_realtime_repo_scores": "rt_repo_scores", "s03_realtime_anomaly_alerts": "rt_anomaly_alerts"}
+STREAMED = {"s01_realtime_event_metrics": "rt_event_metrics", "s02_realtime_repo_scores": "rt_repo_scores", "s03_realtime_anomaly_alerts": "rt_anomaly_alerts", "s03_realtime_anomaly_alerts_day": "rt_anomaly_alerts_day"}
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -329,7 +329,12 @@ def s03_realtime_anomaly_alerts(spark, sf_dir):
     return _plain(realtime.all_alerts(spark, f"{sf_dir}/events.parquet", WINDOW, LATE))
 
 
-PLANS = {f.__name__: f for f in (g04_repo_community, g05_repo_community_profile, g09_repo_layer_community, g15_bridge_score, g15_modularity, g07_actor_pagerank, g07_actor_graph_metrics, g08_actor_coreness, g08_repo_coreness, g11_repo_community_weekly, g12_community_lineage, g14_actor_ic_reach, g14_seed_greedy, v17_coreness_summary, v19_lineage_counts, v20_influence_lift, v22_community_flows, m01_repo_clusters, m02_repo_cluster_profile, m08_actor_persona, m09_actor_persona_bic, m10_actor_persona_centroid, m12_actor_persona_transition, m16_actor_bot_supervised, m16_bot_feature_importance, m16_bot_classifier_meta, m18_repo_embedding, m19_repo_archetype, m19_repo_archetype_centroid, m05_attribution_interval, m20_attribution_interval, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts)}
+def s03_realtime_anomaly_alerts_day(spark, sf_dir):
+    """The same by day, where sparse events give alerts too."""
+    return _plain(realtime.all_alerts(spark, f"{sf_dir}/events.parquet", "1 day", LATE))
+
+
+PLANS = {f.__name__: f for f in (g04_repo_community, g05_repo_community_profile, g09_repo_layer_community, g15_bridge_score, g15_modularity, g07_actor_pagerank, g07_actor_graph_metrics, g08_actor_coreness, g08_repo_coreness, g11_repo_community_weekly, g12_community_lineage, g14_actor_ic_reach, g14_seed_greedy, v17_coreness_summary, v19_lineage_counts, v20_influence_lift, v22_community_flows, m01_repo_clusters, m02_repo_cluster_profile, m08_actor_persona, m09_actor_persona_bic, m10_actor_persona_centroid, m12_actor_persona_transition, m16_actor_bot_supervised, m16_bot_feature_importance, m16_bot_classifier_meta, m18_repo_embedding, m19_repo_archetype, m19_repo_archetype_centroid, m05_attribution_interval, m20_attribution_interval, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts, s03_realtime_anomaly_alerts_day)}
 PLANS |= model_reads.queries(dict(PLANS), lambda name, spark, sf_dir: _frame(name, spark, sf_dir))
 
 

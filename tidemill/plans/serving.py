@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.functions.exprs import big
+from tidemill.functions.exprs import big, dbl
 from tidemill.operators.features import FEATURES
 from tidemill.operators.realtime_sql import REALTIME
 from tidemill.plans.catalog import Catalog
@@ -45,8 +45,6 @@ WHOLE = [
     ("repo_archetype", "m19_repo_archetype_rule", "archetype, events_per_day DESC, repo_name", 400),
     ("dynamic_attribution_30d", "m20_dynamic_attribution", "abs(cohen_d) DESC, feature_name", 15),
     ("authenticity_inputs", "m21_authenticity", "composite DESC, repo_name", 150),
-    ("event_trend", "rt_event_metrics", "window_start, event_type, repo_name, actor_category", 240),
-    ("alerts", "rt_anomaly_alerts", "window_start DESC, anomaly_ratio DESC, repo_name", 12),
 ]
 #: (query, table, column of the repository, order, limit): rows of one repository, at the table's latest day if it has one.
 BY_REPO = [
@@ -97,7 +95,7 @@ SUMS = [
     ("event_type_breakdown", "b04_event_type_day", "metric_date, event_type", "CAST(sum(event_count) AS BIGINT) AS total_events", 30, "metric_date, total_events DESC, event_type", 64),
     ("user_segments", "b15_user_segment_latest", "segment", "count(DISTINCT actor_login) AS users, CAST(sum(event_count) AS BIGINT) AS events", 1, "users DESC, segment", 10),
     ("payload_buckets_latest", "b09_payload_bucket_day", "size_bucket", "CAST(sum(event_count) AS BIGINT) AS event_count", 1, "size_bucket", 10),
-    ("repo_dna_cohort_stats", "m04_repo_dna", "cohort_group", "round(avg(watch_share), 6) AS watch_share, round(avg(push_share), 6) AS push_share, round(avg(bot_ratio), 6) AS bot_ratio, count(*) AS repos", None, "cohort_group", 10),
+    ("event_trend", "rt_event_metrics", "window_start", "CAST(sum(event_count) AS BIGINT) AS total_events", None, "window_start", 240),
 ]
 
 
@@ -112,6 +110,11 @@ def register(c: Catalog) -> None:
         c.add(f"q_{name}", table, f"SELECT * FROM {table} ORDER BY {order} LIMIT {limit}")
     for name, table, column, order, limit in BY_REPO:
         c.add(f"q_{name}", table, by_repo(table, column, order, limit))
+    stats = ("watch_share", "fork_share", "issues_share", "pr_share", "push_share", "bot_ratio", "night_ratio", "top1_actor_share", "event_entropy")
+    c.add("q_repo_dna_cohort_stats", "m04_repo_dna", f"SELECT cohort_group, count(*) AS repos, round(avg(total_events), 6) AS avg_events, {', '.join(f'round(avg({x}), 6) AS {x}' for x in stats)} FROM m04_repo_dna WHERE metric_date = (SELECT max(metric_date) FROM m04_repo_dna) GROUP BY cohort_group")
+    hundred, half = dbl("100"), dbl("0.5")  # engines round doubles differently
+    for name, table in (("alerts", "rt_anomaly_alerts"), ("alerts_day", "rt_anomaly_alerts_day")):
+        c.add(f"q_{name}", table, f"SELECT window_start, repo_name, current_events, baseline_events, floor(anomaly_ratio * {hundred} + {half}) / {hundred} AS anomaly_ratio, alert_level FROM {table} ORDER BY window_start DESC, {table}.anomaly_ratio DESC, repo_name LIMIT 12")
     c.add("q_hot_repos", "rt_repo_scores", f"SELECT repo_name, max(hotness_score) AS hotness_score, {', '.join(f'{big(f"sum({x})")} AS {x}' for x in REALTIME.values())} FROM rt_repo_scores GROUP BY repo_name ORDER BY hotness_score DESC, repo_name LIMIT 10")
     c.add("q_summary_metrics", "b01_daily_metrics rt_event_metrics rt_repo_scores rt_anomaly_alerts", "SELECT (SELECT count(*) FROM b01_daily_metrics) AS daily_rows, (SELECT count(*) FROM rt_event_metrics) AS realtime_rows, (SELECT count(DISTINCT repo_name) FROM rt_repo_scores) AS repos, (SELECT count(*) FROM rt_anomaly_alerts) AS alerts")
     forecast = "(SELECT repo_name FROM b18_repo_trend_forecast GROUP BY repo_name ORDER BY count(*) DESC, max(metric_date) DESC, repo_name LIMIT 1)"
