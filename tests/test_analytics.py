@@ -292,10 +292,52 @@ def test_influence_on_a_star(spark):
     found = inf.reached(e, ids, 8, samples=400)
     mean = found.where("node = 0").agg(F.avg(F.bit_count(F.conv(F.hex("bits"), 16, 10).cast("long")))).first()[0]
     assert abs(mean - 2) < 0.25  # itself, and each of five neighbours with probability 0.2
-    (first, gain), *_ = inf.greedy(found, list(range(8)), 400, 2)
+    ((first, gain), *_), _ = inf.greedy(found, list(range(8)), 400, 2)
     assert first == 0 and abs(gain - mean) < 1e-6
 
 
+def plain_greedy(rows, samples, most):
+    """Every gain anew for every seed."""
+    reach, covered, out = {}, {}, []
+    for r in rows:
+        reach.setdefault(r.node, {})[r.sample] = int.from_bytes(bytes(r.bits), "big")
+    for _ in range(most):
+        gains = {n: sum((x & ~covered.get(s, 0)).bit_count() for s, x in own.items()) for n, own in reach.items() if n not in [m for m, _ in out]}
+        best = min(gains, key=lambda n: (-gains[n], n))
+        out.append((best, gains[best] / samples))
+        for s, x in reach[best].items():
+            covered[s] = covered.get(s, 0) | x
+    return out
+
+
+def test_queue_of_bounds_equals_plain_greedy(spark):
+    import random
+
+    from tidemill.operators import influence as inf
+
+    r = random.Random(1)
+    e = edges(spark, [(f"n{a:02}", f"n{b:02}", r.randint(1, 30)) for a in range(60) for b in range(a) if r.random() < 0.05])
+    names = sorted(x.src for x in e.select("src").distinct().collect())
+    found = inf.reached(e, spark.createDataFrame([(x, i) for i, x in enumerate(names)], "node string, id int"), len(names), samples=40)
+    got, evaluated = inf.greedy(found, list(range(len(names))), 40, 8, batch=4)
+    assert got == plain_greedy(found.collect(), 40, 8)
+    assert evaluated < 3 * len(names) < 8 * len(names)
+
+
+def test_reverse_sets_find_the_hubs(spark):
+    """Two stars of 30 and 10 leaves, links that live with 0.2: the hubs are the seeds, and the estimate is near."""
+    from tidemill.operators import influence as inf
+
+    e = edges(spark, [("hub", f"n{i:02}", 10_000) for i in range(30)] + [("mid", f"m{i}", 10_000) for i in range(10)])
+    first, second, *_ = inf.seeds_of_any_graph(e, sets=4000, most=3).collect()
+    assert (first.actor_login, second.actor_login) == ("hub", "mid")
+    assert abs(first.marginal_gain - 7) < 0.7 and abs(second.cumulative_reach - 10) < 1
+    sets = inf.reverse_sets(e, 300)
+    assert sets.groupBy("set", "node").count().where("count > 1").isEmpty() and sets.select("set").distinct().count() == 300
+    assert sorted(map(str, sets.collect())) == sorted(map(str, inf.reverse_sets(e.repartition(3), 300).collect()))
+    assert inf.seeds_of_any_graph(e.limit(0)).isEmpty()
+
+
 def test_persona_names():
     from tidemill.operators import ml
 

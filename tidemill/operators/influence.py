@@ -1,15 +1,19 @@
 """Influence by independent cascades over live-edge samples (G14): greedy seeds and what other orders reach.
 
 An edge carries influence with probability min(p_max, 1 - (1 - p0)^weight), each direction on its own. Which edges
-live in a sample follows from a hash, so runs agree. The graph is bounded (by the number of actors taken), the
-samples are groups of rows; a set of nodes is a string of bits.
+live in a sample follows from a hash, so runs agree.
+
+Two ways to seeds: over a bounded graph, what each node reaches in each sample (a string of bits) and greedy choice with
+a queue of bounds; over a graph of any size, reverse-reachable sets, of which the seeds are to hit as many as they can.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.sources.storage import keep
@@ -47,26 +51,100 @@ def reached(edges: DataFrame, ids: DataFrame, n: int, samples: int = 200, seed:
     return keep(live.unionByName(every.select("sample", F.col("a").cast("int"), F.col("b").cast("int"))).groupBy("sample").applyInPandas(spread, "sample int, node int, bits binary"))
 
 
-def greedy(reach: DataFrame, candidates: list[int], samples: int, most: int = 20) -> list[tuple[int, float]]:
-    """(node, mean gain) of each seed in turn; the lower number wins ties. What is covered goes from round to round."""
+def greedy(reach: DataFrame, candidates: list[int], samples: int, most: int = 20, batch: int = 32) -> tuple[list[tuple[int, float]], int]:
+    """(node, mean gain) of each seed in turn, the lower number first on ties; and how many gains were worked out.
+
+    What a node adds only falls as seeds are taken, so its last known gain bounds it. A queue holds these bounds; the
+    nodes of the highest ones are evaluated anew, `batch` at a time in one job, until the first of the queue is known
+    for the seeds taken so far. What is covered goes from round to round.
+    """
     spark, found, covered = reach.sparkSession, [], {}
-    allowed = spark.createDataFrame([(c,) for c in candidates], "node int")
-    rows = reach.join(F.broadcast(allowed), "node")
-    for _ in range(min(most, len(candidates))):
+
+    def gains(nodes: list[int] | None) -> list[tuple[int, int]]:
         held = spark.sparkContext.broadcast(covered)
 
-        def gains(batches, held=held):
+        def new(batches):
             for p in batches:
-                new = [int.from_bytes(b, "big") & ~held.value.get(s, 0) for s, b in zip(p["sample"], p["bits"], strict=True)]
-                yield p[["node"]].assign(gain=[x.bit_count() for x in new])
-
-        best = rows.mapInPandas(gains, "node int, gain long").groupBy("node").agg(F.sum("gain").alias("gain"))
-        taken = [s for s, _ in found]
-        top = best.where(~F.col("node").isin(taken) if taken else F.lit(True)).orderBy(F.desc("gain"), "node").first()
-        found.append((top.node, top.gain / samples))
-        for r in reach.where(F.col("node") == top.node).collect():  # one row a sample
+                more = [int.from_bytes(b, "big") & ~held.value.get(s, 0) for s, b in zip(p["sample"], p["bits"], strict=True)]
+                yield p[["node"]].assign(gain=[x.bit_count() for x in more])
+
+        rows = reach if nodes is None else reach.where(F.col("node").isin(nodes))
+        return [(r.node, r.gain) for r in rows.mapInPandas(new, "node int, gain long").groupBy("node").agg(F.sum("gain").alias("gain")).collect()]
+
+    allowed = set(candidates)
+    queue = [(-g, n, 0) for n, g in gains(None) if n in allowed]
+    heapq.heapify(queue)
+    evaluated = len(queue)
+    while queue and len(found) < most:
+        stale = []
+        while queue and queue[0][2] != len(found) and len(stale) < batch:
+            stale.append(heapq.heappop(queue)[1])
+        if stale:
+            evaluated += len(stale)
+            for n, g in gains(stale):
+                heapq.heappush(queue, (-g, n, len(found)))
+            continue
+        gain, node, _ = heapq.heappop(queue)
+        found.append((node, -gain / samples))
+        for r in reach.where(F.col("node") == node).collect():  # one row a sample
             covered[r["sample"]] = covered.get(r["sample"], 0) | int.from_bytes(bytes(r["bits"]), "big")
-    return found
+    return found, evaluated
+
+
+def reverse_sets(edges: DataFrame, sets: int, seed: int = 42) -> DataFrame:
+    """(set, node): the nodes that would reach a node drawn by hash, over the edges that live in the set's sample.
+
+    edges: src, dst, w both ways. Each round joins the nodes found last with the edges into them and drops what is
+    known, so a set grows by frontiers and no graph is held in one place.
+    """
+    edges = keep(edges.select("src", "dst", probability(F.col("w")).alias("p")))
+    nodes = edges.select(F.col("src").alias("node")).distinct()
+    # The roots: for each set a node by its number, so every node is as likely as any other.
+    ranked = keep(_numbered(nodes))
+    n = ranked.count()
+    sample = edges.sparkSession.range(sets).select(F.col("id").alias("set"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).alias("id"))
+    front = keep(sample.join(ranked, "id").select("set", "node"))
+    every = front
+    while not front.isEmpty():
+        uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "set", "src", "dst"), 11) / float(1 << 53)
+        into = front.join(edges, F.col("node") == F.col("dst")).where(uniform < F.col("p")).select("set", F.col("src").alias("node")).distinct()
+        front = keep(into.join(every, ["set", "node"], "left_anti"))
+        every = every.unionByName(front)
+    return keep(every)
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """(node, id) with ids 0, 1, ... by the order of names: a range partition counts its own, after those before it."""
+    placed = keep(nodes.repartitionByRange("node").sortWithinPartitions("node").withColumn("at", F.monotonically_increasing_id()))
+    parts = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("size"), F.min("at").alias("low"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    shift = parts.select("part", (before - F.col("low")).alias("shift"))
+    return placed.join(F.broadcast(shift), F.shiftright("at", 33) == F.col("part")).select("node", (F.col("at") + F.col("shift")).alias("id"))
+
+
+def cover(found: DataFrame, nodes: int, sets: int, most: int = 20) -> list[tuple[str, float, float]]:
+    """(node, gain, reach) of each seed in turn: the node in most sets that no seed hits yet, the first by name on ties.
+
+    The share of the sets hit, times the number of nodes, estimates what the seeds reach.
+    """
+    out, hit, left = [], 0, found
+    for _ in range(most):
+        top = left.groupBy("node").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").first()
+        if top is None:
+            break
+        hit += top.n
+        out.append((top.node, top.n * nodes / sets, hit * nodes / sets))
+        left = keep(left.join(left.where(F.col("node") == top.node).select("set"), "set", "left_anti"))
+    return out
+
+
+def seeds_of_any_graph(edges: DataFrame, sets: int = 2000, most: int = 20) -> DataFrame:
+    """(seed_rank, actor_login, marginal_gain, cumulative_reach) by reverse-reachable sets; `sets` of them are drawn."""
+    edges = keep(edges)
+    n = edges.select("src").distinct().count()
+    found = cover(reverse_sets(edges, sets), n, sets, most) if n else []
+    rows = [(i + 1, node, round(gain, 6), round(reach, 6)) for i, (node, gain, reach) in enumerate(found)]
+    return edges.sparkSession.createDataFrame(rows, "seed_rank int, actor_login string, marginal_gain double, cumulative_reach double")
 
 
 def reach_of(reach: DataFrame, orders: dict[str, list[int]], samples: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
@@ -95,7 +173,7 @@ def influence(edges: DataFrame, ranks: DataFrame, samples: int = 200, most: int
         return spark.createDataFrame([], "strategy string, k int, seeds string, expected_reach double, reach_stddev double, sim_runs long"), spark.createDataFrame([], "seed_rank int, actor_login string, marginal_gain double, cumulative_reach double, degree double, pagerank double")
     ids = spark.createDataFrame([(r.node, i) for i, r in enumerate(rows)], "node string, id int")
     reach = reached(edges, ids, len(rows), samples)
-    found = greedy(reach, list(range(len(rows))), samples, most)
+    found, _ = greedy(reach, list(range(len(rows))), samples, most)
     by = lambda key: sorted(range(len(rows)), key=lambda i: (-float(rows[i][key]), i))[:most]
     order = np.random.default_rng(42).permutation(len(rows))[:most].tolist()
     orders = {"greedy": [s for s, _ in found], "degree": by("degree"), "pagerank": by("pagerank"), "coreness": by("coreness"), "random": order}

@@ -146,6 +146,12 @@ def g14_seed_greedy(spark, sf_dir):
     return _cascades(spark, sf_dir)[1]
 
 
+@stored
+def g14_seed_reverse(spark, sf_dir):
+    """Seeds of the whole collaboration graph, whatever its size."""
+    return influence.seeds_of_any_graph(_collab(spark, sf_dir))
+
+
 def v17_coreness_summary(spark, sf_dir):
     """Actors and bots by coreness, and whether half of all actors have as much at most."""
     cores = g08_actor_coreness(spark, sf_dir).groupBy("coreness").agg(F.count("*").alias("actors"), F.sum("is_bot").cast("long").alias("bots"))
@@ -334,7 +340,7 @@ def s03_realtime_anomaly_alerts_day(spark, sf_dir):
     return _plain(realtime.all_alerts(spark, f"{sf_dir}/events.parquet", "1 day", LATE))
 
 
-PLANS = {f.__name__: f for f in (g04_repo_community, g05_repo_community_profile, g09_repo_layer_community, g15_bridge_score, g15_modularity, g07_actor_pagerank, g07_actor_graph_metrics, g08_actor_coreness, g08_repo_coreness, g11_repo_community_weekly, g12_community_lineage, g14_actor_ic_reach, g14_seed_greedy, v17_coreness_summary, v19_lineage_counts, v20_influence_lift, v22_community_flows, m01_repo_clusters, m02_repo_cluster_profile, m08_actor_persona, m09_actor_persona_bic, m10_actor_persona_centroid, m12_actor_persona_transition, m16_actor_bot_supervised, m16_bot_feature_importance, m16_bot_classifier_meta, m18_repo_embedding, m19_repo_archetype, m19_repo_archetype_centroid, m05_attribution_interval, m20_attribution_interval, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts, s03_realtime_anomaly_alerts_day)}
+PLANS = {f.__name__: f for f in (g04_repo_community, g05_repo_community_profile, g09_repo_layer_community, g15_bridge_score, g15_modularity, g07_actor_pagerank, g07_actor_graph_metrics, g08_actor_coreness, g08_repo_coreness, g11_repo_community_weekly, g12_community_lineage, g14_actor_ic_reach, g14_seed_greedy, g14_seed_reverse, v17_coreness_summary, v19_lineage_counts, v20_influence_lift, v22_community_flows, m01_repo_clusters, m02_repo_cluster_profile, m08_actor_persona, m09_actor_persona_bic, m10_actor_persona_centroid, m12_actor_persona_transition, m16_actor_bot_supervised, m16_bot_feature_importance, m16_bot_classifier_meta, m18_repo_embedding, m19_repo_archetype, m19_repo_archetype_centroid, m05_attribution_interval, m20_attribution_interval, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts, s03_realtime_anomaly_alerts_day)}
 PLANS |= model_reads.queries(dict(PLANS), lambda name, spark, sf_dir: _frame(name, spark, sf_dir))
 
 
