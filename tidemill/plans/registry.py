@@ -8,7 +8,7 @@ from functools import partial, wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import bootstrap, community, daily, ecosystem, features, graphs, influence, iterative, people, ranking, realtime_sql
+from tidemill.operators import bootstrap, community, daily, ecosystem, features, graphs, influence, iterative, people, ranking, realtime_sql, sketches
 from tidemill.plans import model_reads, serving, views
 from tidemill.plans.catalog import DUCK, Catalog, Written
 from tidemill.sources import adapters
@@ -312,6 +312,35 @@ def m20_attribution_interval(spark, sf_dir):
     return bootstrap.intervals(keep(rows.withColumn("cohort_scope", F.lit("all"))), features.FEATURES, "riser", "faller").drop("cohort_scope")
 
 
+def b08_payload_sketch_day(spark, sf_dir):
+    return sketches.payload_day(_frame("ev", spark, sf_dir))
+
+
+def b08_payload_sketch_week(spark, sf_dir):
+    return sketches.payload_week(_frame("ev", spark, sf_dir))
+
+
+def m04_payload_sketch(spark, sf_dir):
+    return sketches.payload_repo(_frame("ev", spark, sf_dir))
+
+
+def m04_score_cohort_sketch(spark, sf_dir):
+    return sketches.cohorts_by_sketch(_frame("dna_base", spark, sf_dir).where("total_events >= 3"), "repo_name", "rank_score", 0.1, 0.9)
+
+
+def _sketch_sql() -> dict[str, str]:
+    """Exact percentiles: what sketches give for groups of up to their size."""
+    at = lambda q, x="payload_size": f"CAST(percentile_disc({q}) WITHIN GROUP (ORDER BY {x}) AS DOUBLE)"
+    ev = f"WITH ev AS ({CATALOG.statement('ev', DUCK)}), p AS (SELECT * FROM ev WHERE event_type = 'PushEvent' AND payload_size IS NOT NULL)"
+    both = f"count(*) AS n, {at(0.5)} AS p50_payload_size, {at(0.95)} AS p95_payload_size"
+    return {
+        "b08_payload_sketch_day": f"{ev} SELECT metric_date, repo_name, {both} FROM p GROUP BY ALL",
+        "b08_payload_sketch_week": f"{ev} SELECT CAST(date_trunc('week', metric_date) AS DATE) AS week, org_or_owner, {both} FROM p GROUP BY ALL",
+        "m04_payload_sketch": f"{ev} SELECT repo_name, count(*) AS n, {at(0.95)} AS payload_p95 FROM p GROUP BY ALL",
+        "m04_score_cohort_sketch": f"WITH d AS (SELECT repo_name, rank_score FROM ({CATALOG.statement('dna_base', DUCK)}) WHERE total_events >= 3 AND rank_score IS NOT NULL), e AS (SELECT percentile_disc(0.1) WITHIN GROUP (ORDER BY rank_score) AS low, percentile_disc(0.9) WITHIN GROUP (ORDER BY rank_score) AS high FROM d) SELECT repo_name, rank_score, CASE WHEN rank_score >= high THEN 'high' WHEN rank_score <= low THEN 'low' ELSE 'mid' END AS cohort FROM d, e",
+    }
+
+
 WINDOW, LATE = "1 minute", "5 seconds"
 #: Streams and the batch SQL that says what they hold in the end.
 STREAMED = {"s01_realtime_event_metrics": "rt_event_metrics", "s02_realtime_repo_scores": "rt_repo_scores", "s03_realtime_anomaly_alerts": "rt_anomaly_alerts", "s03_realtime_anomaly_alerts_day": "rt_anomaly_alerts_day"}
@@ -340,7 +369,7 @@ def s03_realtime_anomaly_alerts_day(spark, sf_dir):
     return _plain(realtime.all_alerts(spark, f"{sf_dir}/events.parquet", "1 day", LATE))
 
 
-PLANS = {f.__name__: f for f in (g04_repo_community, g05_repo_community_profile, g09_repo_layer_community, g15_bridge_score, g15_modularity, g07_actor_pagerank, g07_actor_graph_metrics, g08_actor_coreness, g08_repo_coreness, g11_repo_community_weekly, g12_community_lineage, g14_actor_ic_reach, g14_seed_greedy, g14_seed_reverse, v17_coreness_summary, v19_lineage_counts, v20_influence_lift, v22_community_flows, m01_repo_clusters, m02_repo_cluster_profile, m08_actor_persona, m09_actor_persona_bic, m10_actor_persona_centroid, m12_actor_persona_transition, m16_actor_bot_supervised, m16_bot_feature_importance, m16_bot_classifier_meta, m18_repo_embedding, m19_repo_archetype, m19_repo_archetype_centroid, m05_attribution_interval, m20_attribution_interval, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts, s03_realtime_anomaly_alerts_day)}
+PLANS = {f.__name__: f for f in (g04_repo_community, g05_repo_community_profile, g09_repo_layer_community, g15_bridge_score, g15_modularity, g07_actor_pagerank, g07_actor_graph_metrics, g08_actor_coreness, g08_repo_coreness, g11_repo_community_weekly, g12_community_lineage, g14_actor_ic_reach, g14_seed_greedy, g14_seed_reverse, v17_coreness_summary, v19_lineage_counts, v20_influence_lift, v22_community_flows, m01_repo_clusters, m02_repo_cluster_profile, m08_actor_persona, m09_actor_persona_bic, m10_actor_persona_centroid, m12_actor_persona_transition, m16_actor_bot_supervised, m16_bot_feature_importance, m16_bot_classifier_meta, m18_repo_embedding, m19_repo_archetype, m19_repo_archetype_centroid, m05_attribution_interval, m20_attribution_interval, m15_repo_association_rules, m17_actor_churn_risk, m18_repo_als_neighbor, s01_realtime_event_metrics, s02_realtime_repo_scores, s03_realtime_anomaly_alerts, s03_realtime_anomaly_alerts_day, b08_payload_sketch_day, b08_payload_sketch_week, m04_payload_sketch, m04_score_cohort_sketch)}
 PLANS |= model_reads.queries(dict(PLANS), lambda name, spark, sf_dir: _frame(name, spark, sf_dir))
 
 
@@ -349,4 +378,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {n: CATALOG.statement(n, DUCK) for n, t in CATALOG.tables.items() if not t.internal} | {n: CATALOG.statement(t, DUCK) for n, t in STREAMED.items()}
+    return {n: CATALOG.statement(n, DUCK) for n, t in CATALOG.tables.items() if not t.internal} | {n: CATALOG.statement(t, DUCK) for n, t in STREAMED.items()} | _sketch_sql()
