@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -180,3 +181,15 @@ def test_quantised_blocks_take_wide_dictionaries(spark):
     keys, known = cl.choose(ints, 64, 8, cl.BROADCAST_BYTES)
     assert keys.width == 16 and all(len(own) == 3 for own in known)
     assert sorted(keys.back(0, known[0])[:, 0].tolist()) == [0, 1024, 2048]
+
+
+def test_line_separators_at_the_end_are_words(spark):
+    """Only ASCII white space separates words, so a last U+2028, U+2029 or U+0085 is one."""
+    from tidemill.llm.quality_rules import quality_rules
+    from tidemill.llm.token_counts import word_count
+
+    texts = ["a  ", "a ", " ", "a \u0085", " \u0085 ", "a \n", "a  ", "   b", "a\r\n", "\n"]
+    want = [len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_words for r in quality_rules(docs).orderBy("doc_id").collect()] == want
+    assert [r.n for r in docs.select("doc_id", word_count(F.col("text")).alias("n")).orderBy("doc_id").collect()] == want

@@ -48,7 +48,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"))
-    trimmed = F.regexp_replace("text", rf"^{SPACE}+|{SPACE}+$", "")
+    trimmed = F.regexp_replace("text", rf"^{SPACE}+|{SPACE}+\z", "")
     rows = rows.select(
         "doc_id",
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
