@@ -188,7 +188,7 @@ def test_line_separators_at_the_end_are_words(spark):
     from tidemill.llm.quality_rules import quality_rules
     from tidemill.llm.token_counts import word_count
 
-    texts = ["a  ", "a  ", " ", "a \u0085", " \u0085 ", "a \n", "a   ", "    b", "a\r\n", "\n"]
+    texts = ["a \u2028", "a \u2029 ", "\u2028", "a \u0085", " \u0085 ", "a \n", "a \u2028 ", "  \u2028b", "a\r\n", "\n"]
     want = [len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.n_words for r in quality_rules(docs).orderBy("doc_id").collect()] == want
