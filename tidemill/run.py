@@ -2,6 +2,9 @@
 
     python -m tidemill.run curate RAW... --out DIR
     python -m tidemill.run tables CURATED --out DIR [--only NAME...] [--models] [--json DIR]
+    python -m tidemill.run load TABLES --root DIR [--group NAME] [--skip-missing]
+    python -m tidemill.run verify --root DIR [--top N]
+    python -m tidemill.run export --root DIR --out FILE [--every SECONDS] [--times N]
     python -m tidemill.run sweep [--hours N]
 """
 
@@ -13,7 +16,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.sources import adapters, curate, storage
+from tidemill.sources import adapters, curate, storage, warehouse
 
 
 def table_names() -> list[str]:
@@ -82,11 +85,33 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--hours", type=float, default=48, help="only those this old; more than any running job")
     for x in (c, t):
         x.add_argument("--out", required=True)
+    wl = sub.add_parser("load", help="Parquet tables of a folder as a new version of a warehouse")
+    wl.add_argument("tables")
+    wl.add_argument("--group", choices=sorted(warehouse.GROUPS), default="all")
+    wl.add_argument("--skip-missing", action="store_true")
+    wv = sub.add_parser("verify", help="rows and first rows of the latest version's tables")
+    wv.add_argument("--top", type=int, default=5)
+    we = sub.add_parser("export", help="the latest version's sections as one JSON document")
+    we.add_argument("--out", required=True)
+    we.add_argument("--every", type=float)
+    we.add_argument("--times", type=int, default=1)
+    for x in (wl, wv, we):
+        x.add_argument("--root", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("tidemill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.what == "sweep":
         print(storage.sweep(spark, a.hours))
         return
+    if a.what in ("load", "verify", "export"):
+        w = warehouse.Warehouse(spark, a.root)
+        if a.what == "load":
+            names = warehouse.of_group(table_names() + model_names(), a.group)
+            print(json.dumps(w.load({n: f"{a.tables.rstrip('/')}/{n}" for n in names}, a.skip_missing)))
+        elif a.what == "verify":
+            w.verify(a.top).show(1000, False)
+        else:
+            w.export(a.out, a.every, a.times)
+        return
     if a.what == "curate":
         write_report(spark, curate.write_curated(curate.read_raw(spark, a.raw), a.out), f"{a.out.rstrip('/')}-report")
         return
