@@ -270,6 +270,8 @@ def test_betweenness_equals_brute_force(spark):
         for p in found:
             for v in p[1:-1]:
                 share[v] += 1 / len(found)
+    every = iterative.dependencies(edges(spark, pairs), spark.createDataFrame([(x,) for x in "abcdex"], "node string"))
+    assert {r.node: round(r.part, 9) for r in every.collect()} == {x: round(v, 9) for x, v in share.items()}
     sampled = iterative.betweenness(edges(spark, pairs))
     assert sampled.count() == 6
     import tidemill.operators.iterative as it
@@ -278,6 +280,39 @@ def test_betweenness_equals_brute_force(spark):
     assert set(whole) >= set("abcdex") and whole["c"] >= whole["b"] >= whole["a"] == 0 and share["c"] > share["b"] > share["a"] == 0
 
 
+def test_dependencies_of_a_random_graph(spark):
+    """Many ways of equal length, weights of one digit after the point, two parts: against Brandes' algorithm by hand."""
+    import heapq
+    import random
+
+    r = random.Random(8)
+    pairs = [(f"n{a:02}", f"n{b:02}", r.choice([0.1, 0.2, 0.3])) for a in range(25) for b in range(a) if r.random() < 0.15] + [("x", "y", 1), ("y", "z", 1)]
+    near = {}
+    for a, b, w in pairs:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    total = dict.fromkeys(near, 0.0)
+    for s in near:
+        far, queue = {}, [(0.0, s)]
+        while queue:
+            d, v = heapq.heappop(queue)
+            if v not in far:
+                far[v] = d
+                for u, w in near[v]:
+                    heapq.heappush(queue, (round(d + w, 9), u))
+        order, ways, share = sorted(far, key=far.get), {s: 1}, dict.fromkeys(far, 0.0)
+        before = {v: [u for u, w in near[v] if round(far[u] + w, 9) == far[v]] for v in order}
+        for v in order[1:]:
+            ways[v] = sum(ways[u] for u in before[v])
+        for v in reversed(order[1:]):
+            for u in before[v]:
+                share[u] += ways[u] / ways[v] * (1 + share[v])
+            total[v] += share[v]
+    e = edges(spark, pairs)
+    got = {x.node: x.part for x in iterative.dependencies(e, e.select(F.col("src").alias("node")).distinct()).collect()}
+    assert got == pytest.approx(total, abs=1e-9)
+
+
 def test_influence_on_a_star(spark):
     """With certain edges a hub reaches all; the greedy seed is the hub, and reach counts the seeds."""
     import numpy as np

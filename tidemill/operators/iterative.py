@@ -6,10 +6,6 @@ one round. Edges are (src, dst, w) in both directions.
 
 from __future__ import annotations
 
-import heapq
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,53 +74,61 @@ def cohorts(cores: DataFrame) -> DataFrame:
     return cores.join(F.broadcast(q)).withColumn("cohort_group", F.when((k >= F.col("high")) & (k > 0), "core").when(k >= F.col("low"), "middle").otherwise("periphery")).drop("high", "low")
 
 
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, far): the length of the shortest way from each source, by weights (rounded to 9 digits, so that equal lengths compare equal).
+
+    Each round extends only the ways that got shorter in the one before, and ends when none does.
+    """
+    edges = keep(edges.select("src", "dst", "w"))
+    front = keep(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("far")))
+    best = front
+    while not front.isEmpty():
+        step = front.join(edges, F.col("node") == F.col("src")).groupBy("source", "dst").agg(F.min(F.round(F.col("far") + F.col("w"), 9)).alias("at"))
+        both = keep(best.join(step.withColumnRenamed("dst", "node"), ["source", "node"], "full").select("source", "node", "at", F.least("far", "at").alias("now"), (F.col("at").isNotNull() & (F.col("far").isNull() | (F.col("at") < F.col("far")))).alias("shorter")))
+        best, front = both.select("source", "node", F.col("now").alias("far")), both.where("shorter").select("source", "node", F.col("at").alias("far"))
+    return best
+
+
+def _spread(start: DataFrame, ways: DataFrame, a: str, b: str, factor) -> DataFrame:
+    """(source, node, x): start and all that it sends along ways from a to b, hop by hop, each hop times the factor. Ways have no circles, so this ends."""
+    front = keep(start)
+    parts = front
+    while True:
+        front = keep(front.withColumnRenamed("node", a).join(ways, ["source", a]).groupBy("source", F.col(b).alias("node")).agg(F.sum(F.col("x") * factor).alias("x")))
+        if front.isEmpty():
+            return keep(parts.groupBy("source", "node").agg(F.sum("x").alias("x")))
+        parts = parts.unionByName(front)
+
+
+def dependencies(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, part): the shares of the shortest ways from the sources that pass through a node, summed.
+
+    Brandes' sums as joins by source and node: ways are counted forwards along the steps of shortest ways, hop by hop,
+    and shares go backwards along the same steps. A hop's rows are at most sources times nodes, and no graph is held
+    in one place.
+    """
+    far = keep(distances(edges, sources))
+    steps = edges.select("src", "dst", "w").join(far.select("source", F.col("node").alias("src"), F.col("far").alias("a")), "src").join(far.select("source", F.col("node").alias("dst"), F.col("far").alias("b")), ["source", "dst"])
+    steps = keep(steps.where(F.round(F.col("a") + F.col("w"), 9) == F.col("b")).select("source", "src", "dst"))
+    ways = _spread(far.where("source = node").select("source", "node", F.lit(1.0).alias("x")), steps, "src", "dst", F.lit(1.0))
+    share = steps.join(ways.select("source", F.col("node").alias("src"), F.col("x").alias("to")), ["source", "src"]).join(ways.select("source", F.col("node").alias("dst"), F.col("x").alias("all")), ["source", "dst"])
+    share = keep(share.select("source", "src", "dst", (F.col("to") / F.col("all")).alias("share")))
+    passed = _spread(ways.select("source", "node", F.lit(1.0).alias("x")), share, "dst", "src", F.col("share"))
+    return passed.where("source <> node").groupBy("node").agg(F.sum(F.col("x") - 1.0).alias("part"))  # less the ways that end there
+
+
 def betweenness(edges: DataFrame, most: int = 500, seed: int = 42) -> DataFrame:
     """(node, betweenness): shares of shortest paths through a node, with weights as distances, from sampled sources.
 
-    Sources are min(most, half of the nodes) by hash, and sums are scaled to all nodes. The graph goes to every
-    task, so it must be bounded (the collaboration graph has at most 5000 actors); sources are dealt out.
+    Sources are min(most, half of the nodes) by hash, and sums are scaled to all nodes.
     """
-    rows = edges.select("src", "dst", "w").collect()
-    graph: dict[str, list[tuple[str, float]]] = {}
-    for r in rows:
-        graph.setdefault(r.src, []).append((r.dst, r.w))
-    n = len(graph)
-    nodes = edges.select(F.col("src").alias("node")).distinct()
+    edges = keep(edges)
+    nodes = keep(edges.select(F.col("src").alias("node")).distinct())
+    n = nodes.count()
     if n < 3:
         return nodes.withColumn("betweenness", F.lit(0.0))
     k = max(1, min(most, n // 2))
-    held = edges.sparkSession.sparkContext.broadcast(graph)
-    sources = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(k)
-
-    def paths(batches):
-        for p in batches:
-            total: dict[str, float] = {}
-            for s in p["node"]:
-                far, ways, before, order = {}, {s: 1.0}, {s: []}, []
-                queue, best = [(0.0, s)], {s: 0.0}
-                while queue:
-                    d, v = heapq.heappop(queue)
-                    if v in far:
-                        continue
-                    far[v] = d
-                    order.append(v)
-                    for u, w in held.value[v]:
-                        at = d + w
-                        if u not in far and at < best.get(u, math.inf):
-                            best[u], ways[u], before[u] = at, ways[v], [v]
-                            heapq.heappush(queue, (at, u))
-                        elif u not in far and at == best[u]:
-                            ways[u] += ways[v]
-                            before[u].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for v in reversed(order):
-                    for u in before[v]:
-                        share[u] += ways[u] / ways[v] * (1 + share[v])
-                    if v != s:
-                        total[v] = total.get(v, 0.0) + share[v]
-            yield pd.DataFrame({"node": list(total), "part": list(total.values())})
-
-    parts = sources.repartition(min(k, 64)).mapInPandas(paths, "node string, part double").groupBy("node").agg(F.sum("part").alias("part"))
+    parts = dependencies(edges, nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(k))
     scale = n / k / ((n - 1) * (n - 2))
     return nodes.join(parts, "node", "left").select("node", F.round(F.coalesce(F.col("part") * scale, F.lit(0.0)), 8).alias("betweenness"))
 
