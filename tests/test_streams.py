@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -94,3 +95,59 @@ def test_streams_of_no_events(spark, tmp_path):
 @pytest.mark.parametrize("name", ["s03_realtime_anomaly_alerts"])
 def test_registered_alerts(spark, name):
     assert registry.queries()[name](spark, SF).where("anomaly_ratio < 2").isEmpty()
+
+
+def replay_events(spark, n=12):
+    start = datetime(2024, 1, 1)
+    at = [(i, start + timedelta(seconds=10 * (i // 2), milliseconds=400 * (i % 2)), f"o/r{i % 3}") for i in range(n)]
+    return spark.createDataFrame([*at, (99, None, "o/none")], "event_id long, ts timestamp, repo_name string").repartition(3)
+
+
+def test_gaps_of_a_replay():
+    from tidemill.streaming.replay import due
+
+    assert due([5, 6, 16, 1000], 10) == [0.0, 0.1, 1.1, 3.1] and due([], 1) == [] and due([3, 5], 0.1) == [0.0, 2.0]
+
+
+def test_replay_keeps_the_order_and_resumes(spark, tmp_path):
+    """Batches go up in event time; a stream stopped halfway goes on with the next slice, and none comes twice."""
+    from tidemill.streaming import replay
+
+    path, seen = str(tmp_path / "staged"), []
+    replay.stage(replay_events(spark), path)
+
+    def run(until, speedup):
+        stream = replay.replay(spark, path, str(tmp_path / "state"), speedup=speedup, slices_per_trigger=1)
+
+        def take(batch, number):
+            rows = [(r.ts, r.event_id) for r in batch.collect()]
+            if rows:
+                seen.append(rows)
+
+        q = stream.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "check")).start()
+        began = time.time()
+        while len(seen) < until and time.time() - began < 60 and q.isActive:
+            time.sleep(0.05)
+        q.stop()
+        return time.time() - began
+
+    run(3, 1000.0)
+    half = sum(map(len, seen))
+    assert 6 <= half < 12
+    run(6, 1000.0)
+    flat = [x for rows in seen for x in rows]
+    assert flat == sorted(flat) and [i for _, i in flat] == list(range(12))
+
+
+def test_replay_waits_for_the_gaps(spark, tmp_path):
+    """Five gaps of ten seconds at ten times the pace last five seconds."""
+    from tidemill.streaming import replay
+
+    path, seen = str(tmp_path / "staged"), []
+    replay.stage(replay_events(spark), path)
+    q = replay.replay(spark, path, str(tmp_path / "state"), speedup=10.0).writeStream.foreachBatch(lambda b, n: seen.extend((time.time(), r.event_id) for r in b.collect())).option("checkpointLocation", str(tmp_path / "check")).start()
+    began = time.time()
+    while len(seen) < 12 and time.time() - began < 60:
+        time.sleep(0.05)
+    q.stop()
+    assert sorted(i for _, i in seen) == list(range(12)) and seen[-1][0] - seen[0][0] > 3.5
