@@ -193,3 +193,51 @@ def test_line_separators_at_the_end_are_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.n_words for r in quality_rules(docs).orderBy("doc_id").collect()] == want
     assert [r.n for r in docs.select("doc_id", word_count(F.col("text")).alias("n")).orderBy("doc_id").collect()] == want
+
+
+LONG = "A paragraph of the article with a good many words in it, and then some more of them."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<p>{LONG}</p><p>Yes.</p>", f"{LONG} Yes."),
+        (f"<article><p>{LONG}</p><ul><li>one</li><li>two</li><li>three</li></ul></article>", f"{LONG} one two three"),
+        (f"<p>Short.</p><p>{LONG}</p><p>{LONG}</p><ul><li><a href='/1'>Link one</a></li><li><a href='/2'>Link two</a></li></ul>", f"Short. {LONG} {LONG}"),
+        (f'<article><h2 id="related-work">Related work</h2><p>{LONG}</p><h2 id="social-effects">Social effects</h2><section id="related-work"><p>{LONG}</p></section></article>', f"Related work {LONG} Social effects {LONG}"),
+        (f'<article><p>{LONG}</p><section id="comments"><p>{LONG}</p></section></article>', LONG),
+        (f'<form id="aspnetForm"><div><p>{LONG}</p></div></form>', LONG),
+        (f'<form id="aspnetForm"><nav><a href="/">Home</a></nav><main><p>{LONG}</p></main><footer>end</footer></form>', LONG),
+        (f'<nav><a href="/">Home</a><article><p>{LONG}</p></article>', LONG),
+        (f"<p>{LONG}</p><form><p>Your name</p></form>", LONG),
+        (f"<p>{LONG} a < b and <", f"{LONG} a < b and <"),
+    ],
+    ids=["short end", "list", "links", "ids", "comments", "form", "form and main", "unclosed nav", "form in page", "lone signs"],
+)
+def test_articles_lose_nothing(page, want):
+    from tidemill.llm.html_text import main_text
+
+    assert main_text(page) == want
+
+
+def test_every_given_article_alone_is_kept(spark):
+    """Through the query: each page's article alone, with and without its element, gives what the page gives."""
+    from tidemill.llm.html_text import html_text
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    whole = {r.page_id: r.text for r in html_text(pages).collect()}
+    article = F.regexp_extract("html", r"(?s)<article[^>]*>.*</article>", 0)
+    for inner in (article, F.regexp_replace(article, r"^<article[^>]*>|</article>$", "")):
+        got = {r.page_id: r.text for r in html_text(pages.withColumn("html", inner)).collect()}
+        assert len(got) == 250 and got == whole
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    from tidemill.llm.html_text import main_text
+
+    began = time.process_time()
+    assert main_text("<p>text</p>" + "<a " * 50_000).startswith("text")
+    assert main_text("<" * 100_000) == "<" * 100_000
+    assert time.process_time() - began < 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "select", "textarea", "audio", "video"}
 #: Elements that hold boilerplate.
 ASIDE = {"nav", "aside", "footer", "form", "menu", "dialog", "button"}
+#: Those that may also lie round a whole page, as a form of its server or by a forgotten end tag.
+ROUND = {"nav", "form"}
 #: Roles of the same kind.
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 #: Words of class or id attributes that mark boilerplate.
@@ -53,12 +56,17 @@ def marks(names: str) -> set[str]:
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines: (text, tags, inside a main container, boilerplate, heading)."""
+    """Turns parser events into lines: (text, tags, inside a main container, boilerplate, heading).
+
+    Beside them, for each line, whether an element of ROUND alone makes it boilerplate, and whether most of it is links.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, bool, bool]] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # tag, hidden, boilerplate (0 no, 1 by a layout word, 2 surely), main
+        self.open: list[tuple[str, bool, float, bool]] = []  # tag, hidden, boilerplate (0 no, 1 by a layout word, 1.5 by ROUND, 2 surely), main
+        self.about: list[tuple[bool, bool]] = []
+        self.linked = 0  # characters of the line so far that are in links
         self.count: Counter[str] = Counter()  # of open elements by tag
         self.text: list[str] = []
         self.tags = 0
@@ -69,8 +77,9 @@ class Lines(HTMLParser):
             _, _, aside, main = self.open[-1] if self.open else ("", False, 0, False)
             heading = any(tag in HEADINGS for tag, *_ in self.open[-3:])
             self.lines.append((line, max(1, self.tags), main, aside > 0, heading))
+            self.about.append((aside == 1.5, 2 * self.linked > len(line)))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -87,11 +96,14 @@ class Lines(HTMLParser):
                     break
         _, hidden, aside, main = self.open[-1] if self.open else ("", False, 0, False)
         held = dict(attrs)
-        own = 2 if tag in ASIDE or (tag == "header" and not main) or (held.get("role") or "").lower() in ROLES else 0
-        if not own and tag not in {"html", "body", "article", "main"} and ("class" in held or "id" in held):
-            if words := marks(f"{held.get('class') or ''} {held.get('id') or ''}"):
-                own = 1 if CARDS.isdisjoint(words) else 2
-        if tag in MAIN and aside == 1:
+        own = 1.5 if tag in ROUND else 2 if tag in ASIDE or (tag == "header" and not main) or (held.get("role") or "").lower() in ROLES else 0
+        if own < 2 and tag not in {"html", "body", "article", "main"} and ("class" in held or "id" in held):
+            # Ids of headings, and of sections in an article, are made from their titles; there a whole id may still be a mark.
+            name = (held.get("id") or "").strip()
+            named = "" if tag in HEADINGS or (main and name.lower() not in MARKS) else name
+            if words := marks(f"{held.get('class') or ''} {named}"):
+                own = max(own, 1 if CARDS.isdisjoint(words) else 2)
+        if tag in MAIN and aside in (1, 1.5):
             aside = 0  # a wrapper named after a part of its layout
         hidden = hidden or tag in HIDDEN or "hidden" in held or (held.get("aria-hidden") or "").lower() == "true"
         self.open.append((tag, hidden, max(aside, own), main or (tag in MAIN and not aside)))
@@ -117,10 +129,12 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not (self.open and self.open[-1][1]):
             self.text.append(data)
+            if self.count["a"]:
+                self.linked += len(data.strip())
 
 
-def content_lines(lines: list[tuple[str, int, bool, bool, bool]]) -> list[str]:
-    """Lines of the content regions.
+def content_span(lines: list[tuple[str, int, bool, bool, bool]]) -> tuple[int, int] | None:
+    """First and last line of the content; None if there is none.
 
     Ratios of characters to tags are smoothed along the page; the threshold is the best split of their
     logarithms into two clusters. A region runs from the first to the last line over it, so that short
@@ -129,7 +143,7 @@ def content_lines(lines: list[tuple[str, int, bool, bool, bool]]) -> list[str]:
     """
     usable = np.array([not x[3] for x in lines], bool)
     if not usable.any():
-        return []
+        return None
     main = np.array([x[2] for x in lines], bool) & usable
     led = bool(main.any())
     ratio = np.array([len(t) / n if led or not aside else 0.0 for t, n, _, aside, _ in lines])
@@ -149,23 +163,59 @@ def content_lines(lines: list[tuple[str, int, bool, bool, bool]]) -> list[str]:
             low, top = new
         at = np.flatnonzero(usable & (value > (low + top) / 2))
         if not len(at):
-            return []
+            return None
         first = at[0]
         while first and usable[first - 1] and lines[first - 1][4]:
             first -= 1
-        return [lines[i][0] for i in range(first, at[-1] + 1) if usable[i]]
-    return [x[0] for x, ok in zip(lines, usable, strict=True) if ok]
+        return int(first), int(at[-1])
+    return 0, len(lines) - 1
+
+
+def content_lines(lines: list[tuple[str, int, bool, bool, bool]]) -> list[str]:
+    """The lines of the content that markup doesn't name as boilerplate."""
+    span = content_span(lines)
+    return [x[0] for x in lines[span[0] : span[1] + 1] if not x[3]] if span else []
+
+
+def page_lines(lines: list[tuple[str, int, bool, bool, bool]], about: list[tuple[bool, bool]]) -> list[str]:
+    """The content's lines of a whole page.
+
+    A form or nav element that holds most of the page's text is no boilerplate. Short lines at the content's ends
+    (of its main container, where there is one) belong to it up to the first that is links: a low ratio alone
+    doesn't cut an article that nothing else follows. Without a main container links at the ends go.
+    """
+    sizes = [len(x[0]) for x in lines]
+    if 2 * sum(n for n, (round_page, _) in zip(sizes, about, strict=True) if round_page) > sum(sizes):
+        lines = [(*x[:3], x[3] and not round_page, x[4]) for x, (round_page, _) in zip(lines, about, strict=True)]
+    span = content_span(lines)
+    if span is None:
+        return []
+    led = any(x[2] and not x[3] for x in lines)
+    own = [not x[3] and (x[2] or not led) and not links for x, (_, links) in zip(lines, about, strict=True)]
+    first, last = span
+    if not led:  # smoothing lifts links beside long lines
+        while first < last and about[first][1]:
+            first += 1
+        while first < last and about[last][1]:
+            last -= 1
+    while first and own[first - 1]:
+        first -= 1
+    while last + 1 < len(lines) and own[last + 1]:
+        last += 1
+    return [x[0] for x in lines[first : last + 1] if not x[3]]
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
-    for at in range(0, len(html), 1 << 16):  # events come as the text is fed
-        parser.feed(html[at : at + (1 << 16)])
+    end = html.rfind(">") + 1  # no tag ends after it, so what follows is text, which the parser would try as a tag at each <
+    for at in range(0, end, 1 << 16):  # events come as the text is fed
+        parser.feed(html[at : min(at + (1 << 16), end)])
     parser.close()
+    parser.handle_data(unescape(html[end:]))
     parser.cut()
-    return " ".join(content_lines(parser.lines))
+    return " ".join(page_lines(parser.lines, parser.about))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
