@@ -20,19 +20,23 @@ NAVIGATION = "|>»›•·"
 MOST_LOST = 50
 
 
-def line_fails(line: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules of one line."""
-    low = F.lower(line)
+def has_boilerplate(text: Column) -> Column:
+    """Whether a phrase of BOILERPLATE is in a text, in any case."""
+    low, found = F.lower(text), F.lit(False)
+    for phrase in BOILERPLATE:
+        found = found | low.contains(phrase)
+    return found
+
+
+def line_fails(line: Column, phrases: Column | bool = True) -> Column:
+    """Punctuation, navigation and boilerplate rules of one line; phrases are looked for where `phrases` holds."""
     size = F.length(line)
     marks = size - F.length(F.translate(line, MARKS, ""))
     words = F.size(F.split(F.trim(line), SPACE + "+"))
     separators = size - F.length(F.translate(line, NAVIGATION, ""))
     punctuation = marks * 10 > size * 3
     navigation = (separators >= 3) & (separators * 3 >= words - separators)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | low.contains(phrase)
-    return punctuation | navigation | boilerplate
+    return punctuation | navigation | (F.lit(phrases) & has_boilerplate(line))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_lost: int = MOST_LOST, clean: bool = False) -> DataFrame:
@@ -48,9 +52,12 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"))
+    # A phrase of a line is one of the text, so lines are searched only in texts that have one.
+    rows = rows.withColumn("phrases", has_boilerplate(F.col("text")))
     trimmed = F.regexp_replace("text", rf"^{SPACE}+|{SPACE}+\z", "")
     rows = rows.select(
         "doc_id",
+        "phrases",
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE + "+")).otherwise(F.array().cast("array<string>")).alias("w"),
@@ -58,7 +65,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     )
     windows = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)]))
     rows = rows.withColumn("h", F.when(F.size("w") >= 5, windows).otherwise(F.array().cast("array<long>")))
-    rows = rows.withColumn("ok", F.filter("lines", lambda x: ~line_fails(x)))
+    rows = rows.withColumn("ok", F.filter("lines", lambda x: ~line_fails(x, F.col("phrases"))))
     # Only texts with a repeated window sort their windows; equal neighbours are the repeated ones.
     order = F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     rows = rows.withColumn("order", order)
