@@ -195,7 +195,9 @@ def test_messages_of_a_broker(spark):
     assert {r.key for r in sent.collect()} == {"o/r"}
     bad = spark.createDataFrame([("k", "no json"), ("k", '{"event_type": "PushEvent"}'), ("k", None)], "key string, value string")
     got = realtime.parse_messages(sent.unionByName(bad))
-    assert sorted(map(str, got.collect())) == sorted(map(str, events.select(*got.columns).collect()))
+    assert sorted(map(str, got.select(*events.columns).collect())) == sorted(map(str, events.collect())) and got.where("event_id is not null").isEmpty()
+    named = events.withColumn("event_id", F.lit("7"))
+    assert {r.event_id for r in realtime.parse_messages(realtime.messages(named)).collect()} == {"7"}
 
 
 def test_sweep_deletes_old_tables_only(spark, tmp_path, monkeypatch):
