@@ -391,7 +391,7 @@ def test_bot_models(spark):
 
     r = random.Random(3)
     rows = [(f"u{i}", int(i % 5 == 0), *[r.random() + (3.0 if i % 5 == 0 and k < 2 else 0.0) for k in range(len(ml.BOT_FEATURES))]) for i in range(120)]
-    features = spark.createDataFrame(rows, ["actor_login", "is_bot", *ml.BOT_FEATURES])
+    features = spark.createDataFrame(rows, ["actor_login", "is_bot", "event_count", *ml.BOT_FEATURES[1:]])
     personas = features.select("actor_login", F.lit("p").alias("persona_label"))
     scores = ml.bot_scores(features, personas).orderBy("rank_no").limit(24).collect()
     assert all(x.is_bot_truth == 1 for x in scores)

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.fpm import FPGrowth
@@ -16,6 +16,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators import boosting
 from tidemill.sources.storage import keep
 
 ACTOR_FEATURES = ["event_count", "active_days", "unique_repos", "hour_entropy", "repo_entropy", "push_share", "pr_share", "issues_share", "watch_share", "fork_share", "is_bot"]
@@ -158,7 +159,7 @@ def persona_transition(whole: DataFrame, early: DataFrame, late: DataFrame, k: i
 
 
 #: Features of the bot classifier; what tells bots by name is left out.
-BOT_FEATURES = ["active_days", "unique_repos", "hour_entropy", "repo_entropy", "push_share", "pr_share", "issues_share", "watch_share", "fork_share"]
+BOT_FEATURES = ["log_event_count", "active_days", "unique_repos", "hour_entropy", "repo_entropy", "push_share", "pr_share", "issues_share", "watch_share", "fork_share"]
 
 
 def isolation_scores(rows: DataFrame, columns: list[str], trees: int = 200, most: int = 256, seed: int = 42) -> DataFrame:
@@ -210,59 +211,58 @@ def isolation_scores(rows: DataFrame, columns: list[str], trees: int = 200, most
 def _bot_rows(features: DataFrame, personas: DataFrame, folds: int, seed: int) -> tuple[DataFrame, list[str], list[str], dict[float, int]]:
     """Rows with features, label and fold; the feature columns, their shown names, and the sizes of the classes."""
     rows = features.join(personas.select("actor_login", "persona_label"), "actor_login", "left").fillna("unlabeled", ["persona_label"])
-    rows = keep(rows)
+    rows = keep(rows.withColumn("log_event_count", F.log1p(F.col("event_count").cast("double"))).fillna(0.0, BOT_FEATURES))
     labels = sorted(r[0] for r in rows.select("persona_label").distinct().collect())  # at most one a cluster
     for i, name in enumerate(labels):
         rows = rows.withColumn(f"persona_{i}", (F.col("persona_label") == name).cast("double"))
     columns = [*BOT_FEATURES, *(f"persona_{i}" for i in range(len(labels)))]
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(rows).withColumn("label", F.col("is_bot").cast("double"))
+    rows = rows.withColumn("label", F.col("is_bot").cast("double"))
     fold = F.row_number().over(Window.partitionBy("label", F.pmod(F.xxhash64("actor_login"), F.lit(64))).orderBy(F.xxhash64(F.lit(seed), "actor_login")))
     rows = rows.withColumn("fold", F.pmod(fold + F.pmod(F.xxhash64("actor_login"), F.lit(64)), F.lit(folds)).cast("int"))
     return rows, columns, [*BOT_FEATURES, *(f"persona_{n}" for n in labels)], {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
 
 
-def _trees(seed: int) -> GBTClassifier:
-    return GBTClassifier(maxDepth=4, stepSize=0.08, maxIter=20, seed=seed)
+def _bot_trees(rows: DataFrame, columns: list[str], sizes: dict[float, int], folds: int, seed: int) -> DataFrame | None:
+    """The boosted trees, 300 of the model of all rows and 200 of each fold's; None without two rows of both classes a fold."""
+    return boosting.forests(rows, columns, "actor_login", folds, seed=seed) if len(sizes) == 2 and min(sizes.values()) >= 2 * folds else None
 
 
 def bot_scores(features: DataFrame, personas: DataFrame, folds: int = 5, seed: int = 42, most: int = 5000) -> DataFrame:
-    """Actors by the risk of being a bot: 0.7 of a probability by gradient-boosted trees fitted on all rows, and 0.3
-    of an isolation forest's score scaled to 0..1. Without two rows of both classes for each fold there are no trees
-    and the probability is 0."""
+    """Actors by the risk of being a bot: 0.7 of a probability by boosted trees and 0.3 of an isolation forest's
+    score scaled to 0..1. Without two rows of both classes for each fold there are no trees and the probability is 0."""
     rows, columns, _, sizes = _bot_rows(features, personas, folds, seed)
-    scored = rows.withColumn("prob", F.lit(0.0))
-    if len(sizes) == 2 and min(sizes.values()) >= 2 * folds:
-        scored = _trees(seed).fit(rows).transform(rows).withColumn("prob", F.round(vector_to_array("probability")[1], 6))
-    forest = keep(isolation_scores(rows, columns))
+    trees, forest = _bot_trees(rows, columns, sizes, folds, seed), keep(isolation_scores(rows, columns))
+    if trees is None:
+        probs = rows.select("actor_login", F.lit(0.0).alias("prob"))
+    else:
+        probs = boosting.scored(rows, columns, "actor_login", trees).select("actor_login", F.round(1 / (1 + F.exp(-F.col("margin"))), 6).alias("prob"))
     ends = forest.agg(F.min("iforest_score").alias("low"), F.max("iforest_score").alias("high"))
     forest = forest.join(F.broadcast(ends)).select("actor_login", F.round(F.when(F.col("high") > F.col("low"), (F.col("iforest_score") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0), 6).alias("iforest_score"))
-    out = scored.select("actor_login", "prob", "is_bot", "persona_label").join(forest, "actor_login")
+    out = rows.select("actor_login", "is_bot", "persona_label").join(probs, "actor_login").join(forest, "actor_login")
     out = out.select("actor_login", F.col("prob").alias("gbt_prob_bot"), "iforest_score", F.round(0.7 * F.col("prob") + 0.3 * F.col("iforest_score"), 6).alias("combined_score"), F.col("is_bot").cast("int").alias("is_bot_truth"), "persona_label")
     return out.orderBy(F.desc("combined_score"), "actor_login").limit(most).withColumn("rank_no", F.row_number().over(Window.orderBy(F.desc("combined_score"), "actor_login")))
 
 
 def bot_importance(features: DataFrame, personas: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
-    """The 25 most important features of the trees."""
-    rows, _, shown, sizes = _bot_rows(features, personas, folds, seed)
-    found = []
-    if len(sizes) == 2 and min(sizes.values()) >= 2 * folds:
-        weights = _trees(seed).fit(rows).featureImportances.toArray().tolist()
-        found = sorted(zip(shown, weights, strict=True), key=lambda x: (-x[1], x[0]))[:25]
+    """The 25 features of the largest mean gain a split, as shares of their sum."""
+    rows, columns, shown, sizes = _bot_rows(features, personas, folds, seed)
+    trees, found = _bot_trees(rows, columns, sizes, folds, seed), []
+    if trees is not None:
+        weights = boosting.importance(trees, columns)
+        found = sorted(((name, weights[c]) for name, c in zip(shown, columns, strict=True)), key=lambda x: (-x[1], x[0]))[:25]
     return features.sparkSession.createDataFrame([(f, round(x, 6), i + 1) for i, (f, x) in enumerate(found)], "feature string, importance double, rank_no int")
 
 
 def bot_measures(features: DataFrame, personas: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Numbers of rows and bots, and means over the folds of ROC-AUC and average precision."""
-    rows, _, _, sizes = _bot_rows(features, personas, folds, seed)
-    rows, meta = keep(rows), [("rows", float(sum(sizes.values()))), ("bots", float(sizes.get(1.0, 0)))]
-    if len(sizes) == 2 and min(sizes.values()) >= 2 * folds:
-        measures = {"cv_roc_auc": "areaUnderROC", "cv_average_precision": "areaUnderPR"}
-        total = dict.fromkeys(measures, 0.0)
-        for i in range(folds):
-            tried = keep(_trees(seed).fit(rows.where(F.col("fold") != i)).transform(rows.where(F.col("fold") == i)).select("label", "rawPrediction"))
-            for name, metric in measures.items():
-                total[name] += BinaryClassificationEvaluator(metricName=metric).evaluate(tried)
-        meta += [(name, round(x / folds, 6)) for name, x in total.items()]
+    """Numbers of rows and bots, and means over the folds of ROC-AUC and average precision; every row is scored by
+    the model that was fitted without its fold."""
+    rows, columns, _, sizes = _bot_rows(features, personas, folds, seed)
+    trees, meta = _bot_trees(rows, columns, sizes, folds, seed), [("rows", float(sum(sizes.values()))), ("bots", float(sizes.get(1.0, 0)))]
+    if trees is not None:
+        tried = keep(boosting.scored(rows, columns, "actor_login", trees))
+        for name, metric in {"cv_roc_auc": "areaUnderROC", "cv_average_precision": "areaUnderPR"}.items():
+            found = [BinaryClassificationEvaluator(metricName=metric, rawPredictionCol="margin_out").evaluate(tried.where(F.col("fold") == i)) for i in range(folds)]
+            meta.append((name, round(sum(found) / folds, 6)))
     return features.sparkSession.createDataFrame(meta, "metric string, value double")
 
 
