@@ -37,9 +37,12 @@ CROSS JOIN (SELECT max(metric_date) AS latest, count(DISTINCT metric_date) AS to
         c.add(f"b11_top_{name}_day", "ev", f"""
 SELECT * FROM (SELECT metric_date, {key}, event_count, {other.split()[-1]}, {row_no('metric_date', f'event_count DESC, {key}')} AS rank
   FROM (SELECT metric_date, {key}, {N}, {other} FROM ev GROUP BY metric_date, {key}) g) t WHERE rank <= {top_n}""")
+    # The best are taken first, so that only they are numbered in one task.
     c.add("b12_org_rank_latest", "ev", f"""
-SELECT * FROM (SELECT metric_date, org_or_owner, {row_no('', 'hotness_score DESC, event_count DESC, org_or_owner')} AS rank_no, hotness_score, event_count, unique_repos, {', '.join(COUNTS.values())}
-  FROM (SELECT g.*, {r(hotness())} AS hotness_score FROM (SELECT metric_date, org_or_owner, {N}, {REPOS}, {type_counts()} FROM ev WHERE metric_date = {LATEST} GROUP BY metric_date, org_or_owner) g) h) t WHERE rank_no <= {rank_limit}""")
+WITH g AS (SELECT metric_date, org_or_owner, {N}, {REPOS}, {type_counts()} FROM ev WHERE metric_date = {LATEST} GROUP BY metric_date, org_or_owner),
+h AS (SELECT g.*, {r(hotness())} AS hotness_score FROM g),
+t AS (SELECT * FROM h ORDER BY hotness_score DESC, event_count DESC, org_or_owner LIMIT {rank_limit})
+SELECT metric_date, org_or_owner, {row_no('', 'hotness_score DESC, event_count DESC, org_or_owner')} AS rank_no, hotness_score, event_count, unique_repos, {', '.join(COUNTS.values())} FROM t""")
     # Ranks over all actors: how many come before by (count, login), from an ordered aggregate by count.
     c.add("b15_user_segment_latest", "ev", f"""
 WITH a AS (SELECT actor_login, max(metric_date) AS metric_date, {N}, count(DISTINCT metric_date) AS active_days, {REPOS} FROM ev GROUP BY actor_login),

@@ -8,16 +8,17 @@ from tidemill.plans.catalog import Catalog
 N = "count(*) AS event_count"
 
 
-def entropy(p: str) -> str:
-    return f"sum(CASE WHEN {p} > 0 THEN -{p} * log2({p}) ELSE {dbl('0')} END)"
+def entropy(p: str, times: str = "1") -> str:
+    return f"sum(CASE WHEN {p} > 0 THEN -{times} * {p} * log2({p}) ELSE {dbl('0')} END)"
 
 
 def register(c: Catalog) -> None:
     lag7 = lambda x: f"lag({x}, 7) OVER (ORDER BY metric_date)"
-    # One row a day: the ordered window over it is as small as the calendar.
+    # Repositories of equal counts share a row, so a day's windows hold its distinct counts only; those over days are as small as the calendar.
     c.add("b27_concentration_day", "feat", f"""
-WITH s AS (SELECT metric_date, repo_name, total_events, {dbl('total_events')} / sum(total_events) OVER (PARTITION BY metric_date) AS s, row_number() OVER (PARTITION BY metric_date ORDER BY total_events, repo_name) AS up, row_number() OVER (PARTITION BY metric_date ORDER BY total_events DESC, repo_name) AS down FROM feat),
-a AS (SELECT metric_date, {big('sum(total_events)')} AS total_events, count(*) AS repo_count, sum(CASE WHEN down = 1 THEN s ELSE 0 END) AS top1, sum(CASE WHEN down <= 5 THEN s ELSE 0 END) AS top5, sum(s * s) AS hhi, {entropy('s')} AS h, 2 * sum(up * s) / count(*) - ({dbl('count(*)')} + 1) / count(*) AS gini FROM s GROUP BY metric_date),
+WITH v AS (SELECT metric_date, total_events, count(*) AS same FROM feat GROUP BY metric_date, total_events),
+w AS (SELECT v.*, {dbl('total_events')} / sum(total_events * same) OVER (PARTITION BY metric_date) AS s, {big('sum(same) OVER (PARTITION BY metric_date ORDER BY total_events) - same')} AS below, {big('sum(same) OVER (PARTITION BY metric_date ORDER BY total_events DESC) - same')} AS above FROM v),
+a AS (SELECT metric_date, {big('sum(total_events * same)')} AS total_events, {big('sum(same)')} AS repo_count, max(s) AS top1, sum(s * greatest(0, least(same, 5 - above))) AS top5, sum(same * s * s) AS hhi, {entropy('s', 'same')} AS h, 2 * sum(s * same * (below + ({dbl('same')} + 1) / 2)) / sum(same) - ({dbl('sum(same)')} + 1) / sum(same) AS gini FROM w GROUP BY metric_date),
 n AS (SELECT a.*, CASE WHEN repo_count <= 1 THEN {dbl('0')} ELSE h / log2({dbl('repo_count')}) END AS nh FROM a)
 SELECT metric_date, total_events, repo_count, {r('top1')} AS top1_share, {r('top5')} AS top5_share, {r('hhi')} AS hhi, {r('h')} AS entropy, {r('nh')} AS normalized_entropy, {r('gini')} AS gini,
   {r(f"coalesce({dbl(f'total_events - {lag7("total_events")}')} / {lag7('total_events')}, 0)")} AS events_delta_7d, {r(f"coalesce({dbl(f'repo_count - {lag7("repo_count")}')} / {lag7('repo_count')}, 0)")} AS repo_count_delta_7d,
