@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,49 @@ def rules_of(rules: DataFrame, repo: str | None = None, limit: int = 20) -> Data
     return ordered(rules.join(F.broadcast(asked)).where(hit).drop("asked"), "-lift -confidence antecedent consequent", limit)
 
 
+#: Sections of a repository's document: (name, table, column of the repository or None for whole tables, order, rows or None for all).
+DOCUMENT = [
+    ("cluster", "m01_repo_clusters", "repo_name", "repo_name", 1),
+    ("cluster_profile", "m02_repo_cluster_profile", None, "cluster_id", None),
+    ("dna", "m04_repo_dna", "repo_name", "repo_name", 1),
+    ("cohort_averages", "q_cohort_averages", None, "cohort_group", None),
+    ("watcher_profile", "m14_repo_watcher_profile", "repo_name", "repo_name", 1),
+    ("watcher_lifts", "m13_repo_watcher_persona_lift", "repo_name", "-lift persona_label", None),
+    ("community", "g04_repo_community", "repo_name", "repo_name", 1),
+    ("similar", "g03_repo_similarity_edges", "src_repo", "-jaccard dst_repo", 10),
+    ("rules", "m15_repo_association_rules", None, "-lift -confidence antecedent consequent", 10),
+    ("top_actors", "b33_repo_top_actors_latest", "repo_name", "actor_rank", 10),
+]
+
+
+def repo_document(tables: dict[str, DataFrame], repo: str | None = None) -> DataFrame:
+    """(repo_name, section, place, body): all reads about one repository as JSON rows, place counting a section's rows.
+
+    The repository is the last of the fingerprints by name unless told otherwise. Of the cluster profiles only its own
+    cluster's stays, of the rules those that name it; averages of cohorts are there for every repository. A section
+    without rows is left out; without any repository there are no rows.
+    """
+    dna = tables["m04_repo_dna"]
+    asked = dna.agg(F.max("repo_name").alias("asked")) if repo is None else dna.sparkSession.range(1).select(F.lit(repo).alias("asked"))
+    asked, found = F.broadcast(asked.where("asked is not null")), []
+    for section, table, column, order, limit in DOCUMENT:
+        rows = tables[table]
+        at = F.struct(*rows.columns).alias("body")
+        if section == "cluster_profile":
+            own = tables["m01_repo_clusters"].join(asked, F.col("repo_name") == F.col("asked")).select("asked", F.col("cluster_id").alias("own")).limit(1)
+            mine = rows.join(F.broadcast(own), F.col("cluster_id") == F.col("own"))
+        elif section == "rules":
+            named = F.array_contains(F.split("antecedent", " & "), F.col("asked")) | (F.col("consequent") == F.col("asked"))
+            mine = rows.join(asked, named)
+        else:
+            mine = rows.join(asked, F.col(column) == F.col("asked")) if column else rows.join(asked)
+        mine = ordered(mine.select("asked", *rows.columns), order, limit).select("asked", at)
+        keys = [F.desc(f"body.{c[1:]}") if c.startswith("-") else F.asc(f"body.{c}") for c in order.split()]
+        place = F.row_number().over(Window.partitionBy("asked").orderBy(*keys))
+        found.append(mine.select(F.col("asked").alias("repo_name"), F.lit(section).alias("section"), place.alias("place"), F.to_json("body").alias("body")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def embedding_summary(factors: DataFrame, near: DataFrame) -> DataFrame:
     """One row: repositories and their factors, the mean cosine of neighbours and the share that shared actors would miss."""
     own = factors.agg(F.count("*").alias("repos"), F.max("rank_dim").alias("rank_dim"))
@@ -104,6 +148,8 @@ def queries(plans: dict[str, Plan], frame: Callable[[str, SparkSession, str], Da
     found["q_repo_community_by_repo"] = lambda *w: of_repo(at("g04_repo_community")(*w), None)
     found["q_repo_cluster_by_repo"] = lambda *w: of_repo(at("m01_repo_clusters")(*w), None)
     found["q_repo_association_rules_by_repo"] = lambda *w: rules_of(at("m15_repo_association_rules")(*w))
+    whole = lambda name, *w: plans[name](*w) if name in plans else frame(name, *w)
+    found["q_repo_document"] = lambda *w: repo_document({t: whole(t, *w) for _, t, *_ in DOCUMENT})
     found["q_repo_embedding_summary"] = lambda *w: embedding_summary(at("m18_repo_embedding")(*w), at("m18_repo_als_neighbor")(*w))
     found["q_repo_layer_communities"] = lambda *w: layer_communities(at("g09_repo_layer_community")(*w))
     found["q_actor_coreness_histogram"] = lambda *w: histogram(at("g08_actor_coreness")(*w))
