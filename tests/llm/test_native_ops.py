@@ -203,6 +203,9 @@ def test_url_filter(spark):
         return host, path, best[1], best[2]
 
     assert sorted(got, key=str) == sorted([(i, *brute(u)) for i, u in enumerate(urls)] + [(None, *brute(urls[0]))], key=str)
+    shuffled = url_filter(pages, rules, broadcast_bytes=0)
+    assert sorted(((x.page_id, x.host, x.path, x.rule, x.verdict) for x in shuffled.collect()), key=str) == sorted(got, key=str)
+    assert "BroadcastHashJoin" not in shuffled._jdf.queryExecution().optimizedPlan().toString() and "broadcast" not in shuffled._jdf.queryExecution().optimizedPlan().toString()
     assert url_filter(pages.limit(0), rules).count() == 0
     assert {x.verdict for x in url_filter(pages, rules.limit(0)).collect()} == {"allow"}
 
