@@ -279,6 +279,37 @@ def test_payloads_are_decoded_by_their_headers():
     assert wc.decoded(packed[:-12], [("Content-Encoding", "gzip")]) in "some text"
 
 
+def test_payloads_of_several_members_and_bombs(monkeypatch):
+    import gzip
+    import time
+    import zlib
+
+    two = gzip.compress(b"abc") + gzip.compress(b"def")
+    assert wc.inflated(two) == b"abcdef" and wc.inflated(two + b"trailing") == b"abcdef" and wc.inflated(two[:-9]).startswith(b"abc")
+    assert wc.inflated(b"plain") == b"plain" and wc.inflated(b"") == b"" and wc.inflated(gzip.compress(b"")) == b""
+    long = bytes(range(256)) * 4000
+    raw = zlib.compressobj(wbits=-15)
+    assert wc.inflated(gzip.compress(long, 0)) == long == wc.inflated(raw.compress(long) + raw.flush())
+    start = time.time()
+    assert wc.inflated(gzip.compress(b"x") * 60_000) == b"x" * 60_000 and time.time() - start < 10
+    bomb = gzip.compress(bytes(60_000_000))
+    try:
+        wc.inflated(bomb, 1_000_000)
+        raise AssertionError("a bomb was unpacked")
+    except wc.TooLong:
+        pass
+    head = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n"
+    monkeypatch.setattr(wc, "decoded", lambda payload, headers: wc.inflated(payload, 1_000_000).decode())
+    import pyarrow as pa
+
+    rows = [(i, "response", f"r{i}", None, "u", wc.DATE, "m", "b", "p", len(head + x), head + x) for i, x in enumerate((bomb, two))]
+    (made,) = wc._derive(iter([wc._batch(rows)]))
+    assert isinstance(made, pa.RecordBatch)
+    got = {(r["page_id"], r["record_type"]): r["block"] for r in made.to_pylist()}
+    assert got[0, "conversion"] == b"" and b"conversion-fault: payload unpacks to more than" in got[0, "metadata"]
+    assert got[1, "conversion"] == b"abcdef" and b"conversion-fault" not in got[1, "metadata"]
+
+
 def test_warc_records_without_a_length():
     data = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nabc\r\n\r\nWARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 2\r\n\r\nxy\r\n\r\n"
     assert [(r["record_type"], r["block"]) for r in wc.parse(data)] == [("response", b""), ("metadata", b"xy")]

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, content_length long, block binary"
 NAMES = [x.split()[0] for x in RECORD.split(", ")]
 DATE = "2024-01-01T00:00:00Z"
+#: A payload may unpack to so many bytes: half of what one value of a row can hold.
+MOST_BYTES = 1 << 30
+#: Packed bytes that are fed at once; they unpack to some thousand times as many at most.
+_WINDOW = 1 << 14
 _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "header", "footer", "nav", "aside", "title", "blockquote", "pre", "form", "body", "head", "html"}
 _DROPPED = {"script", "style", "noscript", "template"}
 #: A comment, or a tag with its name; quoted attribute values may hold ">". Possessive, so that nothing is tried twice.
@@ -87,11 +91,40 @@ def unchunked(data: bytes) -> bytes:
     return b"".join(out) if out else data
 
 
-def inflated(data: bytes) -> bytes:
-    """gzip, zlib or raw deflate data, as far as it is whole; other data as it is."""
+class TooLong(ValueError):
+    """Packed data that unpack to more than a record may hold."""
+
+
+def _unpacked(data: bytes, wbits: int, most: int) -> bytes:
+    """All members of packed data, one after another, up to where they break off; an error if nothing can be unpacked."""
+    out, at, size, member = [], 0, 0, zlib.decompressobj(wbits)
+    while at < len(data):
+        window = data[at : at + _WINDOW]
+        try:
+            out.append(member.decompress(window))
+        except zlib.error:
+            if not size:
+                raise
+            break
+        size += len(out[-1])
+        if size > most:
+            raise TooLong
+        at += len(window) - len(member.unused_data)
+        if member.eof:
+            if data[at : at + 2] != b"\x1f\x8b":
+                break
+            member = zlib.decompressobj(wbits)
+    return b"".join(out)
+
+
+def inflated(data: bytes, most: int = MOST_BYTES) -> bytes:
+    """gzip data of any number of members, zlib or raw deflate data, as far as they are whole; other data as they are.
+
+    What unpacks to more than `most` bytes raises TooLong before more than a window's worth beyond it is held.
+    """
     for wbits in (47, -15):
         try:
-            return zlib.decompressobj(wbits).decompress(data)
+            return _unpacked(data, wbits, most)
         except zlib.error:
             continue
     return data
@@ -131,8 +164,11 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head, _, payload = block.partition(b"\r\n\r\n")
             status, _, rest = head.partition(b"\r\n")
             headers = [(k.decode("latin-1"), v.decode("latin-1")) for k, v in _HEADER.findall(rest + b"\r\n")]
-            said = "".join(f"{k}: {v}\r\n" for k, v in [("source-record-id", source), ("source-status", status.decode("latin-1")), *((f"source-header-{k.lower()}", v) for k, v in headers), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-content-length", str(length))] if v is not None).encode("utf-8", "surrogatepass")
-            text = plain_text(decoded(payload, headers)).encode("utf-8", "replace")
+            try:
+                text, fault = plain_text(decoded(payload, headers)).encode("utf-8", "replace"), None
+            except TooLong:
+                text, fault = b"", f"payload unpacks to more than {MOST_BYTES} bytes"
+            said = "".join(f"{k}: {v}\r\n" for k, v in [("source-record-id", source), ("source-status", status.decode("latin-1")), *((f"source-header-{k.lower()}", v) for k, v in headers), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-content-length", str(length)), ("conversion-fault", fault)] if v is not None).encode("utf-8", "surrogatepass")
             for kind_, media, data in (("metadata", "application/warc-fields", said), ("conversion", "text/plain; charset=utf-8", text)):
                 rows.append((page, kind_, record_id(kind_, source or ""), source, url, date, media, digest(data), payload_digest, len(data), data))
         yield _batch(rows)
@@ -145,7 +181,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     their own block. The metadata block keeps the source's identifier, status, headers and digests; the
     conversion block is the payload's text. Other kinds of records give none. Identifiers follow from the
     content, so repeated rows have equal records. Null and empty payloads give empty conversions, malformed ones
-    what can be decoded; null URIs and ids stay null. Long payloads are handled whole, one at a time. Columns
+    what can be decoded; null URIs and ids stay null. Long payloads are handled whole, one at a time; one that
+    unpacks to more than MOST_BYTES has an empty conversion and a metadata field that says so. Columns
     other than a record's are ignored; an empty table gives no rows.
     """
     return records.select(*NAMES).mapInArrow(_derive, RECORD)
