@@ -30,7 +30,9 @@ ROUNDS = 160
 STEP = 0.5
 #: Configurations of at least such a share of the best one's value are taken in a round.
 WORTH = 0.9
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 100_000
+#: Texts of a batch that are Python strings at once.
+_TEXTS = 256
 _LONG = 1 << 20
 #: The splitting rule that _PART follows, as it stands in the tokenizer's file.
 _RULE = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")[1:-1]
@@ -113,11 +115,12 @@ def _cut(name: str, capacity: int, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         for x in batches:
             rows: list[tuple] = []
-            for d, t in zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist(), strict=True):
-                ids = cache.encode(t or "") + end
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at : at + 4 * capacity]
-                    rows.append((d, i, at // 4, len(piece) // 4, zlib.crc32(piece)))
+            for some in (x.slice(i, _TEXTS) for i in range(0, x.num_rows, _TEXTS)):
+                for d, t in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                    ids = cache.encode(t or "") + end
+                    for i, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[at : at + 4 * capacity]
+                        rows.append((d, i, at // 4, len(piece) // 4, zlib.crc32(piece)))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=names)
