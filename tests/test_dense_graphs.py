@@ -28,3 +28,11 @@ def test_louvain_by_rows_equals_joins(spark, monkeypatch):
     want = sorted(map(tuple, community.louvain(e, most_nodes=0).collect()))
     monkeypatch.setattr(community, "_moves", None)
     assert sorted(map(tuple, community.louvain(e).collect())) == want
+
+
+def test_propagation_by_rows_equals_joins(spark, monkeypatch):
+    """A colour's move was some jobs with shuffles; now it is one without."""
+    e = dense(spark, 14)
+    want = sorted(map(tuple, community.label_propagation(e, most_nodes=0).collect()))
+    monkeypatch.setattr(community, "_propagate_by_joins", None)
+    assert sorted(map(tuple, community.label_propagation(e).collect())) == want
