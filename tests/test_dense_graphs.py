@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import community, iterative
+from tidemill.operators import community, influence, iterative
 
 
 def dense(spark, n, seed=3):
@@ -36,3 +37,23 @@ def test_propagation_by_rows_equals_joins(spark, monkeypatch):
     want = sorted(map(tuple, community.label_propagation(e, most_nodes=0).collect()))
     monkeypatch.setattr(community, "_propagate_by_joins", None)
     assert sorted(map(tuple, community.label_propagation(e).collect())) == want
+
+
+def test_reverse_sets_by_rows_equal_joins(spark, monkeypatch):
+    """Every set tried every link into what it holds, a row each; both ways agree, also in small blocks and with long names."""
+    at = lambda c: F.when(F.col(c) < "n010", F.concat(F.lit("ä" * 40), c)).otherwise(F.col(c)).alias(c)
+    e = dense(spark, 40).select(at("src"), at("dst"), (F.col("w") * 4).alias("w"))
+    want = sorted(map(tuple, influence.reverse_sets(e, 50, most_nodes=0).collect()))
+    assert len(want) > 300
+    monkeypatch.setattr(influence, "_reverse_sets_by_joins", None)
+    monkeypatch.setattr(influence, "CELLS", 100)  # blocks of twenty sets
+    monkeypatch.setattr(influence, "PAIRS", 64)
+    assert sorted(map(tuple, influence.reverse_sets(e, 50).collect())) == want
+
+
+def test_draws_equal_the_hash_of_columns(spark):
+    words = ["", "a", "user1", "user1234-bot", "é" * 7, "x" * 31, "y" * 32, "z" * 33 + "ü", "w" * 77]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(words)], "i long, x string").select("x", F.xxhash64(F.lit(42), "i").alias("seed"), F.xxhash64(F.lit(42), "i", "x").alias("want")).collect()
+    for r in rows:
+        got = influence.hashed(np.array([r.seed], np.int64).view(np.uint64), np.frombuffer(r.x.encode(), np.uint8)[None], np.array([0]))
+        assert got.view(np.int64)[0] == r.want
