@@ -39,3 +39,14 @@ def test_rules_read_their_baskets_once(spark):
     rows = spark.createDataFrame([(f"a{i}", f"r{j}") for i in range(12) for j in range(2 + i % 2)], "actor_login string, repo_name string")
     assert ml.association_rules(rows.mapInPandas(each, rows.schema)).count()
     assert seen.value == rows.count()
+
+
+def test_models_of_actors_share_their_features(spark, monkeypatch):
+    """Every model computed the features of all actors anew, also for each pass of its fit."""
+    read, frame = [], registry._frame
+    monkeypatch.setattr(registry, "_frame", lambda name, *where: read.append(name) or frame(name, *where))
+    monkeypatch.setattr(registry, "_STORED", {})
+    found = registry.queries()
+    for name in ("m09_actor_persona_bic", "m08_actor_persona", "q_actor_persona_centroids", "m16_bot_feature_importance"):
+        assert found[name](spark, DATA).count(), name
+    assert read.count("m07_actor_features") == 1
