@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import community, iterative
+from tidemill.plans import registry
+from tidemill.plans.catalog import Written
 
 
 def graph(spark, pairs):
@@ -99,3 +101,13 @@ def test_graphs_without_edges(spark):
     assert not labels(community.louvain(e)) and not labels(community.label_propagation(e)) and community.colours(e).isEmpty()
     loops = spark.createDataFrame([("a", "a", 1.0)], "src string, dst string, w double")
     assert not labels(community.louvain(loops))
+
+
+def test_weeks_keep_all_their_repositories(spark, tmp_path):
+    """Of a week's repositories all but the 120 with the most actors were left out. Here 65 pairs share two actors each."""
+    rows = [(f"u{i}{x}", f"r{i}{y}") for i in range(65) for x in "ab" for y in "pq"] + [("u0a", "alone")]
+    events = spark.createDataFrame(rows, "actor_login string, repo_name string").selectExpr("*", "DATE '2024-01-30' AS metric_date")
+    events.write.parquet(f"{tmp_path}/ev_net")
+    got = registry.queries()["g11_repo_community_weekly"](spark, Written({"ev_net": f"{tmp_path}/ev_net"})).collect()
+    assert {(r.week_idx, r.repo_name) for r in got} == {(3, f"r{i}{y}") for i in range(65) for y in "pq"} and len(got) == 130
+    assert len({r.community_id for r in got}) == 65 and all(r.community_size == 2 and r.community_id[:-1] == r.repo_name[:-1] for r in got)
