@@ -135,3 +135,18 @@ def test_neighbours_by_brute_force_cosine(spark):
         best = sorted((round(-cosine(a, b), 5), b) for b in v if b != a)[:3]
         assert [x.rank_no for x in own] == [1, 2, 3] and [round(-x.cosine, 5) for x in own] == pytest.approx([c for c, _ in best], abs=2e-5)
         assert all(x.is_jaccard_miss == int(len(users[a] & users[x.dst_repo]) < 2) for x in own)
+
+
+def test_mixture_is_fitted_on_every_actor(spark, monkeypatch):
+    """Of more than 40,000 actors those of the smallest hashes were fitted on."""
+    fitted = []
+
+    class Seen(ml.GaussianMixture):
+        def fit(self, rows, params=None):
+            fitted.append(rows.count())
+            return super().fit(rows, params)
+
+    monkeypatch.setattr(ml, "GaussianMixture", Seen)
+    features = actors(spark, 2, each=20_100)
+    heads = ml.persona_centroids(features, k=2).collect()
+    assert fitted == [40_200] and sum(r.members for r in heads) == 40_200
