@@ -150,3 +150,8 @@ def test_mixture_is_fitted_on_every_actor(spark, monkeypatch):
     features = actors(spark, 2, each=20_100)
     heads = ml.persona_centroids(features, k=2).collect()
     assert fitted == [40_200] and sum(r.members for r in heads) == 40_200
+
+
+def test_criterion_is_over_every_actor(spark):
+    """Of more than 5,000 actors those of the smallest hashes were counted."""
+    assert {r.n_samples for r in ml.persona_bic(actors(spark, 3, each=1_800), ks=range(2, 4)).collect()} == {5_400}
