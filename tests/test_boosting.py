@@ -80,3 +80,37 @@ def test_one_class_gives_no_trees(spark):
     rows = spark.createDataFrame([("r1", 1.0, 0.0, 0), ("r2", 2.0, 0.0, 1)], "k string, a double, label double, fold int")
     trees = boosting.forests(rows, ["a"], "k", 2)
     assert trees.isEmpty() and [r.margin for r in boosting.scored(rows, ["a"], "k", trees).collect()] == [0.0, 0.0]
+
+
+def frame(spark, n, folds=5, seed=7):
+    x, y = rings(n, seed)
+    x[:, 2] = np.round(x[:, 2])  # few values
+    return spark.createDataFrame([(f"r{i}", *map(float, v), float(t), i % folds) for i, (v, t) in enumerate(zip(x, y, strict=True))], "k string, a double, b double, c double, label double, fold int")
+
+
+def test_every_row_is_fitted_on(spark):
+    """Of more than 50,000 rows those of the smallest hashes were fitted on."""
+    rows = frame(spark, 60_000, 2).cache()
+    whole, told = (boosting.forests(rows, ["a", "b", "c"], "k", 2, rounds=2, fold_rounds=1, **more) for more in ({}, {"most": 60_000}))
+    assert whole.count() == 4 and sorted(whole.collect()) == sorted(told.collect())
+
+
+def test_blocks_grow_the_same_trees(spark, monkeypatch):
+    """A task a model, and sums of all tasks level by level, also where the held margins are worked out anew."""
+    rows, columns = frame(spark, 900), ["a", "b", "c"]
+    want = sorted(boosting.forests(rows, columns, "k", 5, rounds=12, fold_rounds=10).collect())
+    assert len(want) == 62
+    monkeypatch.setattr(boosting, "EVERY", 3)
+    assert sorted(boosting.forests(rows.repartition(5), columns, "k", 5, rounds=12, fold_rounds=10, cells=0).collect()) == want
+    one = rows.where("label = 0 or fold = 1")  # the model without fold 1 has one class
+    trees = boosting.forests(one, columns, "k", 5, rounds=2, fold_rounds=2, cells=0)
+    assert {r.model for r in trees.collect()} == {-1, 0, 2, 3, 4} and sorted(trees.collect()) == sorted(boosting.forests(one, columns, "k", 5, rounds=2, fold_rounds=2).collect())
+
+
+def test_cuts_are_the_quantiles_of_all_rows(spark):
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 64, 65, 700):
+        x = np.stack([r.normal(size=n), r.integers(0, 4, n).astype(float), np.zeros(n)], 1)
+        rows = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double")
+        for got, want in zip(boosting.quantiles(rows, ["a", "b", "c"]), boosting._quantiles(x, 64), strict=True):
+            assert got.tolist() == want.tolist()

@@ -155,3 +155,20 @@ def test_mixture_is_fitted_on_every_actor(spark, monkeypatch):
 def test_criterion_is_over_every_actor(spark):
     """Of more than 5,000 actors those of the smallest hashes were counted."""
     assert {r.n_samples for r in ml.persona_bic(actors(spark, 3, each=1_800), ks=range(2, 4)).collect()} == {5_400}
+
+
+def test_every_actor_has_a_score_and_a_place(spark):
+    """Of more than 5,000 actors those of the highest scores were listed."""
+    features = actors(spark, 3, each=1_800)
+    personas = features.select("actor_login", F.substring("actor_login", 1, 1).alias("persona_label"))
+    got = ml.bot_scores(features, personas).collect()
+    by_rank = sorted(got, key=lambda r: r.rank_no)
+    assert len({r.actor_login for r in got}) == 5_400 and [r.rank_no for r in by_rank] == list(range(1, 5_401))
+    assert by_rank == sorted(got, key=lambda r: (-r.combined_score, r.actor_login))
+
+
+def test_isolation_does_not_rest_on_partitions(spark):
+    rows = spark.createDataFrame([(f"u{i}", float(i % 10), float(100 * (i == 7))) for i in range(200)], "actor_login string, a double, b double")
+    one, two = (sorted(ml.isolation_scores(rows.repartition(n), ["a", "b"], trees=20, most=256).collect()) for n in (1, 5))
+    assert one == two and len(one) == 200 and max(one, key=lambda r: r.iforest_score).actor_login == "u7"
+    assert ml.isolation_scores(rows.limit(0), ["a", "b"]).isEmpty()
